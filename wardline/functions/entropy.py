@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
-from wardline.functions.text import words
+from wardline.functions.text import let, words
 
 
 def shannon_entropy(c: Column) -> Column:
@@ -65,8 +65,11 @@ def entropy_violation(
         _first_over(long_words, threshold),
         F.when(F.length(c) >= min_length, _first_over(windows(c), threshold)),
     )
-    return F.struct(
-        hit.isNotNull().alias("flagged"),
-        F.coalesce(F.round(hit["h"], 2), F.lit(0.0)).alias("score"),
-        F.coalesce(F.substring(hit["s"], 1, V.ENTROPY_WINDOW), F.lit("")).alias("snippet"),
+    return let(
+        hit,
+        lambda h: F.struct(
+            h.isNotNull().alias("flagged"),
+            F.coalesce(F.round(h["h"], 2), F.lit(0.0)).alias("score"),
+            F.coalesce(F.substring(h["s"], 1, V.ENTROPY_WINDOW), F.lit("")).alias("snippet"),
+        ),
     )

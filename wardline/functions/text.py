@@ -11,6 +11,11 @@ _ROT_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ROT_TO = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may use it any number of times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, f"[{V.INVISIBLE}]", "")
 
@@ -25,12 +30,18 @@ def rot13(c: Column) -> Column:
 
 def rot13_if_keyword(c: Column) -> Column:
     """The rotated text when rotation makes a tell-tale word appear that was not there before."""
-    turned = rot13(c)
-    plain_low, turned_low = F.lower(c), F.lower(turned)
-    appears = F.lit(False)
-    for word in V.ROT13_KEYWORDS:
-        appears = appears | (turned_low.contains(word) & ~plain_low.contains(word))
-    return F.when(appears, turned).otherwise(c)
+
+    def pick(v: Column) -> Column:
+        def choose(low: Column) -> Column:
+            appears = F.lit(False)
+            for word in V.ROT13_KEYWORDS:
+                appears = appears | (low["turned"].contains(word) & ~low["plain"].contains(word))
+            return F.when(appears, v["turned"]).otherwise(v["text"])
+
+        lowered = F.struct(F.lower(v["text"]).alias("plain"), F.lower(v["turned"]).alias("turned"))
+        return let(lowered, choose)
+
+    return let(F.struct(c.alias("text"), rot13(c).alias("turned")), pick)
 
 
 def words(c: Column) -> Column:
@@ -57,32 +68,34 @@ def reverse_leet(c: Column) -> Column:
 
 
 def dominant_script(c: Column) -> Column:
-    counts = {
-        name: F.length(F.regexp_replace(c, f"[^{span}]", "")) for name, span in V.SCRIPT_RANGES
-    }
-    total = sum(counts.values(), F.lit(0))
-    top = F.greatest(*counts.values())
-    named = F.lit(None).cast("string")
-    for name, n in reversed(list(counts.items())):
-        named = F.when(n == top, F.lit(name)).otherwise(named)
-    by_count = (
-        F.when(total == 0, F.lit("latin"))
-        .when(top < total * V.SCRIPT_DOMINANCE, F.lit("mixed"))
-        .otherwise(named)
-    )
+    names = F.array(*[F.lit(n) for n, _ in V.SCRIPT_RANGES])
+    counts = F.array(*[F.length(F.regexp_replace(c, f"[^{span}]", "")) for _, span in V.SCRIPT_RANGES])
+
+    def name(n: Column) -> Column:
+        total = F.aggregate(n, F.lit(0), lambda acc, x: acc + x)
+        top = F.array_max(n)
+        return (
+            F.when(total == 0, F.lit("latin"))
+            .when(top < total * V.SCRIPT_DOMINANCE, F.lit("mixed"))
+            # array_position finds the first of equals: the declared order breaks ties
+            .otherwise(F.element_at(names, F.array_position(n, top).cast("int")))
+        )
+
     # Pure ASCII can only be Latin (or letterless): skip five passes over the text.
-    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lit("latin")).otherwise(by_count)
+    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lit("latin")).otherwise(let(counts, name))
 
 
 def edit_ratio(original: Column, changed: Column) -> Column:
     """Share of positions that differ, over the longer text, case and blanks ignored."""
-    a = F.replace(F.lower(original), F.lit(" "), F.lit(""))
-    b = F.replace(F.lower(changed), F.lit(" "), F.lit(""))
-    both = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    same = F.size(F.filter(both, lambda hit: hit))
-    longest = F.greatest(F.length(a), F.length(b))
-    return (
-        F.when(F.length(a) == 0, F.lit(0.0))
-        .when(a == b, F.lit(0.0))
-        .otherwise(F.round(F.lit(1.0) - same / longest, 4))
-    )
+
+    def bare(c: Column) -> Column:
+        return F.replace(F.lower(c), F.lit(" "), F.lit(""))
+
+    def ratio(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        both = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        same = F.size(F.filter(both, lambda hit: hit))
+        longest = F.greatest(F.length(a), F.length(b))
+        return F.when((a == "") | (a == b), F.lit(0.0)).otherwise(F.round(F.lit(1.0) - same / longest, 4))
+
+    return let(F.struct(bare(original).alias("a"), bare(changed).alias("b")), ratio)

@@ -63,7 +63,9 @@ def redact(df: DataFrame, col: str, rules: list[dict], out: str = "redacted") ->
     names = F.array_compact(
         F.array(*[F.when(F.col(f"_h{i}"), F.lit(r["name"])) for i, r in enumerate(rules)])
     )
-    return cur.select(*keep, F.col(f"_t{len(rules)}").alias(out), names.alias("violated"))
+    # explode over one element keeps later filters from being pushed into (and unfolding) the chain
+    both = F.struct(F.col(f"_t{len(rules)}").alias(out), names.alias("violated"))
+    return cur.select(*keep, F.explode(F.array(both)).alias("_r")).select(*keep, f"_r.{out}", "_r.violated")
 
 
 def all_matches(df: DataFrame, col: str, rules: list[dict]) -> DataFrame:
@@ -183,7 +185,7 @@ def blocklist_hits(
     )
     keys = docs.select(
         F.col(doc_id),
-        F.explode(F.array_distinct(F.transform(_shingles(_pieces(F.col(col))), F.xxhash64))).alias("_k"),
+        F.explode(F.array_distinct(F.transform(_shingles(_pieces(F.col(col))), lambda x: F.xxhash64(x)))).alias("_k"),
     )
     # Keys first, texts later: only documents that met an anchor carry their text over the wire.
     met = keys.join(anchor.select("_k", id_col), "_k").select(doc_id, id_col).distinct()

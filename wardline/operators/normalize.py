@@ -117,7 +117,9 @@ def normalize_prompts(
             F.col("_tech").alias("evasion_techniques"),
         )
     )
-    return g.select(*rest, norm.alias("norm"))
+    # explode over one element: a filter on the result must not be pushed below this point, where
+    # Catalyst would spell out every stage once per mention.
+    return g.select(*rest, F.explode(F.array(norm)).alias("norm"))
 
 
 def evasion_events(normalized: DataFrame, col: str = "text") -> DataFrame:

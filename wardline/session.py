@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,16 @@ def size_in_bytes(df: DataFrame) -> int:
 def within(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
     """True when the estimate of ``df`` proves it small enough to ship to every task."""
     return size_in_bytes(df) <= max_bytes
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package (once per session); they may start in another folder."""
+    if spark.conf.get("spark.wardline.shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="wardline-pkg-")) / "wardline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("spark.wardline.shipped", "true")
