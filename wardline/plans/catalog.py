@@ -602,51 +602,51 @@ def currently_quarantined(s, d):
 # ======================================================================= conversations
 
 HIST_SQL = f"""
-    SELECT e.event_id AS at, e.user AS who, e.us AS at_us, h.*, row_number() OVER (PARTITION BY e.event_id ORDER BY h.us, h.event_id) AS pos
+    SELECT e.event_id AS ev, e.user AS who, e.us AS ev_us, h.*, row_number() OVER (PARTITION BY e.event_id ORDER BY h.us, h.event_id) AS pos
     FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY us, event_id) AS rn FROM ({G240})) e
     JOIN (SELECT *, row_number() OVER (PARTITION BY user ORDER BY us, event_id) AS rn FROM ({G240})) h
       ON h.user = e.user AND h.rn BETWEEN e.rn - 19 AND e.rn AND e.us - h.us < 900000000"""
 SEV_SQL = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END"
 ACT_SQL = "CASE action WHEN 'dlp_flagged' THEN 2 WHEN 'dlp_block' THEN 4 WHEN 'egress_block' THEN 5 ELSE 0 END"
-HCTE = f"WITH hist AS (SELECT * FROM ({HIST_SQL}) QUALIFY count(*) OVER (PARTITION BY at) >= 3)"
+HCTE = f"WITH hist AS (SELECT * FROM ({HIST_SQL}) QUALIFY count(*) OVER (PARTITION BY ev) >= 3)"
 
 
-@query("history", f"{HCTE} SELECT at AS event_id, string_agg(event_id, ',' ORDER BY pos) AS recent FROM hist GROUP BY at")
+@query("history", f"{HCTE} SELECT ev AS event_id, string_agg(event_id, ',' ORDER BY pos) AS recent FROM hist GROUP BY ev")
 def history(s, d):
     h = conversation.history(ev240(s, d)).filter("size(recent) > 0")
     return h.select("event_id", F.array_join(F.transform("recent", lambda m: m["event_id"].cast("string")), ",").alias("recent"))
 
 
 STEPS_SQL = f"""
-    SELECT at, any_value(who) AS who, any_value(at_us) AS at_us, count(*) AS n, count(*) FILTER (WHERE up) AS steps FROM (
-      SELECT at, who, at_us, s > lag(s) OVER w OR a > lag(a) OVER w AS up
-      FROM (SELECT *, {SEV_SQL} AS s, {ACT_SQL} AS a FROM hist) WINDOW w AS (PARTITION BY at ORDER BY pos)) GROUP BY at"""
+    SELECT ev, any_value(who) AS who, any_value(ev_us) AS ev_us, count(*) AS n, count(*) FILTER (WHERE up) AS steps FROM (
+      SELECT ev, who, ev_us, s > lag(s) OVER w OR a > lag(a) OVER w AS up
+      FROM (SELECT *, {SEV_SQL} AS s, {ACT_SQL} AS a FROM hist) WINDOW w AS (PARTITION BY ev ORDER BY pos)) GROUP BY ev"""
 PIVOT_SQL = """
-    SELECT at, count(*) FILTER (WHERE action = 'ai_inference' AND pos < fb) AS benign,
+    SELECT ev, count(*) FILTER (WHERE action = 'ai_inference' AND pos < fb) AS benign,
       count(*) FILTER (WHERE bad AND pos < coalesce(back, 99)) AS hostile
-    FROM (SELECT *, min(CASE WHEN action = 'ai_inference' AND pos > fb THEN pos END) OVER (PARTITION BY at) AS back
-      FROM (SELECT *, coalesce(min(CASE WHEN bad THEN pos END) OVER (PARTITION BY at), 99) AS fb
+    FROM (SELECT *, min(CASE WHEN action = 'ai_inference' AND pos > fb THEN pos END) OVER (PARTITION BY ev) AS back
+      FROM (SELECT *, coalesce(min(CASE WHEN bad THEN pos END) OVER (PARTITION BY ev), 99) AS fb
         FROM (SELECT *, action IN ('dlp_flagged', 'dlp_block', 'egress_block') AS bad FROM hist)))
-    GROUP BY at"""
+    GROUP BY ev"""
 STUCK_SQL = """
-    SELECT at, arg_min(rule, first) AS rule, arg_min(n, first) AS n FROM (
-      SELECT at, rule, min(pos) AS first, count(*) AS n FROM hist WHERE action IN ('dlp_block', 'dlp_flagged') GROUP BY at, rule)
-    WHERE n >= 3 GROUP BY at"""
+    SELECT ev, arg_min(rule, first) AS rule, arg_min(n, first) AS n FROM (
+      SELECT ev, rule, min(pos) AS first, count(*) AS n FROM hist WHERE action IN ('dlp_block', 'dlp_flagged') GROUP BY ev, rule)
+    WHERE n >= 3 GROUP BY ev"""
 
 
-@query("escalation", f"{HCTE} SELECT at AS event_id, steps FROM ({STEPS_SQL})")
+@query("escalation", f"{HCTE} SELECT ev AS event_id, steps FROM ({STEPS_SQL})")
 def escalation(s, d):
     h = conversation.history(ev240(s, d)).filter("size(recent) > 0")
     return h.select("event_id", conversation.escalation_steps(F.col("recent")).alias("steps"))
 
 
-@query("topic_pivot", f"{HCTE} SELECT at AS event_id, benign, hostile FROM ({PIVOT_SQL})")
+@query("topic_pivot", f"{HCTE} SELECT ev AS event_id, benign, hostile FROM ({PIVOT_SQL})")
 def topic_pivot(s, d):
     h = conversation.history(ev240(s, d)).filter("size(recent) > 0")
     return h.withColumn("_p", conversation.pivot_counts(F.col("recent"))).select("event_id", "_p.benign", "_p.hostile")
 
 
-@query("persistence", f"{HCTE} SELECT at AS event_id, rule, n FROM ({STUCK_SQL})")
+@query("persistence", f"{HCTE} SELECT ev AS event_id, rule, n FROM ({STUCK_SQL})")
 def persistence(s, d):
     h = conversation.history(ev240(s, d)).filter("size(recent) > 0")
     return h.withColumn("_p", conversation.persistent_rule(F.col("recent"))).filter("_p is not null").select("event_id", "_p.rule", "_p.n")
@@ -654,9 +654,9 @@ def persistence(s, d):
 
 def patterns_sql(at_action: str | None) -> str:
     arm = lambda k, i: f"'{V.PATTERN_TAGS[k][i]}'"
-    only = f"WHERE at IN (SELECT event_id FROM ({G240}) WHERE action = '{at_action}')" if at_action else ""
+    only = f"WHERE ev IN (SELECT event_id FROM ({G240}) WHERE action = '{at_action}')" if at_action else ""
     return f"""{HCTE}
-    SELECT at AS event_id, who AS user, at_us AS us, pattern,
+    SELECT ev AS event_id, who AS user, ev_us AS us, pattern,
       'User ''' || who || ''' ' || CASE pattern
         WHEN 'intent_escalation' THEN 'showed escalating threat severity across ' || n || ' recent messages'
         WHEN 'topic_pivot' THEN 'pivoted from ' || benign || ' benign to ' || hostile || ' hostile prompts'
@@ -667,7 +667,7 @@ def patterns_sql(at_action: str | None) -> str:
     FROM (SELECT a.*, p.benign, p.hostile, k.rule, k.n AS rn,
         CASE WHEN steps >= 3 THEN 'intent_escalation' WHEN benign >= 2 AND hostile >= 2 THEN 'topic_pivot'
           WHEN k.rule IS NOT NULL THEN 'persistence' END AS pattern
-      FROM ({STEPS_SQL}) a JOIN ({PIVOT_SQL}) p USING (at) LEFT JOIN ({STUCK_SQL}) k USING (at) {only})
+      FROM ({STEPS_SQL}) a JOIN ({PIVOT_SQL}) p USING (ev) LEFT JOIN ({STUCK_SQL}) k USING (ev) {only})
     WHERE pattern IS NOT NULL"""
 
 

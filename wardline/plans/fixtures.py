@@ -310,7 +310,7 @@ def endpoint_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in ENDPOINT_IDS]), (i % 4 + 1).cast("int")).alias("event_id"),
         F.col("user_id").cast("string").alias("user"),
         _pick(i % 3, IMAGES).alias("image"),
-        _pick((i / 3).cast("long") % 4, COMMANDS).alias("command_line"),
+        _pick((i / 7).cast("long") % 4, COMMANDS).alias("command_line"),
         _pick(i % 5, QUERY_NAMES).alias("query_name"),
         _pick((i + 1) % 5, QUERY_NAMES).alias("destination_hostname"),
         _pick(i % 7 % 3, INTEGRITY).alias("integrity_level"),
@@ -322,7 +322,7 @@ ENDPOINT_SQL = f"""
     SELECT event_id AS row_id, list_extract({ENDPOINT_IDS}, CAST(event_id % 4 AS INT) + 1) AS event_id,
       CAST(user_id AS VARCHAR) AS user,
       {_case_sql('event_id % 3', IMAGES)} AS image,
-      {_case_sql('(event_id // 3) % 4', COMMANDS)} AS command_line,
+      {_case_sql('(event_id // 7) % 4', COMMANDS)} AS command_line,
       {_case_sql('event_id % 5', QUERY_NAMES)} AS query_name,
       {_case_sql('(event_id + 1) % 5', QUERY_NAMES)} AS destination_hostname,
       {_case_sql('event_id % 7 % 3', INTEGRITY)} AS integrity_level,
