@@ -29,8 +29,9 @@ def running(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     slot_us: int = HOUR // 4,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Inclusive running sums and maxima per key, as a two-level prefix.
+    """Running sums and maxima per key, as a two-level prefix; without the row itself if not inclusive.
 
     Level one runs inside (keys, slot).  Level two runs over one pre-aggregated row per
     (keys, slot) and carries the value of all earlier slots in.  ``order`` must sort ties;
@@ -42,7 +43,9 @@ def running(
     src = df.withColumn("_slot", slot_of(us, slot_us))
     src = src.withColumns({f"_v_{n}": c for n, c in {**sums, **maxes}.items()})
 
-    inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1
+    )
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
 
     totals = src.groupBy(*cells).agg(

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from wardline import vocab as V
 from wardline.functions import entropy, text
 from wardline.operators import (
-    cases, classify, conversation, endpoint, gateway, governance, inspect, normalize, respond, risk,
+    cases, classify, conversation, endpoint, gateway, governance, inspect, normalize, replay, respond, risk,
     ruletree, searches, token_bucket,
 )
 from wardline.operators.timeline import HOUR, MICROS
 from wardline.plans import fixtures as X
 from wardline.sources import chat, rules as rule_source
 from wardline.sources import gateway as feed
+from wardline.streaming import operators as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1193,3 +1194,77 @@ def train_injection_model(s, d):
     """Fit on the labelled documents, score every document with the model."""
     model = classify.train_injection_model(governance.training_set(X.labelled(s, d)))
     return classify.apply_injection_model(model, X.table(s, d, "documents").select("doc_id", "text"))
+
+
+# ======================================================================= closed loop
+
+LOOP_STEP_US = 20 * 60 * MICROS
+
+
+def loop_requests(s, d):
+    """Every prompt as a request, one per 20 minutes, inspected in full."""
+    p = X.prompts(s, d).select(
+        F.col("prompt_id").alias("event_id"), "user", "text",
+        (F.lit(X.BASE_US) + F.col("prompt_id") * LOOP_STEP_US).alias("us"),
+    )
+    return replay.as_requests(gateway.inspect_ingress(p, compiled(s, "ingress"), compat=False))
+
+
+@query("replay_gateway")
+def replay_gateway(s, d):
+    return replay.replay_gateway(loop_requests(s, d))
+
+
+# ======================================================================= streams
+
+def closed_sql(src: str) -> str:
+    """The watermark after the last row: 10 minutes before the newest event, whole milliseconds."""
+    return f"((SELECT max(us) FROM ({src})) // 1000 * 1000 - 600000000)"
+
+
+def stream240(s, d, name):
+    return streams.as_stream(s, siem240(s, d), name)
+
+
+@query("brute_force_stream", f"SELECT * FROM ({BRUTE_SQL}) WHERE end_us <= {closed_sql(G240)}")
+def brute_force_stream(s, d):
+    src = streams.as_stream(s, ev240(s, d), "brute")
+    return streams.run_available(s, searches.brute_force(streams.deduplicated(src)), "brute")
+
+
+@query("probe_strike_stream", f"SELECT * FROM ({PROBE_SQL}) WHERE end_us <= {closed_sql(G240)}")
+def probe_strike_stream(s, d):
+    return streams.run_available(s, searches.probe_strike(streams.as_stream(s, ev240(s, d), "probe")), "probe")
+
+
+@query("slow_exfil_stream", f"SELECT * FROM ({SLOW_SQL}) WHERE end_us <= {closed_sql(G240)}")
+def slow_exfil_stream(s, d):
+    return streams.run_available(s, searches.slow_exfil(streams.as_stream(s, ev240(s, d), "slow")), "slow")
+
+
+@query("behavioral_risk_stream", f"SELECT * FROM ({behavior_sql(2)}) WHERE end_us <= {closed_sql(S240)}")
+def behavioral_risk_stream(s, d):
+    return streams.run_available(s, searches.behavioral_risk(stream240(s, d, "behavior")), "behavior")
+
+
+@query("risk_stream", f"SELECT event_id, us, risk_score, risk_level FROM ({SCORED_SQL}) WHERE us <= {closed_sql(G8)}")
+def risk_stream(s, d):
+    e = ev8(s, d).select("event_id", "user", "us", "action", "severity")
+    return streams.run_available(s, streams.risk_stream(streams.as_stream(s, e, "risk")), "risk")
+
+
+@query("detect_patterns_stream", f"SELECT * FROM ({patterns_sql('ai_inference')}) WHERE us <= {closed_sql(G240)}")
+def detect_patterns_stream(s, d):
+    return streams.run_available(s, streams.detect_patterns_stream(streams.as_stream(s, ev240(s, d), "talk")), "talk")
+
+
+@query("frequency_rules_stream", f"""
+    SELECT event_id, user, us, rule_id, level, matches FROM ({frequency_sql()}) WHERE us <= {closed_sql(f"SELECT us FROM ({S240}) WHERE source = 'ai-gateway'")}""")
+def frequency_rules_stream(s, d):
+    src = streams.as_stream(s, siem240(s, d).filter("source = 'ai-gateway'"), "freq")
+    return streams.run_available(s, streams.frequency_rules_stream(src), "freq")
+
+
+@query("replay_stream")
+def replay_stream(s, d):
+    return streams.run_available(s, streams.replay_stream(streams.as_stream(s, loop_requests(s, d), "loop")), "loop")
