@@ -14,18 +14,16 @@ from wardline.functions.text import let, words
 def shannon_entropy(c: Column) -> Column:
     """Bits per character; the empty string has none.
 
-    One pass per distinct character with native ``replace`` instead of a lambda per character.
+    Sorting the characters turns equal ones into runs, so one scan counts them all.
     """
-    n = F.length(c)
+    in_order = F.array_join(F.sort_array(F.split(c, "")), "")
+    runs = F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1*"), F.lit(0))
 
-    def term(ch: Column) -> Column:
-        p = (n - F.length(F.replace(c, ch, F.lit("")))) / n
-        return -p * F.log2(p)
+    def total(n: Column) -> Column:
+        terms = F.transform(runs, lambda run: F.length(run) / n)
+        return F.aggregate(terms, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
-    terms = F.transform(F.array_distinct(F.split(c, "")), term)
-    return F.when(c == "", F.lit(0.0)).otherwise(
-        F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
-    )
+    return F.when(c == "", F.lit(0.0)).otherwise(let(F.length(c), total))
 
 
 def _can_reach(c: Column, threshold: float) -> Column:

@@ -69,7 +69,20 @@ def reverse_leet(c: Column) -> Column:
 
 def dominant_script(c: Column) -> Column:
     names = F.array(*[F.lit(n) for n, _ in V.SCRIPT_RANGES])
-    counts = F.array(*[F.length(F.regexp_replace(c, f"[^{span}]", "")) for _, span in V.SCRIPT_RANGES])
+    (_, latin), *others = V.SCRIPT_RANGES
+
+    def counted(v: Column) -> Column:
+        """Characters per script; what is left without the Latin runs is short, or another script."""
+        rest = [F.length(F.regexp_replace(v["rest"], f"[^{span}]+", "")) for _, span in others]
+        return F.array(v["latin"], *rest)
+
+    counts = let(
+        F.struct(
+            F.length(F.regexp_replace(c, f"[^{latin}]+", "")).alias("latin"),
+            F.regexp_replace(c, "[\\x00-\u024f]+", "").alias("rest"),
+        ),
+        counted,
+    )
 
     def name(n: Column) -> Column:
         total = F.aggregate(n, F.lit(0), lambda acc, x: acc + x)

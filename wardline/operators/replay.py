@@ -19,6 +19,7 @@ from wardline import vocab as V
 from wardline.operators.risk import DAY, level_of, points_tenths, rate_tenths
 from wardline.operators.timeline import HOUR, MICROS, running, with_lookback
 from wardline.operators.token_bucket import FULL, PAUSE
+from wardline.session import landed
 
 LOOKBACK = V.HISTORY_SECONDS * MICROS
 
@@ -113,11 +114,13 @@ def step(state: dict, us: int, evasion: bool, entropy: bool, rule, p_rule: int,
     return ("blocked" if blocked else "allowed"), n, pattern
 
 
+_FOLD_COLS = ["event_id", "us", "evasion", "high_entropy", "rule", "p_rule", "r_rule", "severity"]
+
+
 def fold_rows(state: dict, pdf: pd.DataFrame) -> list[tuple]:
     """Fold time-ordered rows of one user; (event_id, decision, score, pattern) per row."""
-    cols = ["event_id", "us", "evasion", "high_entropy", "rule", "p_rule", "r_rule", "severity"]
     out = []
-    for eid, us, ev, en, rule, p, r, sev in pdf[cols].itertuples(index=False):
+    for eid, us, ev, en, rule, p, r, sev in pdf[_FOLD_COLS].itertuples(index=False):
         rule = rule if isinstance(rule, str) else None
         out.append((eid, *step(state, int(us), bool(ev), bool(en), rule, int(p), int(r), sev)))
     return out
@@ -127,17 +130,14 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by piece and time; the state of the current piece is all that is kept."""
     current, state = None, None
     for pdf in batches:
-        parts = []
-        for piece, rows in pdf.groupby(["user", "piece"], sort=False):
-            if piece != current:
-                current, state = piece, new_state()
-            got = pd.DataFrame(fold_rows(state, rows), columns=["event_id", "decision", "n", "pattern"])
-            got["user"], got["us"], got["piece"] = piece[0], rows["us"].to_numpy(), piece[1]
-            parts.append(got)
-        if parts:
-            out = pd.concat(parts)
-            out["n"] = out["n"].astype(str)
-            yield out[["event_id", "user", "us", "piece", "decision", "n", "pattern"]]
+        out = []
+        for user, piece, eid, us, ev, en, rule, p, r, sev in pdf[["user", "piece", *_FOLD_COLS]].itertuples(index=False):
+            if (user, piece) != current:
+                current, state = (user, piece), new_state()
+            rule = rule if isinstance(rule, str) else None
+            decision, n, pattern = step(state, int(us), bool(ev), bool(en), rule, int(p), int(r), sev)
+            out.append((eid, user, us, piece, decision, str(n), pattern))
+        yield pd.DataFrame(out, columns=["event_id", "user", "us", "piece", "decision", "n", "pattern"])
 
 
 def cut_pieces(requests: DataFrame) -> DataFrame:
@@ -172,15 +172,17 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def replay_gateway(requests: DataFrame) -> DataFrame:
     """Decision, score before the request and pattern for every request (:data:`REQUEST_DDL`)."""
-    rows = requests.filter(F.col("user").isNotNull())
+    # Inspection is the dear part: its verdicts, a few numbers per request, are landed once.
+    rows = landed(requests.filter(F.col("user").isNotNull()), "verdicts")
     pieces = cut_pieces(rows)
-    folded = (
+    folded = landed(
         pieces.repartition("user", "piece")
         .sortWithinPartitions("user", "piece", "us", "event_id")
         .mapInPandas(
             _fold_partition,
             "event_id long, user string, us long, piece long, decision string, n string, pattern string",
-        )
+        ),
+        "outcomes",
     )
     # Quarantine outlives a cut: every request of later pieces is refused and adds nothing.
     first = folded.filter("decision = 'quarantined'").groupBy("user").agg(F.min("piece").alias("_held"))

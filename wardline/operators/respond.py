@@ -5,29 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.risk import with_epoch
 from wardline.operators.timeline import running
 from wardline.operators.token_bucket import token_bucket
+from wardline.session import landed
 
 
 def sticky_quarantine(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
     """Add ``epoch`` (unblocks so far) and ``quarantined``: a critical request now or earlier in
     the epoch, even if the score has decayed since."""
-    marked = with_epoch(requests.filter(F.col("user").isNotNull()), unblocks)
-    return running(
-        marked, ["user", "epoch"], "us", ["us", "event_id"],
-        maxes={"_hit": F.when(F.col("risk_level") == "critical", 1).otherwise(0)},
-    ).withColumn("quarantined", F.col("_hit") == 1).drop("_hit")
+    marks = unblocks.select("user", "us").distinct().withColumn("_kind", F.lit(0))
+    both = (
+        requests.filter(F.col("user").isNotNull())
+        .withColumn("_kind", F.lit(1))
+        .unionByName(marks, allowMissingColumns=True)
+    )
+    at = F.struct("us", "_kind")
+    out = running(
+        both, ["user"], "us", ["us", "_kind", "event_id"],
+        sums={"epoch": 1 - F.col("_kind")},
+        maxes={
+            "_hit": F.when(F.col("risk_level") == "critical", at),
+            "_freed": F.when(F.col("_kind") == 0, at),
+        },
+    )
+    held = F.col("_hit").isNotNull() & (F.col("_freed").isNull() | (F.col("_hit") > F.col("_freed")))
+    return out.filter("_kind = 1").withColumn("quarantined", held).drop("_kind", "_hit", "_freed")
 
 
 def enforce(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
     """Add ``decision`` (allowed / rate_limited / quarantined) and ``downgraded`` to requests that
     carry ``risk_score`` and ``risk_level``."""
-    gated = sticky_quarantine(requests, unblocks)
+    gated = sticky_quarantine(landed(requests, "requests"), unblocks)
     throttled = (F.col("risk_level") == "high") & ~F.col("quarantined")
     slow = token_bucket(gated.filter(throttled).select("user", "epoch", "us", "event_id"))
-    tokens = slow.select("event_id", "token")
-    out = gated.join(tokens, "event_id", "left")
+    out = gated.join(slow, "event_id", "left")
     decision = (
         F.when(F.col("quarantined"), "quarantined")
         .when(throttled & ~F.col("token"), "rate_limited")

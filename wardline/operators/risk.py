@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab as V
 from wardline.operators.timeline import HOUR, running
+from wardline.session import landed
 
 DAY = V.RISK_LOOKBACK_HOURS * HOUR
 
@@ -202,4 +203,5 @@ def apply_resets(events: DataFrame, resets: DataFrame) -> DataFrame:
 
 def risk_asof_with_resets(events: DataFrame, resets: DataFrame) -> DataFrame:
     """:func:`risk_asof` where every reset zeroes the user's score."""
-    return risk_asof(with_epoch(events.filter(F.col("user").isNotNull()), resets), ("user", "epoch"))
+    marked = landed(with_epoch(events.filter(F.col("user").isNotNull()), resets), "epochs")
+    return risk_asof(marked, ("user", "epoch"))

@@ -7,8 +7,11 @@ row per slot -- bounded by the time span, not by the traffic -- ever meets at th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +102,31 @@ def with_lookback(df: DataFrame, us: str, lookback_us: int, slot_us: int = HOUR)
         ),
     )
     return out.withColumn("_home", F.col("_slot") == F.col("_home_slot")).drop("_home_slot")
+
+
+def sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal keys out of key-sorted Arrow batches, as columns; holds one group at a time."""
+    held = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        starts = np.flatnonzero(change)
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield {c: v[lo:hi] for c, v in cols.items()}
+        held = pdf.iloc[starts[-1]:]
+    if held is not None:
+        yield {c: held[c].to_numpy() for c in held.columns}
+
+
+def chunked(items: Iterator, size: int = 2000) -> Iterator[list]:
+    """Lists of up to ``size`` items, so that output frames are neither tiny nor huge."""
+    items = iter(items)
+    while part := list(islice(items, size)):
+        yield part

@@ -14,13 +14,15 @@ its now known entering V.  All arithmetic is in whole microseconds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
-from wardline.operators.timeline import MICROS
+from wardline.operators.timeline import MICROS, chunked, sorted_runs
 
 PAUSE = 60 * MICROS // V.BUCKET_PER_MINUTE
 FULL = V.BUCKET_TOKENS * PAUSE
@@ -74,56 +76,73 @@ def allowed_in_cell(times: np.ndarray, v: int) -> np.ndarray:
         at += 1
 
 
+def _pieces(cells: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in chunked(sorted_runs(batches, cells)):
+            rows = []
+            for r in found:
+                key = [r[k][0] for k in cells]
+                rows.append([*key, *cell_pieces(np.sort(r["us"]), int(key[-1]) * CELL)])
+            yield pd.DataFrame(rows, columns=cells + ["ends", "filled", "value"])
+
+    return run
+
+
+def _chain(keys: list[str]):
+    """Cells arrive sorted by key and time: only V of the current key is kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, v = None, 0
+        for pdf in batches:
+            entering = []
+            for *key, no, ends, filled, value in pdf[keys + ["_cell", "ends", "filled", "value"]].itertuples(index=False):
+                lowest = int(no) * CELL - FULL
+                v = max(v, lowest) if key == current else lowest
+                current = key
+                entering.append(v)
+                i = int(np.searchsorted(np.asarray(ends), v, side="left"))
+                v = int(value[i]) if filled[i] else v + int(value[i])
+            yield pdf[keys + ["_cell"]].assign(_v=np.asarray(entering, dtype=np.int64))
+
+    return run
+
+
+def _replay(cells: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in chunked(sorted_runs(batches, cells)):
+            ids, oks = [], []
+            for r in found:  # the first row of a cell brings its entering V
+                ids.append(r["event_id"][1:])
+                oks.append(allowed_in_cell(r["us"][1:], int(r["_v"][0])))
+            yield pd.DataFrame({"event_id": np.concatenate(ids), "token": np.concatenate(oks)})
+
+    return run
+
+
 def token_bucket(requests: DataFrame, keys: tuple[str, ...] = ("user", "epoch")) -> DataFrame:
-    """Add ``token`` (allowed by the bucket); the bucket is full at each key's first request."""
+    """(event_id, token): whether the bucket, full at each key's first request, allows a request."""
     keys = list(keys)
-    key_ddl = [f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in keys]
-    cell = F.floor(F.col("us") / CELL).cast("long")
-    src = requests.withColumn("_cell", cell)
     cells = keys + ["_cell"]
-
-    def pieces(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["us"].to_numpy(dtype=np.int64))
-        ends, filled, value = cell_pieces(times, int(key[-1]) * CELL)
-        return pd.DataFrame([[*key, ends, filled, value]], columns=cells + ["ends", "filled", "value"])
-
-    narrow = src.select(*cells, "us")
-    per_cell = narrow.groupBy(*cells).applyInPandas(
-        pieces,
-        ", ".join(key_ddl + ["_cell long", "ends array<long>", "filled array<boolean>", "value array<long>"]),
+    ddl = ", ".join(f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in keys) + ", _cell long"
+    src = requests.select(*keys, F.floor(F.col("us") / CELL).cast("long").alias("_cell"), "us", "event_id")
+    per_cell = (
+        src.select(*cells, "us")
+        .repartition(*cells)
+        .sortWithinPartitions(*cells)
+        .mapInPandas(_pieces(cells), f"{ddl}, ends array<long>, filled array<boolean>, value array<long>")
     )
     entering = (
-        per_cell.withColumnRenamed("_cell", "cell_no")
-        .groupBy(*keys)
-        .applyInPandas(_chain(keys), ", ".join(key_ddl + ["_cell long", "_v long"]))
+        per_cell.repartition(*keys).sortWithinPartitions(*cells).mapInPandas(_chain(keys), f"{ddl}, _v long")
     )
-
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-        ok = allowed_in_cell(pdf["us"].to_numpy(dtype=np.int64), int(pdf["_v"].iloc[0]))
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "token": ok})
-
-    decided = (
-        src.select(*cells, "us", "event_id")
-        .join(entering, cells)
-        .groupBy(*cells)
-        .applyInPandas(replay, "event_id long, token boolean")
+    # The entering V goes in as one more row, ahead of the requests of its cell: no join, and the
+    # requests are shuffled once.
+    marks = entering.select(
+        *cells, (F.col("_cell") * CELL - 1).alias("us"), F.lit(-1).cast("long").alias("event_id"), "_v"
+    )
+    return (
+        src.withColumn("_v", F.lit(0).cast("long"))
+        .unionByName(marks)
+        .repartition(*cells)
+        .sortWithinPartitions(*cells, "us", "event_id")
+        .mapInPandas(_replay(cells), "event_id long, token boolean")
     )
-    return requests.join(decided, "event_id")
-
-
-def _chain(keys: list[str]):
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, v = [], None
-        ordered = pdf.sort_values("cell_no")
-        for no, ends, filled, value in zip(
-            ordered["cell_no"], ordered["ends"], ordered["filled"], ordered["value"]
-        ):
-            lowest = int(no) * CELL - FULL
-            v = lowest if v is None else max(v, lowest)
-            rows.append([*key, int(no), v])
-            i = int(np.searchsorted(np.asarray(ends), v, side="left"))
-            v = int(value[i]) if filled[i] else v + int(value[i])
-        return pd.DataFrame(rows, columns=keys + ["_cell", "_v"])
-
-    return chain

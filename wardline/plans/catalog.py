@@ -21,6 +21,7 @@ from wardline.operators.timeline import HOUR, MICROS
 from wardline.plans import fixtures as X
 from wardline.sources import chat, rules as rule_source
 from wardline.sources import gateway as feed
+from wardline.session import landed
 from wardline.streaming import operators as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1179,7 +1180,7 @@ def technique_coverage(s, d):
     UNION ALL SELECT 'technique', id, CASE WHEN covered THEN 'covered' ELSE 'gap' END, CAST(alerts AS DOUBLE) FROM ({COVERAGE_SQL})""")
 def compliance_report(s, d):
     u = paced_unblocks(s, d)
-    decided = respond.enforce(paced_requests(s, d), u)
+    decided = landed(respond.enforce(paced_requests(s, d), u), "decisions")
     log = respond.audit_log(decided, u)
     return governance.compliance_report(ev8(s, d), decided, log, u, ruletree.match_all(siem240(s, d)), NOW)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import spread
+
 BASE_US = 1704067200000000  # 2024-01-01 00:00:00 UTC
 MONTH_US = 30 * 86400 * 1_000_000
 CANARY = "sk-canary-5f1d7a90-fixture"
@@ -20,8 +22,13 @@ def now_us(factor: int) -> int:
     return BASE_US + MONTH_US // factor
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; tables of long texts are dealt out to all cores, as the work is per text."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------- gateway events

@@ -44,6 +44,17 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back.
+
+    For an intermediate that several branches of a plan read: without this each branch would
+    run everything upstream again.  Being files, it also survives lost executors.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (an upper bound for filters and projections)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -55,6 +66,17 @@ def within(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
     return size_in_bytes(df) <= max_bytes
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when an input has fewer splits than the cluster has cores.
+
+    Only small inputs (few, unsplittable files) are affected; a large one has splits enough and
+    is passed through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package (once per session); they may start in another folder."""
     if spark.conf.get("spark.wardline.shipped", None):
