@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline import vocab as V
 from wardline.functions.entropy import entropy_violation
 from wardline.operators.classify import ScorerFactory, lexical_scorer, score_injection
 from wardline.operators.inspect import canary_hit, first_match, redact

@@ -73,10 +73,6 @@ def normalize_prompts(
     c = b.withColumn("_turned", text.rot13_if_keyword(F.col("_plain")))
     d = c.withColumn("_letters", text.reverse_leet(F.col("_turned")))
     e = d.withColumn("_lang", text.dominant_script(F.col("_letters")))
-    f = e.withColumn(
-        "_final", translate_non_latin(F.col("_letters"), F.col("_lang"), translator)
-    )
-
     before_leet = F.col("_turned") if compat else text.collapse_spaces(F.col("_turned"))
     flags = [
         (F.length("_clean") != F.length(raw), F.lit("invisible_chars")),
@@ -94,32 +90,28 @@ def normalize_prompts(
     techniques = F.array_compact(
         F.array(*[F.when(F.coalesce(on, F.lit(False)), name) for on, name in flags])
     )
-    g = f.withColumn("_tech", techniques)
-    norm = F.when(
-        short,
-        F.struct(
-            raw.alias("text"),
-            F.lit(None).cast("int").alias("original_length"),
-            F.lit(None).cast("int").alias("normalized_length"),
-            F.lit(None).cast("double").alias("edit_distance_ratio"),
-            F.lit("latin").alias("language"),
-            F.lit(False).alias("evasion_detected"),
-            F.array().cast("array<string>").alias("evasion_techniques"),
-        ),
-    ).otherwise(
-        F.struct(
-            F.col("_final").alias("text"),
-            F.length(raw).alias("original_length"),
-            F.length("_final").alias("normalized_length"),
-            text.edit_ratio(raw, F.col("_final")).alias("edit_distance_ratio"),
-            F.col("_lang").alias("language"),
-            (F.size("_tech") > 0).alias("evasion_detected"),
-            F.col("_tech").alias("evasion_techniques"),
-        )
-    )
     # explode over one element: a filter on the result must not be pushed below this point, where
     # Catalyst would spell out every stage once per mention.
-    return g.select(*rest, F.explode(F.array(norm)).alias("norm"))
+    stages = F.struct(F.col("_letters").alias("text"), F.col("_lang").alias("lang"), techniques.alias("tech"))
+    g = e.select(*rest, F.explode(F.array(stages)).alias("_n"))
+    if translator is not None:
+        g = g.withColumn("_final", translate_non_latin(F.col("_n.text"), F.col("_n.lang"), translator))
+    final = F.col("_n.text" if translator is None else "_final")
+
+    def unless_short(short_value, value: Column) -> Column:
+        return F.when(short, short_value).otherwise(value)
+
+    nothing = F.lit(None)
+    norm = F.struct(
+        unless_short(raw, final).alias("text"),
+        unless_short(nothing, F.length(raw)).alias("original_length"),
+        unless_short(nothing, F.length(final)).alias("normalized_length"),
+        unless_short(nothing, text.edit_ratio(raw, final)).alias("edit_distance_ratio"),
+        unless_short(F.lit("latin"), F.col("_n.lang")).alias("language"),
+        unless_short(F.lit(False), F.size("_n.tech") > 0).alias("evasion_detected"),
+        unless_short(F.array().cast("array<string>"), F.col("_n.tech")).alias("evasion_techniques"),
+    )
+    return g.select(*rest, norm.alias("norm"))
 
 
 def evasion_events(normalized: DataFrame, col: str = "text") -> DataFrame:

@@ -44,7 +44,8 @@ def _finish(df: DataFrame, canary: str) -> DataFrame:
 def load_rules(spark: SparkSession, path: str, canary: str) -> DataFrame:
     """Rules of a JSON array file in file order (``pos``)."""
     raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.posexplode(F.from_json("value", f"array<struct<{RULE_FIELDS.replace(' ', ':').replace(',:', ', ')}>>")).alias("pos", "r"))
+    fields = ", ".join(f"{n}: {t}" for n, t in (f.split() for f in RULE_FIELDS.split(", ")))
+    parsed = raw.select(F.posexplode(F.from_json("value", f"array<struct<{fields}>>")).alias("pos", "r"))
     return _finish(parsed.select("pos", "r.*"), canary)
 
 
