@@ -115,14 +115,39 @@ def match_best(
     action_field: str | None = "casb_action", layer_aliases: dict[str, str] | None = None,
 ) -> DataFrame:
     """The highest level per event, ties by rule order; picked inside the row, no shuffle."""
-    kinds = ("base", "severity", "action")
-    m = _matched(events, kinds, source, product, action_field, layer_aliases)
-    best = events.withColumn("_m", F.array_max(m)).filter("_m is not null")
-    return best.select(
-        *events.columns, "_m.rule_id", "_m.level", "_m.description", "_m.groups", "_m.techniques"
+    tests = _tests(events, source, product, action_field, layer_aliases)
+    flat = [pair for kind in ("base", "severity", "action") for pair in tests[kind]]
+    # Rank with plain numbers first (level, then file order); only the winner's texts are put
+    # together.  explode over one element keeps filters on the result from being pushed into the
+    # rank, where Catalyst would repeat it once per mention.
+    ranks = [F.when(on, level * 1000 - pos) for pos, ((on, _), level) in enumerate(zip(flat, _levels()))]
+    ranked = events.select(*events.columns, F.explode(F.array(F.greatest(*ranks))).alias("_best"))
+    level = F.ceil(F.col("_best") / 1000).cast("int")
+    ranked = ranked.filter("_best is not null").select(
+        *events.columns, level.alias("_level"), (level * 1000 - F.col("_best")).alias("_pos")
+    )
+    texts = [V.BASE_RULE[2:], *[r[3:] for r in V.SEVERITY_RULES], *[r[4:] for r in V.ACTION_RULES]]
+    ids = [r[0] for r in (V.BASE_RULE, *V.SEVERITY_RULES, *V.ACTION_RULES)]
+    described = F.lit(None).cast("string")
+    for pos, (template, _, _) in enumerate(texts):
+        described = F.when(F.col("_pos") == pos, fill(template, ranked, product)).otherwise(described)
+    words = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    nth = F.col("_pos") + 1
+    return ranked.select(
+        *events.columns,
+        F.element_at(F.array(*[F.lit(i) for i in ids]), nth).alias("rule_id"),
+        F.col("_level").alias("level"),
+        described.alias("description"),
+        F.element_at(F.array(*[words(g) for _, g, _ in texts]), nth).alias("groups"),
+        F.element_at(F.array(*[words(t) for _, _, t in texts]), nth).alias("techniques"),
     )
 
 
+def _levels() -> list[int]:
+    """Level per rule, in the order of :func:`_tests`."""
+    return [V.BASE_RULE[1], *[r[1] for r in V.SEVERITY_RULES], *[r[1] for r in V.ACTION_RULES]]
+
+
 def frequency_rules(
     events: DataFrame, source: str = SOURCE, product: str = PRODUCT, action_field: str | None = "casb_action"
 ) -> DataFrame:
@@ -191,18 +216,26 @@ def route_alerts(alerts: DataFrame) -> DataFrame:
     The rank is only needed up to 12, which Spark cuts before the shuffle, so an hour full of
     alerts does not meet in one task.
     """
-    hour = F.floor(F.col("us") / HOUR)
+    hour = F.floor(F.col("us") / HOUR).cast("long")
+    key = F.struct("us", "event_id", "rule_id")
     w = Window.partitionBy("_hour").orderBy("us", "event_id", "rule_id")
     loud = alerts.filter(F.col("level") >= V.NOTIFY_LEVEL).select("event_id", "rule_id", "us", hour.alias("_hour"))
-    sent = (
+    # One row per hour: the last alert that still goes out.
+    cut = (
         loud.withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= V.NOTIFY_PER_HOUR)
-        .select("event_id", "rule_id", F.lit(True).alias("_sent"))
+        .groupBy("_hour")
+        .agg(F.max(key).alias("_cut"))
     )
-    return alerts.join(sent, ["event_id", "rule_id"], "left").select(
-        *alerts.columns,
-        F.when(F.col("_sent"), "notify")
-        .when(F.col("level") >= V.LOG_LEVEL, "log")
-        .otherwise("drop")
-        .alias("route"),
+    loud_enough = F.col("level") >= V.NOTIFY_LEVEL
+    return (
+        alerts.withColumn("_hour", hour)
+        .join(cut, "_hour", "left")
+        .select(
+            *alerts.columns,
+            F.when(loud_enough & (key <= F.col("_cut")), "notify")
+            .when(F.col("level") >= V.LOG_LEVEL, "log")
+            .otherwise("drop")
+            .alias("route"),
+        )
     )

@@ -22,13 +22,13 @@ def now_us(factor: int) -> int:
     return BASE_US + MONTH_US // factor
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+DEALT_TABLES = ("documents", "pages", "conversations", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; tables of long texts are dealt out to all cores, as the work is per text."""
+    """A driver table; the ones with work per row are dealt out to all cores when they have too few splits."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if name in DEALT_TABLES else df
 
 
 # ---------------------------------------------------------------- gateway events
