@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-import zipfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,4 +88,7 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # Stateful streams also start a Python process beside the driver, which sees no added files.
+    env = spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(p for p in (str(root.parent), env.get("PYTHONPATH")) if p)
     spark.conf.set("spark.wardline.shipped", "true")
