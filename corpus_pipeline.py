@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wardline.llm import language, packing, quality
+from wardline.llm import language, neardup, packing, quality
 from wardline.llm.catalog import WORD_BPE
 from wardline.llm.common import table
 from wardline.session import landed, ship_package
@@ -32,6 +31,12 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.reject(docs, quality.fit(quality.with_features(known), labels))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates: five-word shingles, likeness 0.8 or more."""
+    ship_package(spark)
+    return neardup.one_of_each(docs, neardup.Likeness(words=5, percent=80))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
     ship_package(spark)
@@ -41,6 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", identify_language),
     ("quality", judge_quality),
+    ("near-duplicates", drop_near_duplicates),
     ("packing", pack),
 ]
 

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wardline.llm import bytebpe, language, lengths, packing, quality
+from wardline.llm import bytebpe, fingerprint, language, lengths, lines, neardup, packing, quality, toxicity, urls
 from wardline.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+def line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(table(spark, sf_dir, "documents"))
+
+
+def hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), neardup.Likeness(words=3, percent=85))
+
+
+def nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabularies.path(BYTE_BPE), vocabularies.PATTERN)
 
@@ -29,17 +44,29 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.report(table(spark, sf_dir, "documents"), vocabularies.path(BYTE_BPE), vocabularies.PATTERN)
 
 
+def url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs, language.fit(language.training_rows(docs)))
 
 
 QUERIES = {
+    "op1_lempel_ziv_fingerprints": lempel_ziv_fingerprints,
+    "op2_line_frequency": line_frequency,
+    "op3_hyperminhash": hyperminhash,
+    "op4_nearest_toxic": nearest_toxic,
     "op5_byte_level_bpe": byte_level_bpe,
     "op6_hilbert_packing": hilbert_packing,
     "op7_quadratic_discriminant": quadratic_discriminant,
     "op8_length_histogram": length_histogram,
+    "op9_url_language_models": url_language_models,
     "op10_string_kernel_language": string_kernel_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_frequency": lines.ORACLE,
+    "op9_url_language_models": urls.ORACLE,
+}
