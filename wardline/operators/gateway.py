@@ -37,12 +37,14 @@ def inspect_ingress(
     compat: bool = True,
     inspect_original: bool = False,
     scorer: ScorerFactory = lexical_scorer,
+    part: str = "whole",
 ) -> DataFrame:
     """Add ``decision`` (allow / block), ``blocked_by`` and ``events`` (what was recorded).
 
     forward: normalise, note evasion, entropy is only logged, the first rule blocks.
     reverse: entropy blocks, then the first rule.
-    message: entropy blocks, then the injection score, then the first rule.
+    message: entropy blocks, then the injection score (of the whole text, or of the ``part`` that
+    :func:`score_injection` names), then the first rule.
     ``inspect_original`` also tries the rules on the untouched text: undoing leetspeak or hex can
     hide an address or a card number from them.
     """
@@ -68,7 +70,7 @@ def inspect_ingress(
     elif mode in ("reverse", "message"):
         n = df.withColumn("_e", entropy_violation(F.col(col)))
         if mode == "message":
-            n = score_injection(n, col, scorer, part="tail")
+            n = score_injection(n, col, scorer, part=part)
             injected = F.col("blocked")
         else:
             injected = F.lit(False)
@@ -105,7 +107,8 @@ def inspect_egress(
     """Add ``decision`` (pass / redact / block), ``delivered`` text, ``rule`` names, ``unredacted``.
 
     The answer is tested as reassembled text, redaction works on the raw body: a secret cut
-    across stream chunks is found but not replaced, which ``unredacted`` reports.
+    across stream chunks is found but not replaced, which ``unredacted`` reports.  ``events`` is the
+    telemetry, ``risk_events`` what counts towards the user's risk.
     """
     read = df.withColumn("_text", reassemble_sse(F.col(col)) if mode == "forward" else F.col(col))
     read = read.withColumn("_leak", canary_hit(F.col("_text"), canary))
@@ -133,15 +136,19 @@ def inspect_egress(
         F.when(leak, "Canary Token Exfiltration").when(hit, names).otherwise("").alias("rule"),
         F.coalesce(~leak & hit & (F.size("violated") == 0), F.lit(False)).alias("unredacted"),
         F.when(leak, 403).otherwise(200).alias("status"),
+        _events(
+            (leak, _event("dlp_block", "critical", "Canary Token Exfiltration", "L3_Canary_Token")),
+            (~leak & hit, _event("dlp_redact", "high", names, "L3_DLP_Regex_Egress")),
+        ).alias("events"),
         _events(
             (leak, _event("intrusion_detected", "critical", "Canary Token Exfiltration", "L3_Canary_Honeypot")),
             (~leak & hit, _event("egress_flagged", "high", names, "L3_DLP_Regex_Egress")),
-        ).alias("events"),
+        ).alias("risk_events"),
     )
 
 
-def emitted_events(inspected: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per recorded event, in recording order (``step``)."""
-    return inspected.select(*keep, F.posexplode("events").alias("step", "_ev")).select(
+def emitted_events(inspected: DataFrame, keep: list[str], of: str = "events") -> DataFrame:
+    """One row per recorded event, in recording order (``step``); ``of``: events or risk_events."""
+    return inspected.select(*keep, F.posexplode(of).alias("step", "_ev")).select(
         *keep, "step", "_ev.*"
     )

@@ -9,6 +9,8 @@ from wardline import vocab as V
 
 #: Java's ``\b \d \s`` are ASCII unless told otherwise; rule authors expect Unicode classes.
 UNICODE = "(?U)"
+#: Rules in one expression.
+CHUNK = 100
 
 
 def found(c: Column, pattern: str) -> Column:
@@ -27,18 +29,21 @@ def _rule_struct(rule: dict, c: Column, with_match: bool) -> Column:
 def first_match(c: Column, rules: list[dict], with_match: bool = False) -> Column:
     """struct of the first rule (file order) found in ``c``, else NULL.
 
-    One ``case when``: stops at the first hit, needs no join and no shuffle.
+    A ``case when`` for each ``CHUNK`` rules, the first that hits wins: stops at the first hit, needs
+    no join and no shuffle.
     """
     if not rules:
         return F.lit(None).cast(
             "struct<id:string,name:string,severity:string,detail:string"
             + (",matched:string>" if with_match else ">")
         )
-    chain = None
-    for rule in rules:
-        hit, value = found(c, rule["pattern"]), _rule_struct(rule, c, with_match)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+    chains = []
+    for i in range(0, len(rules), CHUNK):
+        chain = F
+        for rule in rules[i : i + CHUNK]:
+            chain = chain.when(found(c, rule["pattern"]), _rule_struct(rule, c, with_match))
+        chains.append(chain)
+    return F.coalesce(*chains) if len(chains) > 1 else chains[0]
 
 
 def redact(df: DataFrame, col: str, rules: list[dict], out: str = "redacted") -> DataFrame:
@@ -143,7 +148,8 @@ def blocklist_rules(phrases: DataFrame, id_col: str, phrase_col: str) -> DataFra
 
 
 SHINGLE = 3
-MAX_SHORT_PHRASES = 500
+#: Longest run of characters by which very short phrases meet texts.
+GRAM = 4
 
 
 def _pieces(c: Column) -> Column:
@@ -165,6 +171,17 @@ def _shingles(parts: Column) -> Column:
     return F.array_distinct(joined)
 
 
+def _grams(c: Column) -> Column:
+    """Hashes of the distinct runs of one to ``GRAM`` characters."""
+    runs = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: x)
+    found = []
+    for n in range(1, GRAM + 1):
+        found.append(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(F.lit(n), x))))
+        longer = F.slice(F.split(c, ""), n + 1, F.greatest(F.size(F.split(c, "")) - n, F.lit(0)))
+        runs = F.filter(F.zip_with(runs, longer, lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
+    return F.concat(*found)
+
+
 def blocklist_hits(
     docs: DataFrame, doc_id: str, col: str, phrases: DataFrame, id_col: str, phrase_col: str
 ) -> DataFrame:
@@ -172,7 +189,8 @@ def blocklist_hits(
 
     A phrase of at least five blank-separated pieces has three inner pieces that must stand in
     the text exactly, so both sides meet by equi-join on the hash of such a run and only the
-    pairs that meet are verified.  Shorter phrases are tested in literal batches.
+    pairs that meet are verified.  Shorter phrases meet texts by their first ``GRAM`` characters
+    (all of them, if they are fewer).
     """
     size = F.size(_pieces(F.col(phrase_col)))
     long_ones = phrases.filter((size >= SHINGLE + 2) & (F.length(phrase_col) > 0))
@@ -187,21 +205,17 @@ def blocklist_hits(
         F.col(doc_id),
         F.explode(F.array_distinct(F.transform(_shingles(_pieces(F.col(col))), lambda x: F.xxhash64(x)))).alias("_k"),
     )
+    start = F.substring(F.col(phrase_col), 1, GRAM)
+    short_anchor = short_ones.select(F.col(id_col), F.xxhash64(F.length(start), start).alias("_k"))
+    short_keys = docs.select(F.col(doc_id), F.explode(_grams(F.col(col))).alias("_k"))
     # Keys first, texts later: only documents that met an anchor carry their text over the wire.
-    met = keys.join(anchor.select("_k", id_col), "_k").select(doc_id, id_col).distinct()
-    pairs = (
+    met = (
+        keys.join(anchor.select("_k", id_col), "_k").select(doc_id, id_col)
+        .unionByName(short_keys.join(short_anchor, "_k").select(doc_id, id_col)).distinct()
+    )
+    return (
         met.join(docs.select(doc_id, col), doc_id)
         .join(phrases.select(id_col, phrase_col), id_col)
         .filter(F.col(col).contains(F.col(phrase_col)))
         .select(doc_id, id_col)
     )
-
-    rows = [(r[0], r[1]) for r in short_ones.select(id_col, phrase_col).limit(MAX_SHORT_PHRASES + 1).collect()]
-    if len(rows) > MAX_SHORT_PHRASES:
-        raise ValueError(f"more than {MAX_SHORT_PHRASES} very short phrases; pass them in several calls")
-    if not rows:
-        return pairs
-    key_type = phrases.schema[id_col].dataType
-    tests = F.array(*[F.when(F.col(col).contains(p), F.lit(i).cast(key_type)) for i, p in rows])
-    few = docs.select(doc_id, F.explode(F.array_compact(tests)).alias(id_col))
-    return pairs.unionByName(few)

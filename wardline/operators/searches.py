@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
-from wardline.operators.timeline import MICROS
+from wardline.operators.timeline import HOUR, MICROS, running, with_lookback
 
 TICK = "5 minutes"
 
@@ -93,50 +96,98 @@ def alert_prompts(events: DataFrame, alerts: DataFrame, search: str) -> DataFram
     return rows.join(alerts.select("user", "start_us"), ["user", "start_us"], "left_semi").distinct()
 
 
+def _let_through(batches: Iterator[pd.DataFrame], period: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by user, island and time: keep those a period or more after the last one kept."""
+    key, last = None, None
+    for pdf in batches:
+        keep = []
+        for user, island, t in zip(pdf["user"], pdf["island"], pdf["t"]):
+            if (user, island) != key:
+                key, last = (user, island), None
+            fires = last is None or t - last >= period
+            last = t if fires else last
+            keep.append(fires)
+        yield pdf.loc[keep, ["user", "t"]]
+
+
 def suppress(alerts: DataFrame, minutes: int, us: str = "end_us") -> DataFrame:
     """Drop alerts of a user that fall within ``minutes`` of the last one let through.
 
-    Alerts come at most once per tick and user, so a user's list is bounded by the time span
-    (about 100,000 instants a year); the greedy pass runs over that list inside the JVM.
+    An alert that comes ``minutes`` or more after the one before it always passes, so a user's alerts
+    fall into islands that are judged apart: each is walked once, in order, holding one instant.
     """
     period = minutes * 60 * MICROS
-    times = F.array_sort(F.collect_set(us))
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out")
+    times = alerts.select("user", F.col(us).alias("t")).distinct()
+    at = with_lookback(times, "t", min(period, HOUR), HOUR) if period <= HOUR else None
+    if at is None:
+        w = Window.partitionBy("user").orderBy("t")
+        marked = times.withColumn("_prev", F.lag("t").over(w))
+    else:
+        w = Window.partitionBy("user", "_slot").orderBy("t")
+        marked = at.withColumn("_prev", F.lag("t").over(w)).filter("_home").drop("_slot", "_home")
+    opens = F.col("_prev").isNull() | (F.col("t") - F.col("_prev") >= period)
+    islands = running(marked, ["user"], "t", ["t"], maxes={"island": F.when(opens, F.col("t"))}).select("user", "island", "t")
+    kept = (
+        islands.repartition("user", "island").sortWithinPartitions("user", "island", "t")
+        .mapInPandas(lambda batches: _let_through(batches, period), islands.select("user", "t").schema)
+        .withColumnRenamed("t", us)
     )
+    return alerts.join(kept, ["user", us], "left_semi")
 
-    def step(acc: Column, t: Column) -> Column:
-        fires = acc["last"].isNull() | (t - acc["last"] >= period)
-        return F.struct(
-            F.when(fires, t).otherwise(acc["last"]).alias("last"),
-            F.when(fires, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"),
-        )
 
-    fired = alerts.groupBy("user").agg(
-        F.aggregate(times, start, step, lambda acc: acc["out"]).alias("_t")
+_BEHAVIOR_COUNTS = {
+    s: f"{s[:4] if s == 'critical' else s[:3] if s == 'medium' else s}_count" for s in V.BEHAVIOR_WEIGHTS
+}
+
+
+def _with_status(g: DataFrame) -> DataFrame:
+    score = sum((F.col(_BEHAVIOR_COUNTS[s]) * w for s, w in V.BEHAVIOR_WEIGHTS.items()), F.lit(0))
+    status = F.lit("NOMINAL")
+    for severity, least, name in reversed(V.BEHAVIOR_STATUS):
+        status = F.when(F.col(_BEHAVIOR_COUNTS[severity]) >= least, name).otherwise(status)
+    return g.withColumns({"risk_score": score, "risk_status": status}).filter("risk_status <> 'NOMINAL'")
+
+
+def behavioral_risk(events: DataFrame, seconds: int = 120) -> DataFrame:
+    """Weighted severity counts of the ``seconds`` up to and including each event of a user; the first
+    threshold met names the status.
+
+    The window rolls with the events, so a burst is seen wherever it lies.  Rows are cut into hours plus
+    the look-back, so one user's flood is spread over tasks.  Equal instants count together and give one row.
+    """
+    span = seconds * MICROS
+    src = events.filter(F.col("user").isNotNull() & F.col("action").isin(*V.BEHAVIOR_ACTIONS))
+    # One row per instant, counted before the shuffle.
+    instants = src.groupBy("user", "us").agg(
+        *[F.count_if(F.col("severity") == s).alias(n) for s, n in _BEHAVIOR_COUNTS.items()],
+        F.max(F.struct("event_id", "prompt_preview"))["prompt_preview"].alias("last_prompt"),
+        F.collect_set("rule").alias("_rules"),
+    )
+    cut = with_lookback(instants, "us", span, max(HOUR, span))
+    w = Window.partitionBy("user", "_slot").orderBy("us").rangeBetween(-span + 1, 0)
+    rolled = cut.select(
+        "user", "us", "last_prompt", "_home",
+        *[F.sum(n).over(w).alias(n) for n in _BEHAVIOR_COUNTS.values()],
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("_rules").over(w)))), "|").alias("triggered_rules"),
+    ).filter("_home")
+    return _with_status(rolled).select(
+        (F.col("us") - span + 1).alias("start_us"), F.col("us").alias("end_us"), "user",
+        "risk_status", "risk_score", *_BEHAVIOR_COUNTS.values(), "triggered_rules", "last_prompt",
     )
-    kept = fired.select("user", F.explode("_t").alias(us))
-    return alerts.join(kept, ["user", us], "left_semi")
 
 
-def behavioral_risk(events: DataFrame, window: str = "2 minutes") -> DataFrame:
-    """Weighted severity counts per user and window; the first threshold met names the status."""
+def behavioral_risk_windows(events: DataFrame, window: str = "2 minutes", slide: str | None = None) -> DataFrame:
+    """The same over fixed (or, with ``slide``, overlapping) windows; works on streams too."""
     src = events.filter(F.col("action").isin(*V.BEHAVIOR_ACTIONS))
-    counts = {s: f"{s[:4] if s == 'critical' else s[:3] if s == 'medium' else s}_count" for s in V.BEHAVIOR_WEIGHTS}
     g = _windowed(
-        src, window, None,
-        [F.count_if(F.col("severity") == s).alias(n) for s, n in counts.items()]
+        src, window, slide,
+        [F.count_if(F.col("severity") == s).alias(n) for s, n in _BEHAVIOR_COUNTS.items()]
         + [
             F.max_by("prompt_preview", F.struct("us", "event_id")).alias("last_prompt"),
             F.array_join(F.sort_array(F.collect_set("rule")), "|").alias("triggered_rules"),
         ],
     )
-    score = sum((F.col(counts[s]) * w for s, w in V.BEHAVIOR_WEIGHTS.items()), F.lit(0))
-    status = F.lit("NOMINAL")
-    for severity, least, name in reversed(V.BEHAVIOR_STATUS):
-        status = F.when(F.col(counts[severity]) >= least, name).otherwise(status)
-    g = g.withColumns({"risk_score": score, "risk_status": status}).filter("risk_status <> 'NOMINAL'")
-    return _flat(g, "risk_status", "risk_score", *counts.values(), "triggered_rules", "last_prompt")
+    return _flat(_with_status(g), "risk_status", "risk_score", *_BEHAVIOR_COUNTS.values(), "triggered_rules", "last_prompt")
 
 
 def _last_day(events: DataFrame, now_us: int, hours: int = 24) -> DataFrame:

@@ -415,29 +415,29 @@ def blocklist_rules(s, d):
     return inspect.blocklist_rules(X.table(s, d, "benchmark"), "item_id", "text").select("id", "name", "pattern", "severity", "scope")
 
 
-_TEST = r"(?i)\b[a-z]*tion\b"
+_TEST = r"(?i)[a-z]*tion[a-z]*"
 
 
 @query("backtest_rule", f"""
     SELECT prompt_id, regexp_matches(text, {q_(_TEST)}) AS is_match,
       CASE WHEN regexp_matches(text, {q_(_TEST)}) THEN regexp_extract(text, {q_(_TEST)}, 0) END AS matched FROM (
-      SELECT doc_id AS prompt_id, text FROM documents WHERE lang = 'en')""")
+      SELECT doc_id AS prompt_id, text FROM documents)""")
 def backtest_rule(s, d):
-    docs = X.table(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("prompt_id"), "text")
+    docs = X.table(s, d, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
     return inspect.backtest_rule(docs, "text", _TEST).drop("text")
 
 
 @query("backtest_summary", f"""
     SELECT count(*) AS rows, count(*) FILTER (WHERE regexp_matches(text, {q_(_TEST)})) AS hits,
       round(count(*) FILTER (WHERE regexp_matches(text, {q_(_TEST)})) / count(*), 6) AS hit_rate
-    FROM documents WHERE lang = 'en'""")
+    FROM documents""")
 def backtest_summary(s, d):
-    docs = X.table(s, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    docs = X.table(s, d, "documents").select("doc_id", "text")
     return inspect.backtest_summary(inspect.backtest_rule(docs, "text", _TEST))
 
 
-def _flat_events(df: DataFrame) -> DataFrame:
-    return df.withColumn("events", F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["action"], e["severity"])), "|"))
+def _flat_events(df: DataFrame, of: str = "events") -> DataFrame:
+    return df.withColumn(of, F.array_join(F.transform(of, lambda e: F.concat_ws(":", e["action"], e["severity"])), "|"))
 
 
 @query("inspect_ingress", f"""
@@ -472,11 +472,12 @@ def ingress_events(s, d):
 @query("inspect_egress", f"""
     SELECT flow_id, CASE WHEN leak THEN 'block' WHEN rule IS NOT NULL THEN 'redact' ELSE 'pass' END AS decision,
       CASE WHEN leak THEN 403 ELSE 200 END AS status,
-      CASE WHEN leak THEN 'intrusion_detected:critical' WHEN rule IS NOT NULL THEN 'egress_flagged:high' ELSE '' END AS events
+      CASE WHEN leak THEN 'dlp_block:critical' WHEN rule IS NOT NULL THEN 'dlp_redact:high' ELSE '' END AS events,
+      CASE WHEN leak THEN 'intrusion_detected:critical' WHEN rule IS NOT NULL THEN 'egress_flagged:high' ELSE '' END AS risk_events
     FROM (SELECT flow_id, contains(text, {q_(X.CANARY)}) AS leak, {_first_sql('egress', 1)} AS rule FROM ({X.SSE_TEXT_SQL}))""")
 def inspect_egress(s, d):
     r = gateway.inspect_egress(X.sse_bodies(s, d), compiled(s, "egress"), X.CANARY)
-    return _flat_events(r).select("flow_id", "decision", "status", "events")
+    return _flat_events(_flat_events(r), "risk_events").select("flow_id", "decision", "status", "events", "risk_events")
 
 
 @query("inspect_egress_message", f"""
@@ -908,14 +909,37 @@ def behavior_sql(minutes: int) -> str:
     WHERE risk_status <> 'NOMINAL'"""
 
 
-@query("behavioral_risk", behavior_sql(2))
+def rolling_sql(seconds: int) -> str:
+    span = seconds * MICROS
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE e.severity = '{s}') AS {n}_count"
+        for s, n in (("critical", "crit"), ("high", "high"), ("medium", "med"), ("low", "low"))
+    )
+    return f"""
+    WITH e AS MATERIALIZED (SELECT * FROM ({S240}) WHERE action IN ({BEHAVIOR_LIST}))
+    SELECT * FROM (SELECT *, 100 * crit_count + 50 * high_count + 25 * med_count + 10 * low_count AS risk_score,
+      CASE WHEN crit_count >= 1 THEN 'CRITICAL_BREACH' WHEN high_count >= 3 THEN 'HIGH_BEHAVIORAL_RISK'
+        WHEN med_count >= 5 THEN 'MEDIUM_BEHAVIORAL_RISK' WHEN low_count >= 7 THEN 'LOW_BEHAVIORAL_RISK' ELSE 'NOMINAL' END AS risk_status
+    FROM (SELECT t.us - {span} + 1 AS start_us, t.us AS end_us, t.user, {counts},
+        arg_max(e.prompt_preview, (e.us, e.event_id)) AS last_prompt, array_to_string(list_sort(list_distinct(list(e.rule))), '|') AS triggered_rules
+      FROM (SELECT DISTINCT user, us FROM e) t JOIN e ON e.user = t.user AND e.us > t.us - {span} AND e.us <= t.us
+      GROUP BY t.user, t.us))
+    WHERE risk_status <> 'NOMINAL'"""
+
+
+@query("behavioral_risk", rolling_sql(120))
 def behavioral_risk(s, d):
     return searches.behavioral_risk(siem240(s, d))
 
 
+@query("behavioral_risk_windows", behavior_sql(2))
+def behavioral_risk_windows(s, d):
+    return searches.behavioral_risk_windows(siem240(s, d))
+
+
 @query("behavioral_risk_hourly", behavior_sql(60))
 def behavioral_risk_hourly(s, d):
-    return searches.behavioral_risk(siem240(s, d), "60 minutes")
+    return searches.behavioral_risk_windows(siem240(s, d), "60 minutes")
 
 
 DAY_SQL = f"us >= {SIEM_NOW - 24 * HOUR} AND us < {SIEM_NOW}"
@@ -1245,7 +1269,7 @@ def slow_exfil_stream(s, d):
 
 @query("behavioral_risk_stream", f"SELECT * FROM ({behavior_sql(2)}) WHERE end_us <= {closed_sql(S240)}")
 def behavioral_risk_stream(s, d):
-    return streams.run_available(s, searches.behavioral_risk(stream240(s, d, "behavior")), "behavior")
+    return streams.run_available(s, searches.behavioral_risk_windows(stream240(s, d, "behavior")), "behavior")
 
 
 @query("risk_stream", f"SELECT event_id, us, risk_score, risk_level FROM ({SCORED_SQL}) WHERE us <= {closed_sql(G8)}")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.session import spread
-
 BASE_US = 1704067200000000  # 2024-01-01 00:00:00 UTC
 MONTH_US = 30 * 86400 * 1_000_000
 CANARY = "sk-canary-5f1d7a90-fixture"
@@ -22,13 +20,9 @@ def now_us(factor: int) -> int:
     return BASE_US + MONTH_US // factor
 
 
-DEALT_TABLES = ("documents", "pages", "conversations", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the ones with work per row are dealt out to all cores when they have too few splits."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in DEALT_TABLES else df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- gateway events
@@ -210,12 +204,18 @@ PROMPTS_SQL = f"""
 
 # ---------------------------------------------------------------- chats and streams
 
+#: Plain text that begins like an array of parts.
+ARRAY_LIKE = '[{"text": "a"}] [] '
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request body per conversation; some with array content, some not JSON at all."""
     c = table(spark, sf_dir, "conversations")
     tagged = F.when(
         (F.col("role") == "user") & (F.col("conv_id") % 5 == 2),
         F.concat(F.lit("<context>x</context><userRequest>\n "), F.col("text"), F.lit(" </userRequest>")),
+    ).when(
+        F.col("conv_id") % 11 == 4, F.concat(F.lit(ARRAY_LIKE), F.col("text"))
     ).otherwise(F.col("text"))
     plain = F.to_json(F.struct("role", F.col("said").alias("content")))
     parts = F.to_json(F.struct("role", F.array(F.struct(F.col("said").alias("text"))).alias("content")))
@@ -238,14 +238,15 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What the last user message of each request must be, straight from the turns.
-LAST_MESSAGE_SQL = """
+LAST_MESSAGE_SQL = f"""
     SELECT conv_id AS request_id,
       CASE WHEN conv_id % 7 = 6 THEN 'raw: ' || first_said ELSE last_said END AS message
     FROM (
       SELECT conv_id, arg_min(said, turn) AS first_said,
         arg_max(said, turn) FILTER (WHERE role = 'user') AS last_said
       FROM (SELECT *, CASE WHEN role = 'user' AND conv_id % 5 = 2
-              THEN '<context>x</context><userRequest>' || chr(10) || ' ' || text || ' </userRequest>' ELSE text END AS said
+              THEN '<context>x</context><userRequest>' || chr(10) || ' ' || text || ' </userRequest>'
+              WHEN conv_id % 11 = 4 THEN {_quote(ARRAY_LIKE)} || text ELSE text END AS said
             FROM conversations)
       GROUP BY conv_id)
 """

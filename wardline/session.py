@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,12 +35,16 @@ def builder(app: str = "wardline") -> SparkSession.Builder:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary local folder stands in.
+    Only where that setting is absent and driver and executors are one process (tests, a laptop) a
+    temporary local folder stands in; on a cluster its absence is an error, since a folder of one
+    machine would lose the rows that other machines write.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="wardline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -56,28 +61,6 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (an upper bound for filters and projections)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
-
-
-def within(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
-    """True when the estimate of ``df`` proves it small enough to ship to every task."""
-    return size_in_bytes(df) <= max_bytes
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when an input has fewer splits than the cluster has cores.
-
-    Only small inputs (few, unsplittable files) are affected; a large one has splits enough and
-    is passed through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= cores else df.repartition(cores)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package (once per session); they may start in another folder."""
     if spark.conf.get("spark.wardline.shipped", None):

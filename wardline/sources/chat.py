@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline import vocab as V
 
-_MESSAGES = "struct<messages: array<struct<role: string, content: string>>>"
+#: Content stays unparsed, so that its JSON type is known: a text may look like an array.
+_MESSAGES = "struct<messages: array<struct<role: string, content: variant>>>"
 _PARTS = "array<struct<text: string>>"
 _CHUNK = "struct<choices: array<struct<delta: struct<content: string>>>>"
 
@@ -37,9 +38,11 @@ def filter_ai_chat(
 
 def _content_text(content: Column) -> Column:
     """A message's text: plain, or the text parts of an array joined by a blank."""
-    parts = F.from_json(content, _PARTS)
+    parts = F.try_variant_get(content, "$", _PARTS)
     joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " ")
-    return F.when(content.startswith("[") & parts.isNotNull(), joined).otherwise(content)
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), joined).otherwise(
+        F.try_variant_get(content, "$", "string")
+    )
 
 
 def last_user_message(df: DataFrame, body: str = "body", out: str = "message") -> DataFrame:
@@ -82,13 +85,13 @@ def reassemble_sse(c: Column) -> Column:
 
 
 def reassemble_chunks(df: DataFrame, flow: str = "flow_id", seq: str = "seq", line: str = "line") -> DataFrame:
-    """The same from one row per line: lines are read before the shuffle, so only text travels."""
+    """The same from one row per line; a group holds the lines of one answer."""
     read = df.select(flow, seq, _line_text(F.trim(F.col(line))).alias("t"), F.col(line).alias("raw"))
-    return read.groupBy(flow).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct(seq, "t")))), lambda x: x["t"]),
-            "",
-        ).alias("text")
+    lines = read.groupBy(flow).agg(F.sort_array(F.collect_list(F.struct(seq, "t", "raw"))).alias("_l"))
+    text = F.array_join(F.array_compact(F.transform("_l", lambda x: x["t"])), "")
+    raw = F.array_join(F.transform("_l", lambda x: F.coalesce(x["raw"], F.lit(""))), "\n")
+    return lines.select(flow, text.alias("text"), raw.alias("_raw")).select(
+        flow, F.when(F.col("text") != "", F.col("text")).otherwise(F.col("_raw")).alias("text")
     )
 
 

@@ -27,7 +27,7 @@ def detections_stream(stream: DataFrame) -> dict[str, DataFrame]:
         "brute_force": searches.brute_force(stream),
         "probe_strike": searches.probe_strike(stream),
         "slow_exfil": searches.slow_exfil(stream),
-        "behavioral_risk": searches.behavioral_risk(stream),
+        "behavioral_risk": searches.behavioral_risk_windows(stream),
     }
 
 
@@ -189,9 +189,9 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def as_stream(spark: SparkSession, df: DataFrame, name: str, files: int = 8, watermark: str = "10 minutes", files_per_batch: int = 1000) -> DataFrame:
+def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "10 minutes", files_per_batch: int = 1000) -> DataFrame:
     """Land ``df`` as time-ordered files in the scratch folder and read them back as a stream."""
     path = scratch_dir(spark, f"{name}-in")
-    df.repartitionByRange(files, "us").write.parquet(path)
+    df.repartitionByRange("us").write.parquet(path)
     raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return raw.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
