@@ -94,3 +94,43 @@ def test_redaction_is_reported(spark):
     assert [e["action"] for e in got[1]["events"]] == ["dlp_redact"] and got[1]["delivered"] == "card [REDACTED:Card]"
     assert [(e["action"], e["layer"]) for e in got[2]["events"]] == [("dlp_block", "L3_Canary_Token")]
     assert [e["action"] for e in got[2]["risk_events"]] == ["intrusion_detected"] and got[3]["events"] == []
+
+
+def test_risk_fold_is_not_quadratic():
+    import time
+
+    import pandas as pd
+
+    from wardline.operators import replay
+    from wardline.streaming import operators as streams
+
+    def seconds(n):
+        rows = pd.DataFrame({"us": [T0 + i * MICROS for i in range(n)], "event_id": range(n), "p10": 100, "r10": 1})
+        t = time.perf_counter()
+        streams._risk_fold(streams._risk_start(), rows)
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(5_000), 0.005)
+    live, plain = replay.new_risk(), []
+    for i in range(2000):
+        t, p, r = T0 + i * 97 * MICROS, (i * 37) % 90 + 1, (0, 1, 3, 10, 30)[i % 5]
+        plain = [x for x in plain if t - x[0] < replay.DAY and x[1] * replay.HOUR > x[2] * (t - x[0])]
+        assert replay.score(live, t) == sum(a * replay.HOUR - b * (t - s) for s, a, b in plain)
+        replay.add_points(live, t, p, r)
+        plain.append((t, p, r))
+
+
+def test_translator_gets_a_batch(spark):
+    from wardline.operators.normalize import translate_non_latin
+
+    def translator(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [f"{len(texts)}:{t}" for t in texts]
+
+    df = spark.createDataFrame([("a", "cyrillic"), ("b", "mixed"), ("c", "latin"), (None, "mixed")], "t string, lang string").coalesce(1)
+    got = [r[0] for r in df.select(translate_non_latin(F.col("t"), F.col("lang"), translator)).collect()]
+    assert got == ["2:a", "2:b", "c", None]
+    spoiled = spark.createDataFrame([("bad", "mixed"), ("b", "mixed")], "t string, lang string").coalesce(1)
+    assert [r[0] for r in spoiled.select(translate_non_latin(F.col("t"), F.col("lang"), translator)).collect()] == ["bad", "1:b"]

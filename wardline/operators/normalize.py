@@ -22,13 +22,21 @@ def translate_non_latin(c: Column, language: Column, translator: Translator | No
     def run(batch: pd.Series) -> pd.Series:
         out = batch.copy()
         todo = batch[batch.notna()]
-        for at, original in todo.items():
+
+        def ask(texts: list[str]) -> list:
+            """Answers in order; None for each text if the translator fails."""
             try:
-                got = translator([original])[0]
+                got = list(translator(texts))
+                return got if len(got) == len(texts) else [None] * len(texts)
             except Exception:  # a failing translator must not fail the job
-                got = None
-            if got and got.strip():
-                out[at] = got
+                return [None] * len(texts)
+
+        got = ask(todo.tolist()) if len(todo) else []
+        if len(todo) > 1 and not any(got):
+            got = [ask([t])[0] for t in todo]  # one bad text must not spoil its batch
+        for at, answer in zip(todo.index, got):
+            if answer and answer.strip():
+                out[at] = answer
         return out
 
     return F.coalesce(run(F.when(~language.isin("latin", "other"), c)), c)

@@ -9,6 +9,7 @@ does outlive a cut -- quarantine -- is carried over afterwards by a running maxi
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,14 +51,33 @@ def as_requests(inspected: DataFrame) -> DataFrame:
     )
 
 
+def new_risk() -> dict:
+    """Points of the last day: a heap of (end, height, rate) lines and the sums over it."""
+    return {"ends": [], "height": 0, "rate": 0}
+
+
 def new_state() -> dict:
-    return {"live": [], "v": None, "held": False, "recent": []}
+    return {"live": new_risk(), "v": None, "held": False, "recent": []}
+
+
+def add_points(live: dict, t: int, p: int, r: int) -> None:
+    """From ``t`` on a line ``p * HOUR - r * (now - t)`` counts, until it runs out or is a day old."""
+    end = t + DAY if r <= 0 else min(t + DAY, t - (-p * HOUR // r))
+    height = p * HOUR + r * t
+    heapq.heappush(live["ends"], [end, height, r])
+    live["height"] += height
+    live["rate"] += r
+
 
+def score(live: dict, now: int) -> int:
+    """Sum of decayed points in tenths times hours-in-microseconds; drops what ran out.
 
-def score(live: list, now: int) -> int:
-    """Sum of decayed points in tenths times hours-in-microseconds; drops what ran out."""
-    live[:] = [x for x in live if now - x[0] < DAY and x[1] * HOUR > x[2] * (now - x[0])]
-    return sum(p * HOUR - r * (now - t) for t, p, r in live)
+    Each line enters and leaves the sums once, so a run over n events takes n log n steps."""
+    while live["ends"] and live["ends"][0][0] <= now:
+        _, height, r = heapq.heappop(live["ends"])
+        live["height"] -= height
+        live["rate"] -= r
+    return live["height"] - live["rate"] * now
 
 
 def take_token(state: dict, now: int) -> bool:
@@ -95,13 +115,13 @@ def step(state: dict, us: int, evasion: bool, entropy: bool, rule, p_rule: int,
         return "rate_limited", n, None
     notes = []
     if evasion:
-        state["live"].append((us, _P_EVASION, _HIGH_RATE))
+        add_points(state["live"], us, _P_EVASION, _HIGH_RATE)
         notes.append((us, "evasion_attempt", "high", "Evasion"))
     if entropy:
-        state["live"].append((us, _P_FLAG, _HIGH_RATE))
+        add_points(state["live"], us, _P_FLAG, _HIGH_RATE)
     blocked = rule is not None
     if blocked:
-        state["live"].append((us, p_rule, r_rule))
+        add_points(state["live"], us, p_rule, r_rule)
         notes.append((us, "dlp_block", severity, rule))
     else:
         notes.append((us, "ai_inference", "none", ""))
@@ -110,7 +130,7 @@ def step(state: dict, us: int, evasion: bool, entropy: bool, rule, p_rule: int,
     if not blocked:
         pattern = find_pattern([r for r in state["recent"] if us - r[0] < LOOKBACK])
         if pattern:
-            state["live"].append((us, _P_FLAG, _HIGH_RATE))
+            add_points(state["live"], us, _P_FLAG, _HIGH_RATE)
     return ("blocked" if blocked else "allowed"), n, pattern
 
 

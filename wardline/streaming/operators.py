@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +39,14 @@ _RISK_COLS = ["us", "event_id", "p10", "r10"]
 
 
 def _risk_start() -> dict:
-    return {"live": []}
+    return {"live": replay.new_risk()}
 
 
 def _risk_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
     out, live = [], state["live"]
     for us, eid, p, r in rows[_RISK_COLS].itertuples(index=False):
         if p > 0:
-            live.append([int(us), int(p), int(r)])
+            replay.add_points(live, int(us), int(p), int(r))
         out.append((eid, us, str(replay.score(live, int(us)))))
     return pd.DataFrame(out, columns=["event_id", "us", "n"])
 
@@ -54,7 +56,7 @@ def risk_stream(stream: DataFrame) -> DataFrame:
     src = risk.risk_points(stream)
     out = ordered(
         src, _risk_fold, _risk_start, _RISK_COLS, "us long, event_id long, p10 long, r10 long",
-        "event_id long, us long, n string",
+        "event_id long, us long, n string", keep_us=replay.DAY,
     )
     n = F.col("n").cast("decimal(38,0)")
     hundredths = F.floor((n * 20 + HOUR).cast("decimal(38,0)") / F.lit(2 * HOUR))
@@ -97,6 +99,7 @@ def detect_patterns_stream(stream: DataFrame, at_action: str | None = "ai_infere
         src, _talk_fold, _talk_start, _TALK_COLS,
         "us long, event_id long, user_id string, action string, severity string, rule string, s int, a int",
         f"event_id long, user string, us long, action string, recent array<struct<{_ENTRY}>>",
+        keep_us=conversation.LOOKBACK,
     )
     if at_action:
         out = out.filter(F.col("action") == at_action)
@@ -124,13 +127,14 @@ def _freq_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
             have = set(parents.split(","))
             for rid, level, times, span, parent, *_ in V.FREQUENCY_RULES:
                 if str(parent) in have:
-                    n = sum(us - span * MICROS <= t <= us for t in seen[str(parent)])
+                    times_ = seen[str(parent)]
+                    n = bisect.bisect_right(times_, us) - bisect.bisect_left(times_, us - span * MICROS)
                     if n >= times:
                         out.append((eid, user, us, rid, level, n))
     longest = max(r[3] for r in V.FREQUENCY_RULES) * MICROS
     last = int(rows["us"].max())
     for p in seen:
-        seen[p] = [t for t in seen[p] if t >= last - longest]
+        del seen[p][: bisect.bisect_left(seen[p], last - longest)]
     return pd.DataFrame(out, columns=["event_id", "user", "us", "rule_id", "level", "matches"])
 
 
@@ -145,6 +149,7 @@ def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame
     return ordered(
         src, _freq_fold, _freq_start, _FREQ_COLS, "us long, event_id long, user_id string, parents string",
         "event_id long, user string, us long, rule_id int, level int, matches long",
+        keep_us=max(r[3] for r in V.FREQUENCY_RULES) * MICROS,
     )
 
 

@@ -21,13 +21,13 @@ Fold = Callable[[dict, pd.DataFrame], pd.DataFrame]
 
 
 class OrderedFold(StatefulProcessor):
-    def __init__(self, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str):
-        self.fold, self.start, self.columns, self.row_ddl = fold, start, columns, row_ddl
+    def __init__(self, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str, keep_us: int | None):
+        self.fold, self.start, self.columns, self.row_ddl, self.keep_us = fold, start, columns, row_ddl, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row_ddl)
-        self.state = handle.getValueState("state", "json string")
+        self.state = handle.getValueState("state", "json string, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -49,6 +49,9 @@ class OrderedFold(StatefulProcessor):
         closed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.columns)
         if rows.empty:
+            # Nothing waits: forget a user whose past can no longer matter.
+            if self.keep_us is not None and self.state.exists() and closed >= self.state.get()[1] + self.keep_us:
+                self.state.clear()
             return
         ready = rows[rows["us"] <= closed].sort_values(["us", "event_id"])
         rest = rows[rows["us"] > closed]
@@ -57,9 +60,12 @@ class OrderedFold(StatefulProcessor):
             return
         state = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
         out = self.fold(state, ready)
-        self.state.update((json.dumps(state),))
+        last = int(ready["us"].iloc[-1])
+        self.state.update((json.dumps(state), last))
         if rest.empty:
             self.waiting.clear()
+            if self.keep_us is not None:
+                self._wake_at(last + self.keep_us)
         else:
             self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
             self._wake_at(int(rest["us"].min()))
@@ -71,12 +77,15 @@ class OrderedFold(StatefulProcessor):
 
 
 def ordered(
-    stream: DataFrame, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str, out_ddl: str
+    stream: DataFrame, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str, out_ddl: str,
+    keep_us: int | None = None,
 ) -> DataFrame:
-    """Apply ``fold`` per user to a stream that has ``user``, ``us``, ``event_id`` and a watermark on ``ts``."""
+    """Apply ``fold`` per user to a stream that has ``user``, ``us``, ``event_id`` and a watermark on ``ts``.
+
+    ``keep_us``: a user's state is dropped once the watermark is so far beyond the last row (None: never)."""
     src = stream.filter(F.col("user").isNotNull()).select("user", "ts", *columns)
     return src.groupBy("user").transformWithStateInPandas(
-        statefulProcessor=OrderedFold(fold, start, columns, row_ddl),
+        statefulProcessor=OrderedFold(fold, start, columns, row_ddl, keep_us),
         outputStructType=out_ddl,
         outputMode="Append",
         timeMode="EventTime",
