@@ -35,10 +35,12 @@ def sticky_quarantine(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
 def enforce(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
     """Add ``decision`` (allowed / rate_limited / quarantined) and ``downgraded`` to requests that
     carry ``risk_score`` and ``risk_level``."""
-    gated = sticky_quarantine(landed(requests, "requests"), unblocks)
-    throttled = (F.col("risk_level") == "high") & ~F.col("quarantined")
-    slow = token_bucket(gated.filter(throttled).select("user", "epoch", "us", "event_id"))
-    out = gated.join(slow, "event_id", "left")
+    gated = landed(sticky_quarantine(requests, unblocks), "gated")
+    throttled = F.coalesce((F.col("risk_level") == "high") & ~F.col("quarantined"), F.lit(False))
+    # Only throttled requests meet the bucket's answers; all others pass by without a join.
+    few = gated.filter(throttled)
+    slow = few.join(token_bucket(few.select("user", "epoch", "us", "event_id")), "event_id", "left")
+    out = slow.unionByName(gated.filter(~throttled).withColumn("token", F.lit(None).cast("boolean")))
     decision = (
         F.when(F.col("quarantined"), "quarantined")
         .when(throttled & ~F.col("token"), "rate_limited")

@@ -108,8 +108,8 @@ def risk_asof(events: DataFrame, keys: tuple[str, ...] = ("user",)) -> DataFrame
     )
 
 
-def _decayed(now_us: int) -> Column:
-    left = F.col("p10") * F.lit(HOUR) - F.col("r10") * (F.lit(now_us) - F.col("us"))
+def _decayed(now: int | Column) -> Column:
+    left = F.col("p10") * F.lit(HOUR) - F.col("r10") * ((now if isinstance(now, Column) else F.lit(now)) - F.col("us"))
     return F.greatest(F.lit(0).cast("long"), left).cast("decimal(20,0)")
 
 
@@ -135,21 +135,24 @@ def iso_second(us: Column) -> Column:
 
 
 def user_profiles(events: DataFrame) -> DataFrame:
-    """First and last seen, totals, and the score stored at the user's last event."""
-    scored = risk_asof(events.select("user", "us", "event_id", "action", "severity"))
-    at = F.struct("us", "event_id")
-    g = scored.groupBy("user").agg(
+    """First and last seen, totals, and the score stored at the user's last event.
+
+    The score at the last event needs no sweep over time: one aggregation finds the last instant, a second
+    adds up the points of the day before it, decayed to it."""
+    known = events.filter(F.col("user").isNotNull())
+    seen = known.groupBy("user").agg(
         F.min("us").alias("_first"),
         F.max("us").alias("_last"),
         F.count("*").alias("total_events"),
         F.count_if(F.col("action").contains("block")).alias("total_blocks"),
         F.count_if(F.col("action").contains("flag")).alias("total_flags"),
-        F.max_by(F.struct("risk_score", "risk_level"), at).alias("_s"),
     )
-    return g.select(
+    recent = risk_points(known.select("user", "us", "action", "severity")).filter("p10 > 0").join(seen.select("user", "_last"), "user")
+    points = recent.filter(F.col("us") > F.col("_last") - DAY).groupBy("user").agg(F.sum(_decayed(F.col("_last"))).alias("_n"))
+    scored = seen.join(points, "user", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("decimal(20,0)")))
+    return scored.select(
         "user",
-        F.col("_s.risk_score").alias("risk_score"),
-        F.col("_s.risk_level").alias("risk_level"),
+        *[c.alias(k) for k, c in _score_columns(F.col("_n").cast("decimal(38,0)")).items()],
         iso_second(F.col("_first")).alias("first_seen"),
         iso_second(F.col("_last")).alias("last_seen"),
         "total_events", "total_blocks", "total_flags",
@@ -158,19 +161,12 @@ def user_profiles(events: DataFrame) -> DataFrame:
 
 def top_risk_users(events: DataFrame, now_us: int, n: int = 10) -> DataFrame:
     """The n users with the highest stored score, reported with their score of now."""
-    top = user_profiles(events).orderBy(F.desc("risk_score"), "user").limit(n)
-    who = F.broadcast(top.select("user"))  # n rows by construction
-    now = risk_snapshot(events.join(who, "user", "left_semi"), now_us)
-    kept = ["first_seen", "last_seen", "total_events", "total_blocks", "total_flags"]
-    return (
-        top.select("user", *kept)
-        .join(now, "user", "left")
-        .select(
-            "user",
-            F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
-            F.coalesce("risk_level", F.lit("normal")).alias("risk_level"),
-            *kept,
-        )
+    top = user_profiles(events).orderBy(F.desc("risk_score"), "user").limit(n).drop("risk_score", "risk_level")
+    return top.join(risk_snapshot(events, now_us), "user", "left").select(
+        "user",
+        F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
+        F.coalesce("risk_level", F.lit("normal")).alias("risk_level"),
+        "first_seen", "last_seen", "total_events", "total_blocks", "total_flags",
     )
 
 
