@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from check_oracle import compare, duck
 
 import corpus_pipeline
-from wardline.llm import catalog, fingerprint, language, lengths, neardup, packing, quality, tokens, toxicity
+from wardline.llm import catalog, fingerprint, language, lengths, lines, neardup, packing, quality, tokens, toxicity
 
 BYTE, WORD = vocabularies.path(catalog.BYTE_BPE), vocabularies.path(catalog.WORD_BPE)
 
@@ -310,3 +310,34 @@ def test_pipeline(spark, sf, texts):
     assert kept["near-duplicates"] == {i for i, (_, top) in groups.items() if i == top}
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert packed == kept["near-duplicates"]
+
+
+def test_frequent_lines_deplete_documents(spark):
+    """Lines above a host's limits go; who lives on them is rejected, who only quotes them stays."""
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are normalised away
+    shared = [" ".join(f"common{i}word{j}" for j in range(20)).translate(letters) for i in range(4)]
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n)).translate(letters)
+    rows = [(i, "\n".join([*shared, own(i, 5)]), "a") for i in range(15)]
+    rows += [(100 + i, "\n".join([shared[0], own(100 + i, 70)]), "a") for i in range(15)]
+    rows += [(200 + i, "\n".join(shared), "b") for i in range(500)]  # copies of one text count once
+    rows += [(800 + i, "\n".join([*shared, own(i, 5)]), "c") for i in range(10)]  # at the limit, not above
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    out = {r["doc_id"]: r for r in lines.judge(docs).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {i for i, r in out.items() if not r["kept"]} == set(range(15))
+
+
+def test_repeated_windows():
+    """The covered words of repeated three-word windows, against the plain count."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab cd ef g".split()[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", lines.repeated_words(lines.words_of(F.col("t"))).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        n = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        assert got[i] == len({p for j in range(len(w) - 2) if n[tuple(w[j : j + 3])] > 1 for p in (j, j + 1, j + 2)})
