@@ -13,26 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
+from wardline.functions.text import let
 
 #: Called once per Python worker; returns the function that scores a batch (0..1 per text).
 ScorerFactory = Callable[[], Callable[[pd.Series], pd.Series]]
 
 
-def lexical_scorer() -> Callable[[pd.Series], pd.Series]:
-    """Stand-in when no model is supplied: each distinct tell-tale word halves the doubt."""
+#: Characters that neighbouring windows share, more than the longest tell-tale word.
+OVERLAP = 64
 
-    def score(texts: pd.Series) -> pd.Series:
-        low = texts.str.lower()
-        n = sum(low.str.contains(w, regex=False).astype(int) for w in V.ROT13_KEYWORDS)
-        return 1.0 - 0.5**n
 
-    return score
+def lexical_score(c: Column, width: int = V.INJECTION_CHARS) -> Column:
+    """Stand-in when no model is supplied, in built-in functions: in each window of a text every distinct
+    tell-tale word halves the doubt; the worst window counts."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0)), F.lit(width - OVERLAP))
 
+    def score(low: Column) -> Column:
+        n = sum((low.contains(w).cast("int") for w in V.ROT13_KEYWORDS), F.lit(0))
+        return F.lit(1.0) - F.pow(F.lit(0.5), n)
 
-def injection_score(
-    c: Column, factory: ScorerFactory = lexical_scorer, width: int = V.INJECTION_CHARS
-) -> Column:
-    """Highest score over the consecutive ``width``-character windows of each text."""
+    return F.array_max(F.transform(starts, lambda i: let(F.lower(F.substr(c, i + 1, F.lit(width))), score)))
+
+
+def injection_score(c: Column, factory: ScorerFactory | None = None, width: int = V.INJECTION_CHARS) -> Column:
+    """Highest score over the overlapping ``width``-character windows of each text; without a factory the
+    native :func:`lexical_score`."""
+    if factory is None:
+        return lexical_score(c, width)
+    step = width - OVERLAP
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -42,7 +50,7 @@ def injection_score(
             todo = texts[texts.notna()]
             if len(todo):
                 pieces = todo.map(
-                    lambda t: [t[i : i + width] for i in range(0, len(t), width)]
+                    lambda t: [t[i : i + width] for i in range(0, max(1, len(t)), step)]
                 ).explode()
                 best = pd.Series(score(pieces.reset_index(drop=True)).to_numpy(dtype=float))
                 out.loc[todo.index] = best.groupby(pieces.index.to_numpy()).max().loc[todo.index]
@@ -54,13 +62,13 @@ def injection_score(
 def score_injection(
     df: DataFrame,
     col: str = "text",
-    factory: ScorerFactory = lexical_scorer,
+    factory: ScorerFactory | None = None,
     threshold: float = V.INJECTION_THRESHOLD,
     part: str = "whole",
 ) -> DataFrame:
     """Add label, injection_score, safe_score, blocked.
 
-    ``part``: ``whole`` scores every 512-character window and keeps the worst; ``head`` only the
+    ``part``: ``whole`` scores overlapping 512-character windows and keeps the worst; ``head`` only the
     first window, ``tail`` only the first window of the last 1024 characters (what an in-line
     gateway with a latency budget reads).  Texts of ten characters or fewer are safe unasked.
     """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.entropy import entropy_violation
-from wardline.operators.classify import ScorerFactory, lexical_scorer, score_injection
+from wardline.operators.classify import ScorerFactory, score_injection
 from wardline.operators.inspect import canary_hit, first_match, redact
 from wardline.operators.normalize import normalize_prompts
 from wardline.sources.chat import reassemble_sse
@@ -36,7 +36,7 @@ def inspect_ingress(
     native_only: bool = False,
     compat: bool = True,
     inspect_original: bool = False,
-    scorer: ScorerFactory = lexical_scorer,
+    scorer: ScorerFactory | None = None,
     part: str = "whole",
 ) -> DataFrame:
     """Add ``decision`` (allow / block), ``blocked_by`` and ``events`` (what was recorded).

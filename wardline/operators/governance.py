@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
+from wardline.functions.text import collapse_spaces, fold_confusables, strip_invisible
 from wardline.operators.respond import audit_tail, quarantined_users
 from wardline.operators.risk import top_risk_users
 
@@ -87,5 +88,16 @@ def training_set(labelled: DataFrame, text: str = "text", label: str = "label")
     )
 
 
+def training_selection(scored: DataFrame, text: str = "text", label: str = "truth") -> DataFrame:
+    """Prompts a classifier got wrong (injections not ``blocked``, safe ones that were), for labelling and
+    the next training round; one row per text after folding lookalikes, invisible characters, case and
+    spacing.  INJECTION wins where copies disagree."""
+    wrong = scored.filter((F.col(label) == "INJECTION") != F.col("blocked"))
+    folded = F.lower(collapse_spaces(fold_confusables(strip_invisible(F.col(text)))))
+    return wrong.groupBy(folded.alias("folded")).agg(
+        F.min(label).alias("label"), F.min(text).alias("text"), F.count("*").alias("copies")
+    )
+
+
 def export_training_set(df: DataFrame, path: str) -> None:
     df.select("text", "label").write.mode("overwrite").json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline import vocab as V
 from wardline.operators.timeline import running
 from wardline.operators.token_bucket import token_bucket
 from wardline.session import landed
@@ -33,8 +34,8 @@ def sticky_quarantine(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
 
 
 def enforce(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
-    """Add ``decision`` (allowed / rate_limited / quarantined) and ``downgraded`` to requests that
-    carry ``risk_score`` and ``risk_level``."""
+    """Add ``decision`` (allowed / rate_limited / quarantined), ``downgraded`` and ``forced_model`` to
+    requests that carry ``risk_score`` and ``risk_level``."""
     gated = landed(sticky_quarantine(requests, unblocks), "gated")
     throttled = F.coalesce((F.col("risk_level") == "high") & ~F.col("quarantined"), F.lit(False))
     # Only throttled requests meet the bucket's answers; all others pass by without a join.
@@ -48,15 +49,17 @@ def enforce(requests: DataFrame, unblocks: DataFrame) -> DataFrame:
     )
     return out.withColumn("decision", decision).withColumn(
         "downgraded", (F.col("decision") == "allowed") & F.col("risk_level").isin("high", "elevated")
-    ).drop("token")
+    ).withColumn("forced_model", F.when(F.col("downgraded"), V.DOWNGRADE_MODEL)).drop("token")
 
 
 def audit_log(decisions: DataFrame, unblocks: DataFrame) -> DataFrame:
-    """First quarantine, rate limit and downgrade per user and epoch, plus effective unblocks.
+    """First quarantine, rate limit and downgrade per user and epoch, plus effective unblocks.  A downgrade
+    names the model asked for (column ``model``, if the requests carry one) and the model forced.
 
     Minima per (user, epoch), so a busy user shrinks to a row on the map side.
     """
-    entry = F.struct("us", "event_id", "risk_score")
+    model = F.col("model") if "model" in decisions.columns else F.lit(None).cast("string")
+    entry = F.struct("us", "event_id", "risk_score", model.alias("model"))
     first = decisions.groupBy("user", "epoch").agg(
         F.min(F.when(F.col("decision") == "quarantined", entry)).alias("quarantine"),
         F.min(
@@ -74,13 +77,16 @@ def audit_log(decisions: DataFrame, unblocks: DataFrame) -> DataFrame:
         F.col("x.action").alias("action"),
         F.col("x.e.us").alias("us"),
         F.col("x.e.risk_score").alias("risk_score"),
+        F.when(F.col("x.action") == "model_downgrade", F.col("x.e.model")).alias("original_model"),
+        F.when(F.col("x.action") == "model_downgrade", V.DOWNGRADE_MODEL).alias("forced_model"),
     )
     # An unblock is logged only if the epoch it ends had put the user in quarantine.
     ended = _numbered(unblocks).withColumn("epoch", F.col("no") - 1)
     freed = ended.join(
         acted.filter("action = 'quarantine'").select("user", "epoch"), ["user", "epoch"], "left_semi"
     ).select(
-        "user", "epoch", F.lit("unblocked").alias("action"), "us", F.lit(None).cast("double").alias("risk_score")
+        "user", "epoch", F.lit("unblocked").alias("action"), "us", F.lit(None).cast("double").alias("risk_score"),
+        F.lit(None).cast("string").alias("original_model"), F.lit(None).cast("string").alias("forced_model"),
     )
     return acted.unionByName(freed)
 

@@ -390,7 +390,7 @@ _LEX = " + ".join(f"CAST(contains(lower(w), '{k}') AS INT)" for k in V.ROT13_KEY
     WITH p AS (SELECT prompt_id, length(text) AS n, text FROM ({X.PROMPTS_SQL})),
     s AS (SELECT prompt_id, max(1 - pow(0.5, {_LEX})) AS sc FROM (
       SELECT prompt_id, substring(text, CAST(i AS INT) + 1, 512) AS w FROM (
-        SELECT prompt_id, text, unnest(range(0, n, 512)) AS i FROM p WHERE n > 10)) GROUP BY prompt_id)
+        SELECT prompt_id, text, unnest(range(0, n, 448)) AS i FROM p WHERE n > 10)) GROUP BY prompt_id)
     SELECT prompt_id, CASE WHEN sc IS NULL THEN 'safe' WHEN sc >= 0.85 THEN 'INJECTION' ELSE 'SAFE' END AS label,
       coalesce(round(sc, 4), 0) AS injection_score, coalesce(round(1 - sc, 4), 1) AS safe_score, coalesce(sc >= 0.85, false) AS blocked
     FROM p LEFT JOIN s USING (prompt_id)""")
@@ -784,15 +784,16 @@ AUDIT_SQL = f"""
       JOIN q ON q.user = u.user AND q.epoch = u.no - 1"""
 
 
-@query("audit_log", AUDIT_SQL)
+@query("audit_log", f"""
+    SELECT *, CASE WHEN action = 'model_downgrade' THEN {q_(V.DOWNGRADE_MODEL)} END AS forced_model FROM ({AUDIT_SQL})""")
 def audit_log(s, d):
     u = paced_unblocks(s, d)
-    return respond.audit_log(respond.enforce(paced_requests(s, d), u), u).select("user", "action", "us")
+    return respond.audit_log(respond.enforce(paced_requests(s, d), u), u).select("user", "action", "us", "forced_model")
 
 
 @query("audit_tail", f"SELECT * FROM ({AUDIT_SQL}) ORDER BY us DESC, user, action LIMIT 50")
 def audit_tail(s, d):
-    return respond.audit_tail(audit_log(s, d))
+    return respond.audit_tail(audit_log(s, d).drop("forced_model"))
 
 
 HELD_SQL = f"""
@@ -1214,6 +1215,22 @@ def training_set(s, d):
     return governance.training_set(X.labelled(s, d))
 
 
+@query("training_selection", f"""
+    WITH p AS (SELECT text, label, length(text) AS n FROM ({X.LABELLED_SQL})),
+    s AS (SELECT text, label, max(1 - pow(0.5, {_LEX})) AS sc FROM (
+      SELECT text, label, substring(text, CAST(i AS INT) + 1, 512) AS w FROM (
+        SELECT DISTINCT text, label, n, unnest(range(0, n, 448)) AS i FROM p WHERE n > 10)) GROUP BY text, label),
+    w AS (SELECT p.text, p.label, CASE WHEN coalesce(sc, 0) >= 0.5 THEN 'false_alarm' ELSE 'missed' END AS reason
+      FROM p LEFT JOIN s ON s.text = p.text AND s.label = p.label WHERE (p.label = 'INJECTION') <> (coalesce(sc, 0) >= 0.5))
+    SELECT folded, min(label) AS label, min(text) AS text, count(*) AS copies FROM (
+      SELECT *, lower(trim(regexp_replace(translate(regexp_replace(text, {INVIS_SQL}, '', 'g'),
+        {q_(V.CONFUSABLE_FROM)}, {q_(V.CONFUSABLE_TO)}), {SPACE_SQL}, ' ', 'g'))) AS folded FROM w)
+    GROUP BY folded""")
+def training_selection(s, d):
+    scored = classify.score_injection(X.labelled(s, d).withColumnRenamed("label", "truth"), threshold=0.5)
+    return governance.training_selection(scored, label="truth")
+
+
 @query("train_injection_model")
 def train_injection_model(s, d):
     """Fit on the labelled documents, score every document with the model."""
