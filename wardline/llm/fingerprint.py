@@ -151,50 +151,35 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Columns of the result as they are landed: hashes and fingerprints in bytes.
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 _ROW = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited binary, following binary"
+    "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
+    "near_edited double, near_next double"
 )
+#: The same and, on one row per partition, its number and its first and last text.
+_ENDS = ["part", "first", "last"]
+_END_KINDS = [pa.int64(), pa.string(), pa.string()]
+_WALKED = _ROW + ", part bigint, first string, last string"
 
 
-class _Walk:
-    """Makes rows from pairs of neighbouring texts; a text is parsed once."""
-
-    def __init__(self):
-        self.rows = []
-
-    def add(self, doc, text: str, parsed: Parsed, print_: bytes, following: str, next_print: bytes):
-        half = len(text) // 2
-        sha = hashlib.sha256(edited_text(text, following).encode("utf-8", "surrogatepass")).hexdigest()
-        self.rows.append((doc, len(text), sha, print_, parsed.edited(len(text) - half, following[:half]), next_print))
-
-    def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) or [()] * 6
-        self.rows = []
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited", "following"]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, names)
+def _row(doc, text: str, parsed: Parsed, mark: bytes, following: str, next_mark: bytes) -> tuple:
+    half = len(text) // 2
+    sha = hashlib.sha256(edited_text(text, following).encode("utf-8", "surrogatepass")).digest()
+    edited = parsed.edited(len(text) - half, following[:half])
+    return doc, len(text), sha, mark, edited, likeness(mark, edited), likeness(mark, next_mark)
 
 
-_WALKED = _ROW + ", part bigint, first string, last string"
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one partition; beside them one row with the partition's number and its first and last text."""
-    part, walk, held, first = TaskContext.get().partitionId(), _Walk(), None, None
-
-    def out(ends: list) -> pa.RecordBatch:
-        """The rows so far, or the row of the ends."""
-        b = walk.batch()
-        if ends:
-            row = [pa.array([v], k) for v, k in zip(ends, [f.type for f in b.schema] + [pa.int64(), pa.string(), pa.string()])]
-            return pa.RecordBatch.from_arrays(row, b.schema.names + ["part", "first", "last"])
-        n = b.num_rows
-        return pa.RecordBatch.from_arrays(
-            b.columns + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())],
-            b.schema.names + ["part", "first", "last"],
-        )
-
+    part, rows, held, first = TaskContext.get().partitionId(), [], None, None
+    names, kinds, no_ends = _NAMES + _ENDS, _KINDS + _END_KINDS, (None,) * len(_ENDS)
     for batch in batches:
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = value.as_py() or ""
@@ -204,63 +189,45 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parsed = Parsed(text)
                 mark = signature(parsed.hashes)
             if held:
-                walk.add(*held, text, mark)
+                rows.append(_row(*held, text, mark) + no_ends)
             else:
                 first = text
             held = (doc, text, parsed, mark)
-            if len(walk.rows) >= 1000:
-                yield out([])
-    if walk.rows:
-        yield out([])
+            if len(rows) >= 1000:
+                yield _batch(rows, names, kinds)
+                rows = []
     if held:
-        yield out([held[0], len(held[1]), None, None, None, None, part, first, held[1]])
+        rows.append((held[0], *[None] * (len(_NAMES) - 1), part, first, held[1]))
+        yield _batch(rows, names, kinds)
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last row of each partition, with the first text of the next one."""
     for batch in batches:
-        walk = _Walk()
+        rows = []
         for doc, text, following in zip(*(c.to_pylist() for c in batch.columns)):
             parsed = Parsed(text)
-            walk.add(doc, text, parsed, signature(parsed.hashes), following, fingerprint(following))
-        yield walk.batch()
-
-
-def _likenesses(marks: DataFrame) -> DataFrame:
-    """Digest columns from the three fingerprints."""
-
-    @F.arrow_udf("struct<e: double, n: double>")
-    def compare(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        x, y, z = a.to_pylist(), b.to_pylist(), c.to_pylist()
-        return pa.StructArray.from_arrays(
-            [pa.array(map(likeness, x, y), pa.float64()), pa.array(map(likeness, x, z), pa.float64())], ["e", "n"]
-        )
-
-    return marks.withColumn("_l", compare("fingerprint", "edited", "following")).select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        F.lower(F.hex("edited")).alias("edited_fingerprint"),
-        F.col("_l.e").alias("near_edited"),
-        F.col("_l.n").alias("near_next"),
-    )
+            rows.append(_row(doc, text, parsed, signature(parsed.hashes), following, fingerprint(following)))
+        yield _batch(rows, _NAMES, _KINDS)
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
+    by_id, by_text = F.desc_nulls_last("doc_id"), F.desc("text")
     walked = landed(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk, _WALKED),
+        # Bounds are drawn from ids alone: sampled texts would pass through the driver.
+        .repartitionByRange(by_id).sortWithinPartitions(by_id, by_text).mapInArrow(_walk, _WALKED),
         "fingerprints",
     )
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited", "following"]
     # One row per partition from here on.
     ends = walked.where("part is not null").select("part", "doc_id", "first", "last")
     place = ends.select("part", F.row_number().over(Window.orderBy("part")).alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
     heads = place.join(ends.select("part", "first"), "part").select(F.col("at").alias("head"), "first")
     tails = place.join(ends.select("part", "doc_id", "last"), "part").select((F.col("at") % F.col("n") + 1).alias("head"), "doc_id", "last")
     closed = tails.join(heads, "head").select("doc_id", "last", "first").mapInArrow(_close, _ROW)
-    return _likenesses(walked.where("part is null").select(*names).unionByName(closed.select(*names)))
+    hexed = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return walked.where("part is null").select(*_NAMES).unionByName(closed).withColumns(hexed)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
