@@ -13,7 +13,9 @@ works on one document per class, so exact copies cost one row each however many
   only if they lie six standard errors below the threshold; the rest are verified on full sets.
 * First each document meets its most likely pivot; then, where pivot and document are still in different
   components, its other pivots; last, members of a bucket that lie outside the bucket's largest component
-  meet the members of other components.  A pair is left untested only if it is connected already.
+  meet the members of other components, block by block.  Of those pairs only the ones whose sets can share
+  enough, by counts over parts of the hash range, become rows.  A pair is left unverified only if it is
+  connected already or cannot be a link.
 
 Two documents of likeness s share a band with probability 1 - (1 - s**ROWS)**BANDS: at 0.85 all but
 about 2e-9, at 0.8 all but 3e-6.
@@ -34,15 +36,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from wardline.llm.components import components
 from wardline.session import landed
 
 REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 6, 42
+#: Parts of the hash range in which sets are counted, and members of a bucket that meet at a time.
+PARTS, BLOCK = 256, 256
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -281,17 +285,69 @@ def linked(docs: DataFrame, classes: DataFrame, how: Likeness) -> DataFrame:
     placed = landed(
         members.join(labels, "id", "left").select("key", "id", "pivot", F.coalesce("comp", "id").alias("comp")), "band-components"
     )
+    last = landed(search.estimated(landed(_across(placed, sets, how.percent), "cross-pairs")), "cross-estimates")
+    return _merge(labels, landed(search.verified(last, sets), "links"))
+
+
+@F.arrow_udf(BinaryType())
+def _counts(sets: pa.Array) -> pa.Array:
+    """How many members of a set fall into each of ``PARTS`` parts of the hash range."""
+    return pa.array(
+        [np.bincount(np.asarray(s.values).view(np.uint64) >> np.uint64(20) & np.uint64(PARTS - 1), minlength=PARTS).astype("<u4").tobytes() for s in sets],
+        pa.binary(),
+    )
+
+
+def _may_link(percent: int):
+    """From pairs of blocks of one bucket: the pairs across components that could be links.
+
+    Two sets share at most the sum, over the parts of the hash range, of the smaller of their two counts;
+    pairs for which even that is too little are left out."""
+
+    def block(members) -> tuple:
+        ids, comps = (np.array([m[k] for m in members], dtype=np.int64) for k in ("id", "comp"))
+        counts = np.frombuffer(b"".join(m["counts"] for m in members), "<u4").reshape(-1, PARTS).astype(np.int64)
+        return ids, comps, counts, np.array([m["main"] for m in members], dtype=bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1)):
+                (ids, comps, counts, _), (others, their, theirs, main) = block(one.as_py()), block(two.as_py())
+                size, sizes, a, b = counts.sum(1), theirs.sum(1), [], []
+                for i in range(len(ids)):
+                    at = np.flatnonzero((their != comps[i]) & (main | (ids[i] < others)) & (100 * np.minimum(sizes, size[i]) >= percent * np.maximum(sizes, size[i])))
+                    shared = np.minimum(theirs[at], counts[i]).sum(1)
+                    at = at[100 * shared >= percent * (sizes[at] + size[i] - shared)]
+                    a += [int(ids[i])] * len(at)
+                    b += others[at].tolist()
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of bucket members in different components that could be links, untested so far.
+
+    Members of a bucket are dealt into blocks of about ``BLOCK``, and what lies outside its largest
+    component meets the bucket block by block, so a bucket of any size is spread over tasks."""
     mixed = (
         placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("n"))
-        .where("n > 1").select("key", "main")
+        .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("n"), F.sum("n").alias("size"))
+        .where("n > 1").select("key", "largest", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
-    inside = placed.join(mixed, "key").where("id <> pivot")
-    left = inside.where("comp <> main").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = inside.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("_main"))
-    cross = left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("_main") | (F.col("a") < F.col("b"))))
-    last = landed(search.estimated(cross), "cross-pairs")
-    return _merge(labels, landed(search.verified(last, sets), "links"))
+    # The pivot has met all members of its bucket.
+    inside = landed(placed.join(mixed, "key").where("id <> pivot").drop("pivot"), "mixed-buckets")
+    counts = landed(
+        sets.join(inside.select("id").distinct(), "id", "left_semi").select("id", _counts("set").alias("counts")), "part-counts"
+    )
+    rows = inside.join(counts, "id").select(
+        "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), (F.col("comp") == F.col("largest")).alias("main"), "id", "comp", "counts"
+    )
+    member = F.collect_list(F.struct("id", "comp", "counts", "main"))
+    left = rows.where("not main").groupBy("key", "block").agg(member.alias("one")).select("key", "one")
+    right = rows.groupBy("key", "block").agg(member.alias("two")).select("key", "two")
+    return left.join(right, "key").select("one", "two").mapInArrow(_may_link(percent), "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
