@@ -12,20 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import language, neardup, packing, quality
 from wardline.llm.catalog import WORD_BPE
-from wardline.llm.common import table
-from wardline.session import landed, ship_package
+from wardline.llm.common import prepare, table
+from wardline.session import landed
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language the classifier recognises."""
-    ship_package(spark)
     known = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.reject(docs, language.fit(language.training_rows(known)))
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score at least the quality threshold; learned from all labelled documents."""
-    ship_package(spark)
     known = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = quality.training_labels(table(spark, sf_dir, "labels"), "quality")
     return quality.reject(docs, quality.fit(quality.with_features(known), labels))
@@ -33,13 +31,13 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: five-word shingles, likeness 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return neardup.one_of_each(docs, neardup.Likeness(words=5, percent=80))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, vocabularies.path(WORD_BPE))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-PIECES = 500_000
+PIECES = 250_000
 #: Pieces longer than this are encoded each time.
 LONGEST = 40
 #: Characters of one text that are cut into pieces at a time.
