@@ -175,6 +175,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert found[0]["e"]["score"] > 0.5 and len(found[0]["e"]["evidence"]) > 0 and found[1]["e"]["evidence"] == []
 
 
+def test_toxic_words_of_few_rows_count_over_all_labels(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    plain = [f"w{i}" for i in range(300)]
+
+    def text(i):
+        return " ".join([*rng.choice(plain, 30), *(["nasty"] if i % 2 and i > 24 else ["slur"] if i % 2 else [])])
+
+    rows = [(i, text(i), i % 2) for i in range(800)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, y int")
+    score = toxicity.scorer(toxicity.fit(docs, labels), evidence=True)
+    asked = spark.createDataFrame([("slur",), ("other",)], "text string").select(score("text").alias("e")).collect()
+    assert {e["doc_id"] for e in asked[0]["e"]["evidence"]} == set(range(1, 25, 2))
+    assert asked[0]["e"]["score"] > 0.6 > asked[1]["e"]["score"]
+    # A smaller sample does not change the counts.
+    seen = []
+    monkeypatch.setattr(toxicity, "PER_CLASS", {0: 100, 1: 100})
+    count = toxicity.frequencies
+    monkeypatch.setattr(toxicity, "frequencies", lambda d, y, t: seen.append((t, count(d, y, t))) or seen[0][1])
+    toxicity.fit(docs, labels)
+    terms, (a, b, n1, n0) = seen[0]
+    assert (a[terms["nasty"]], b[terms["nasty"]], n1, n0) == (388, 0, 400, 400)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     score, predicted, y = held_out(catalog.QUERIES["op7_quadratic_discriminant"](spark, sf), duck(sf), "quality")

@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples.
 
 Examples are a bounded sample of labelled rows (``PER_CLASS`` of each class, chosen by hash of the id;
-one of each set of equal texts).  Terms are the words that occur in at least ``LEAST_DOCS`` examples
-and clearly more often in toxic ones (z score and ratio of shares, at most ``MAX_TERMS`` terms), where
-near copies count once: documents count by the smallest hash of their three-word runs.  A text is the
-TF-IDF vector of its terms; its score comes from the ``NEIGHBOURS`` nearest example vectors by exact
-cosine, each voting with the square of the cosine, evened out for the sampling of the classes and drawn
-to the base rate by a small weight, then put through a logistic fitted on leave-one-out votes.
+one of each set of equal texts).  Terms are all words of the examples that are more frequent in toxic
+documents; how many documents of each class hold a word is counted over all labelled rows, where near
+copies count once: documents count by the smallest hash of their three-word runs.  A text is the
+TF-IDF vector of its terms, each weighted by its tie to the label (``ties``); its score comes from the
+``NEIGHBOURS`` nearest example vectors by exact cosine with a damped norm, each voting with the square of
+the cosine, evened out for the sampling of the classes and drawn to the base rate by a small weight, then
+put through a logistic fitted on leave-one-out votes.
 
 The search is exact: example vectors lie in blocks; for each term the index keeps the postings of each
 block and the largest weight in it, blocks are visited in the order of their upper bounds, and the
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 from wardline.llm.common import fold, text_udf
 
 PER_CLASS = {0: 6000, 1: 6000}
-MAX_TERMS = 4096
-LEAST_DOCS = 4
-LEAST_Z = 5.0
-LEAST_RATIO = 3.0
+#: Documents, dealt as the classes are, that smooth the ratio of a term's shares.
+PRIOR = 1.0
+#: z score and ratio of shares at which a term has half of its full weight.
+SURE_Z = 5.0
+STRONG_RATIO = 3.0
+DAMPING = 2.0
 NEIGHBOURS = 15
 BLOCK = 32
 THRESHOLD = 0.5
 #: Weight with which the base rate joins the votes.
 PULL = 0.5
-#: Distinct queries whose scores a task remembers.
+#: Distinct texts whose scores a task remembers.
 REMEMBERED = 50_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -53,58 +55,89 @@ def words(text: str | None) -> list[str]:
 
 
 class Index:
-    """Block-max inverted index over unit vectors given as (term, weight) lists."""
+    """Block-max inverted index over vectors given as (term, weight) rows."""
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list, n_terms: int, block: int = BLOCK):
         self.block, self.size = block, len(vectors)
-        n_blocks = -(-len(vectors) // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v:
-                lists[t].append((i, w))
-        self.best = np.zeros((n_terms, n_blocks), dtype=np.float64)
-        self.begin = np.zeros((n_terms, n_blocks + 1), dtype=np.int32)
-        ids, weights, at = [], [], 0
-        for t, found in enumerate(lists):
-            ids += [i for i, _ in found]
-            weights += [w for _, w in found]
-            where = np.array([i // block for i, _ in found], dtype=np.int64)
-            np.maximum.at(self.best[t], where, [w for _, w in found]) if found else None
-            self.begin[t] = at + np.searchsorted(where, np.arange(n_blocks + 1))
-            at += len(found)
-        self.ids, self.weights = np.array(ids, dtype=np.int64), np.array(weights, dtype=np.float64)
-
-    def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        self.blocks = -(-len(vectors) // block)
+        rows = [np.asarray(v, dtype=np.float64).reshape(-1, 2) for v in vectors]
+        ids = np.repeat(np.arange(len(rows), dtype=np.int32), [len(v) for v in rows])
+        terms = np.concatenate([v[:, 0] for v in rows] or [np.zeros(0)]).astype(np.int32)
+        weights = np.concatenate([v[:, 1] for v in rows] or [np.zeros(0)])
+        order = np.lexsort((ids, terms))
+        self.ids, self.weights, terms = ids[order], weights[order], terms[order]
+        self.begin = np.searchsorted(terms, np.arange(n_terms + 1))
+        # Of each term: the blocks it stands in, where its postings of the block begin, and their largest weight.
+        cell = terms.astype(np.int64) * max(1, self.blocks) + self.ids // block
+        self.first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell = (self.ids[self.first] // block).astype(np.int32)
+        self.best = np.maximum.reduceat(self.weights, self.first) if len(self.first) else np.zeros(0)
+        self.cells = np.searchsorted(terms[self.first], np.arange(n_terms + 1))
+        self.first = np.append(self.first, len(self.ids))
+
+    @staticmethod
+    def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = end - begin
+        return np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+    def nearest(self, query, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, entry) of the k nearest entries with a positive cosine, nearest first; ``skip`` is left out."""
-        terms = [t for t, _ in query]
-        bound = np.array([w for _, w in query]) @ self.best[terms]
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(top) == k and bound[b] < top[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, w in query:
-                part = slice(self.begin[t, b], self.begin[t, b + 1])
-                score[self.ids[part] - b * self.block] += w * self.weights[part]
-            found = [(float(score[i]), int(i + b * self.block)) for i in np.flatnonzero(score) if i + b * self.block != skip]
-            top = sorted(top + found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return top
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> list[tuple[int, float]]:
-    """TF-IDF vector of length one as (term, weight), by term."""
-    v = [(t, (1 + math.log(n)) * idf[t]) for t, n in sorted(counts.items())]
-    norm = math.sqrt(sum(w * w for _, w in v))
-    return [(t, w / norm) for t, w in v]
+        q = np.asarray(query, dtype=np.float64).reshape(-1, 2)
+        terms, weight = q[:, 0].astype(np.int64), q[:, 1]
+        cells = self._spans(self.cells[terms], self.cells[terms + 1])
+        share = np.repeat(weight, self.cells[terms + 1] - self.cells[terms])
+        where = self.cell[cells]
+        bound = np.bincount(where, share * self.best[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, at, step = np.zeros(self.size), 0, 4
+        least = 0.0
+        while at < len(order) and bound[order[at]] >= least - 1e-12:
+            # Blocks are opened by fours, then ever more at once.
+            now = np.zeros(self.blocks, dtype=bool)
+            now[order[at : at + step]] = True
+            opened = cells[now[where]]
+            part = self._spans(self.first[opened], self.first[opened + 1])
+            w = np.repeat(share[now[where]], self.first[opened + 1] - self.first[opened])
+            score += np.bincount(self.ids[part], w * self.weights[part], self.size)
+            at, step = at + step, step * 4
+            if skip >= 0:
+                score[skip] = 0
+            if self.size > k:
+                least = np.partition(score, -k)[-k]
+        found = np.flatnonzero(score > max(0.0, least - 1e-11))
+        return sorted(((float(score[i]), int(i)) for i in found), key=lambda x: (-round(x[0], 12), x[1]))[:k]
+
+
+def ties(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Weight of terms that ``a`` of ``n1`` toxic and ``b`` of ``n0`` clean documents hold: inverse document
+    frequency, times the log ratio of the shares (smoothed by ``PRIOR`` documents), times how sure the
+    ratio is.  Falls smoothly to nothing as a term is tied less to toxic documents; 0 only if not tied at all."""
+    n = n1 + n0
+    ratio = np.log((a + PRIOR * n1 / n) / n1) - np.log((b + PRIOR * n0 / n) / n0)
+    mean = (a + b) / n
+    z = (a / n1 - b / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
+    sure, strong = np.maximum(z, 0) ** 4, np.maximum(ratio, 0) ** 4
+    idf = np.log((n + 1) / (a + b + 1)) + 1e-9
+    return idf * sure / (sure + SURE_Z**4) * strong / (strong + math.log(STRONG_RATIO) ** 4)
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """TF-IDF vector of length below one as (term, weight) rows: ``DAMPING`` joins the norm, so that a text of
+    weakly tied terms stays short."""
+    v = (1 + np.log(counts)) * weights[terms]
+    keep = v > 0
+    v, terms = v[keep], terms[keep]
+    return np.stack([terms, v / math.sqrt(float(v @ v) + DAMPING**2)], 1) if len(v) else np.zeros((0, 2))
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, entries: list, base: float, empty: float, weight: dict):
+    def __init__(self, terms: list[str], weights: np.ndarray, entries: list, base: float, empty: float, weight: dict):
         """``entries``: (vector, toxic, clean, example id) of the distinct example vectors."""
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf, self.base, self.empty, self.weight = idf, base, empty, weight
+        self.weights, self.base, self.empty, self.weight = weights, base, empty, weight
         # Vectors that share their heaviest term stand together, so that bounds of blocks differ.
-        entries = sorted(entries, key=lambda e: (max(e[0], key=lambda x: x[1])[0], e[0]))
+        entries = sorted(entries, key=lambda e: (int(e[0][np.argmax(e[0][:, 1]), 0]), e[3]))
         self.toxic = np.array([e[1] for e in entries], dtype=np.float64)
         self.clean = np.array([e[2] for e in entries], dtype=np.float64)
         self.example = [e[3] for e in entries]
@@ -112,9 +145,8 @@ class Model:
         self.slope, self.shift = 1.0, 0.0
         self._calibrate([e[0] for e in entries])
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        terms = self.terms
-        return Counter([terms[w] for w in words(text) if w in terms])
+    def vector(self, text: str | None) -> np.ndarray:
+        return unit(*term_counts(text, self.terms), self.weights)
 
     def _vote(self, near: list[tuple[float, int]], own: tuple[float, float, int] | None = None) -> float:
         up, all_ = PULL * self.base, PULL
@@ -154,34 +186,76 @@ class Model:
         if theta[0] > 0:
             self.slope, self.shift = float(theta[0]), float(theta[1])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """Score and nearest entries of a text's term counts."""
-        if not counts or not self.index.size:
+    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        """Score and nearest entries of a text."""
+        v = self.vector(text) if self.index.size else ()
+        if not len(v):
             return self.empty, []
-        near = self.index.nearest(unit(counts, self.idf), NEIGHBOURS)
+        near = self.index.nearest(v, NEIGHBOURS)
         z = self.slope * self._logit(self._vote(near)) + self.shift
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), near
 
 
-def _profile():
-    """Per example text: its distinct words with counts, and a key that near copies mostly share."""
+def term_counts(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's terms, rising, and how often each occurs."""
+    return np.unique(np.array([terms[w] for w in words(text) if w in terms], dtype=np.int32), return_counts=True)
 
+
+def _vocabulary():
     def fn(texts):
-        out = []
-        for t in texts:
-            w = words(t)
-            runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
-            out.append({
-                "words": [{"w": a, "n": n} for a, n in Counter(w).items()],
-                "copy": min(xxhash.xxh64_intdigest(r) for r in runs) >> 1,
-            })
-        return pa.array(out, pa.struct([
-            ("words", pa.list_(pa.struct([("w", pa.string()), ("n", pa.int32())]))), ("copy", pa.int64()),
-        ]))
+        return pa.array([sorted(set(words(t))) for t in texts], pa.list_(pa.string()))
 
     return fn
 
 
+def _counted(terms: dict[str, int]):
+    def make():
+        def fn(texts):
+            found = [term_counts(t, terms) for t in texts]
+            return pa.array([{"t": t.astype("<i4").tobytes(), "n": n.astype("<i4").tobytes()} for t, n in found],
+                            pa.struct([("t", pa.binary()), ("n", pa.binary())]))
+
+        return fn
+
+    return make
+
+
+def _profile(terms: dict[str, int]):
+    """Per text: the distinct numbers of its terms behind a -1, and a key that near copies mostly share."""
+
+    def make():
+        def fn(texts):
+            out = []
+            for t in texts:
+                w = words(t)
+                runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+                found = {terms[x] for x in set(w) if x in terms}
+                out.append({"t": [-1, *found], "copy": min(map(xxhash.xxh64_intdigest, runs)) >> 2})
+            return pa.array(out, pa.struct([("t", pa.list_(pa.int32())), ("copy", pa.int64())]))
+
+        return fn
+
+    return make
+
+
+def frequencies(docs: DataFrame, labels: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Of each term, the toxic and the clean documents that hold it, and the documents of each class: over all
+    labelled rows, near copies counted once."""
+    profile = text_udf(_profile(terms), "struct<t: array<int>, copy: bigint>")
+    counted = (
+        docs.select("doc_id", "text").join(labels, "doc_id")
+        .select("y", profile(F.coalesce("text", F.lit(""))).alias("p"))
+        .select(F.explode("p.t").alias("t"), (F.col("p.copy") * 2 + F.col("y")).alias("copy")).distinct()
+        .groupBy("t").agg(F.count_if(F.col("copy") % 2 != 0).alias("a"),
+                          F.count_if(F.col("copy") % 2 == 0).alias("b"))
+        .toArrow()
+    )
+    t, a, b = (counted.column(c).to_numpy() for c in ("t", "a", "b"))
+    out = np.zeros((2, len(terms) + 1))
+    out[0, t], out[1, t] = a, b  # -1 is the last
+    return out[0, :-1], out[1, :-1], float(out[0, -1]), float(out[1, -1])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """``docs``: doc_id, text.  ``labels``: doc_id, y (0 or 1)."""
     labels = labels.where("y in (0, 1) and doc_id is not null").select("doc_id", F.col("y").cast("int").alias("y"))
@@ -194,55 +268,48 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     order = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
     # The sample has a fixed bound, so its ids may be sent to every task.
     chosen = F.broadcast(labels.where(order < share * (1 << 30)))
-    profile = text_udf(_profile, "struct<words: array<struct<w: string, n: int>>, copy: bigint>")
     sample = (
         docs.select("doc_id", "text").join(chosen, "doc_id")
         .select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
         .groupBy("y", F.xxhash64("text").alias("h"))
         .agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        .select("y", "doc_id", profile(F.col("text")).alias("p"))
-        .select("y", "doc_id", "p.words", "p.copy")
         .persist()
     )
     try:
-        size = {r["y"]: r for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d")).collect()}
-        n1, n0 = (float(size[c]["d"]) if c in size else 0.0 for c in (1, 0))
         base = total.get(1, 0) / sum(total.values())
-        if not n1 or not n0:
+        size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+        if len(size) < 2:
             return Model([], np.zeros(0), [], base, base, {0: 1.0, 1: 1.0})
-        a, b = F.col("a"), F.col("b")
-        mean = (a + b) / (n1 + n0)
-        z = (a / n1 - b / n0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-        terms = (
-            sample.select("y", "copy", F.explode("words.w").alias("w"))
-            .groupBy("w").agg(
-                F.countDistinct(F.when(F.col("y") == 1, F.col("copy"))).alias("a"),
-                F.countDistinct(F.when(F.col("y") == 0, F.col("copy"))).alias("b"),
-            )
-            .where((a + b >= LEAST_DOCS) & (z >= LEAST_Z) & (a / n1 >= LEAST_RATIO * b / n0))
-            .select("w", (a + b).alias("df"), z.alias("z")).orderBy(F.desc("z"), "w").limit(MAX_TERMS).collect()
-        )
-        names = [r["w"] for r in terms]
-        idf = np.array([math.log((n1 + n0 + 1) / (r["df"] + 1)) + 1e-9 for r in terms])
-        at = {w: i for i, w in enumerate(names)}
-        kept = F.broadcast(sample.sparkSession.createDataFrame([(w,) for w in names], "w string"))
+        # No other word can meet an example.
+        names = sample.select(F.explode(text_udf(_vocabulary, "array<string>")(F.col("text"))).alias("w")).distinct().toArrow()
+        names = sorted(names.column("w").to_pylist())
+        terms = {w: i for i, w in enumerate(names)}
+        weights = ties(*frequencies(docs, labels, terms))
         rows = (
-            sample.select("y", "doc_id", F.explode("words").alias("p")).select("y", "doc_id", "p.w", "p.n")
-            .join(kept, "w").groupBy("y", "doc_id").agg(F.collect_list(F.struct("w", "n")).alias("v")).collect()
+            sample.select("doc_id", "y", text_udf(_counted(terms), "struct<t: binary, n: binary>")(F.col("text")).alias("p"))
+            .select("doc_id", "y", "p.t", "p.n").collect()
         )
-        weight = {c: total.get(c, 0) / size[c]["n"] for c in (0, 1)}
+        weight = {c: total.get(c, 0) / size[c] for c in (0, 1)}
         scale = min(weight.values())
         weight = {c: w / scale for c, w in weight.items()}
         entries: dict[tuple, list] = {}
         seen = {0: 0, 1: 0}
         for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"])):
-            v = tuple(unit({at[p["w"]]: p["n"] for p in r["v"]}, idf))
-            e = entries.setdefault(v, [list(v), 0, 0, r["doc_id"]])
+            v = unit(np.frombuffer(r["t"], "<i4"), np.frombuffer(r["n"], "<i4"), weights)
+            if not len(v):
+                continue
+            e = entries.setdefault(v.tobytes(), [v, 0, 0, r["doc_id"]])
             e[1 if r["y"] else 2] += 1
             seen[r["y"]] += 1
-        none = {c: (size[c]["n"] - seen[c]) * weight[c] for c in (0, 1)}
+        none = {c: (size[c] - seen[c]) * weight[c] for c in (0, 1)}
         empty = none[1] / (none[0] + none[1]) if none[0] + none[1] else base
-        return Model(names, idf, list(entries.values()), base, empty, weight)
+        # Words without a weight meet nothing.
+        used = np.flatnonzero(weights > 0)
+        at = np.zeros(len(weights))
+        at[used] = np.arange(len(used))
+        for e in entries.values():
+            e[0][:, 0] = at[e[0][:, 0].astype(np.int64)]
+        return Model([names[i] for i in used], weights[used], list(entries.values()), base, empty, weight)
     finally:
         sample.unpersist()
 
@@ -252,18 +319,17 @@ def scorer(model: Model | None, evidence: bool = False):
     nearest examples."""
 
     def make():
-        remembered: dict[tuple, tuple] = {}
+        remembered: dict[bytes, tuple] = {}
 
         def one(text):
             if model is None:
                 return 0.0, []
-            counts = model.counts(text)
-            key = tuple(sorted(counts.items()))
+            key = xxhash.xxh3_128_digest(text or "")
             got = remembered.get(key)
             if got is None:
                 if len(remembered) >= REMEMBERED:
                     remembered.clear()
-                got = remembered[key] = model.score(counts)
+                got = remembered[key] = model.score(text)
             return got
 
         def fn(texts):
