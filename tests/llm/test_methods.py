@@ -305,6 +305,15 @@ def test_language_on_held_out_rows(spark, sf):
     assert sum(r["lang_pred"] == true[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
 
 
+def test_every_language_is_learned(spark):
+    rows = [(3 * i + j, chr(0x4E00 + i) * 5 + f" {j}", f"l{i:03}") for i in range(220) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 220
+    best = model.responses([r[1] for r in rows]).argmax(1)
+    assert [model.languages[i] for i in best] == [r[2] for r in rows]
+
+
 def test_folded_weights_are_kernel_ridge_regression(texts):
     sample = [t for t in list(texts.values())[:40]]
     x = language.presence(sample)

@@ -5,9 +5,9 @@ blended-spectrum presence kernel, normalised to the cosine of the two sets).  La
 Nystroem map, one ridge regression per language is solved in it, and because every step after the
 presence vector is linear, map and weights fold into one matrix: scoring a batch is one product.
 
-The model is fitted on at most about ``per_language`` rows of each of the ``MAX_LANGUAGES`` most
-frequent languages (a bounded sample chosen by hash); each sampled row travels as a bitmap of
-``2**BITS`` bits, never as text.
+The model is fitted on ``per_language`` rows of every language (those of smallest hash; all rows of a
+language that has fewer), with the same number of landmarks for each; a sampled row travels as a bitmap
+of ``2**BITS`` bits, never as text.
 
 Defined results: NULL text, and text without a letter, is ``und`` with score 0; so is every text if
 no labelled row exists.  Ties go to the language that sorts first.  Repeated rows are scored alike.
@@ -16,18 +16,21 @@ Texts are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import fold, text_udf
 
 BITS = 15
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 #: Texts whose presence vectors are held at once.
 ROWS = 64
+#: The hash filter before the exact choice of rows lets so many times the wanted rows of a language pass.
+SLACK = 4
 
 
 def gram_slots(text: str) -> np.ndarray:
@@ -75,51 +78,70 @@ class Model:
         return out + self.bias
 
 
-def solve(x: np.ndarray, lang: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model:
-    """Kernel ridge regression, one against the rest, on Nystroem features of presence rows ``x``."""
+def _unpacked(x: np.ndarray, rows) -> np.ndarray:
+    """Normalised rows of presence vectors, or of bitmaps."""
+    part = (np.unpackbits(x[rows], axis=1) if x.dtype == np.uint8 else x[rows]).astype(np.float32)
+    return part / np.sqrt(part.sum(1, keepdims=True))
+
+
+def solve(x: np.ndarray, lang: list[str], landmarks: int = 32, ridge: float = 1e-3) -> Model:
+    """Kernel ridge regression, one against the rest, on Nystroem features of presence rows (or bitmaps) ``x``.
+    The first ``landmarks`` rows of each language are landmarks."""
     names = sorted(set(lang))
-    x = x / np.sqrt(x.sum(1, keepdims=True))
-    y = np.array([[float(v == n) for n in names] for v in lang], dtype=np.float64)
-    # Landmarks are dealt round-robin over the languages.
+    at = {n: i for i, n in enumerate(names)}
     seen: dict[str, int] = {}
     turn = []
     for i, v in enumerate(lang):
         seen[v] = seen.get(v, 0) + 1
         turn.append((seen[v], i))
-    marks = x[[i for _, i in sorted(turn)[:landmarks]]]
+    marks = _unpacked(x, [i for nth, i in sorted(turn) if nth <= landmarks])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
-    phi = (x @ marks.T).astype(np.float64) @ root
-    centre, mean = phi.mean(0), y.mean(0)
-    a = (phi - centre).T @ (phi - centre) + ridge * len(x) * np.eye(phi.shape[1])
-    w = np.linalg.solve(a, (phi - centre).T @ (y - mean))
+    phi = np.concatenate([
+        (_unpacked(x, slice(i, i + ROWS)) @ marks.T).astype(np.float64) @ root for i in range(0, len(x), ROWS)
+    ])
+    centre, mean = phi.mean(0), np.array([seen[n] for n in names]) / len(x)
+    phi -= centre
+    y = np.zeros((len(x), len(names)))
+    y[np.arange(len(x)), [at[v] for v in lang]] = 1
+    a = phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1])
+    w = np.linalg.solve(a, phi.T @ (y - mean))
     return Model(names, (marks.T @ (root @ w)).astype(np.float32), (mean - centre @ w).astype(np.float32))
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        per_language: int = 200, total: int = 1000) -> Model | None:
-    """Fit on a hash sample of labelled rows: about ``per_language`` rows for each language and
-    ``total`` in all.  ``key`` only seeds the choice of rows."""
-    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
-    quota = max(1, min(per_language, total // len(counts)))
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col(lang) == r["lang"], F.lit(min(1.0, quota / r["count"]))).otherwise(share)
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 200) -> Model | None:
+    """Fit on the ``per_language`` labelled rows of smallest hash of every language.  ``key`` only seeds the
+    choice of rows."""
     order = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    sample = (
-        rows.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))
-        .select(F.col(lang).alias("lang"), order.alias("order"), text_udf(_bitmaps, "binary")(F.col(text)).alias("bits"))
-        .where("bits is not null").collect()
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text")
     )
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    first = Window.partitionBy("lang").orderBy("order")
+
+    def chosen(shares: dict[str, float]) -> list:
+        # One row for each language, which the driver holds anyway.
+        share = F.broadcast(rows.sparkSession.createDataFrame(list(shares.items()), "lang string, share double"))
+        return (
+            rows.join(share, "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+            .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
+            .select("lang", "order", text_udf(_bitmaps, "binary")(F.col("text")).alias("bits"))
+            .where("bits is not null").collect()
+        )
+
+    sample = chosen({v: min(1.0, SLACK * per_language / n) for v, n in counts.items()})
+    got = Counter(r["lang"] for r in sample)
+    # Repeated rows have one hash, so the filter can miss too many of them.
+    short = {v: 1.0 for v, n in counts.items() if n > SLACK * per_language and got[v] < per_language}
+    if short:
+        sample = [r for r in sample if r["lang"] not in short] + chosen(short)
     if not sample:
         return None
     sample.sort(key=lambda r: (r["lang"], r["order"]))
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in sample]).astype(np.float32)
-    return solve(x, [r["lang"] for r in sample])
+    return solve(np.stack([np.frombuffer(r["bits"], dtype=np.uint8) for r in sample]), [r["lang"] for r in sample])
 
 
 def predictor(model: Model | None):
