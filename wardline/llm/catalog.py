@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bytebpe, fingerprint, language, lengths, lines, neardup, packing, quality, toxicity, urls
+from wardline.llm import (
+    alignment, bytebpe, fingerprint, htmltext, language, lengths, lines, neardup, packing, quality, toxicity, urls, variants,
+)
 from wardline.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+ALIGNED_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,19 @@ def string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(language.training_rows(docs)))
 
 
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), vocabularies.path(ALIGNED_BPE), vocabularies.path(PIECES))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
+
+
 QUERIES = {
     "op1_lempel_ziv_fingerprints": lempel_ziv_fingerprints,
     "op2_line_frequency": line_frequency,
@@ -64,6 +81,9 @@ QUERIES = {
     "op8_length_histogram": length_histogram,
     "op9_url_language_models": url_language_models,
     "op10_string_kernel_language": string_kernel_language,
+    "op11_cross_tokenizer_alignment": cross_tokenizer_alignment,
+    "op12_spelling_variants": spelling_variants,
+    "op13_html_extraction": html_extraction,
 }
 
 ORACLES: dict[str, str] = {
