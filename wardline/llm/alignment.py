@@ -9,8 +9,8 @@ whose bytes it overlaps.
   vocabulary length per task.  Only pairs of other groups are counted by shuffle, added up within each
   document and task before it.
 * Words repeat, so texts are cut at places that no token of either side can span (before a blank or line
-  feed that follows another character) and each worker keeps the alignment of the pieces it has met, at
-  most ``PIECES`` of them.  A text with other white space is one piece.
+  feed that follows another character, between a word and marks behind it) and each worker keeps the alignment
+  of the pieces it met last, at most twice ``PIECES`` of them.  A text with other white space is one piece.
 * For the report per document, counts of identity pairs and the highest count of each B id are vectors of
   vocabulary length.  The ``FREQUENT`` most frequent other pairs go along; a pair beyond them stands in at
   most one ``FREQUENT``-th of all links, so joining those by key meets no hot key.
@@ -23,46 +23,50 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import chunks
 from wardline.llm.tokens import TO_CHARACTER
 from wardline.session import landed
 
 #: Pieces whose alignment a worker keeps, and the longest of them.
-PIECES, LONGEST = 150_000, 40
+PIECES, LONGEST = 100_000, 40
+#: Characters of texts that are cut at a time.
+STEP = 500_000
 #: Irregular pairs whose counts are sent to all tasks (16 bytes each).
 FREQUENT = 100_000
 #: Irregular pairs that a task adds up before it hands them on.
 HELD = 2_000_000
 
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:#*%$&]"
 _PIECE = re.compile(r"[ \n]+[^ \n]+")
-#: A piece of letters and the marks behind them, which tokens of A never span.
-_WORD = re.compile(r"([ \n]+[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*%$&]+)")
+#: The same, with marks behind a word apart.
+_PARTED = re.compile(rf"[ \n]+{_LETTER}+(?={_MARK}+(?:[ \n]|\Z))|{_MARK}+(?=[ \n]|\Z)|[ \n]+[^ \n]+")
+_WORD = re.compile(rf" ?{_LETTER}+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|᠎")
 _MAPPED = np.dtype([("key", "<u4"), ("n", "<i8")])
 
 
-class Aligned:
+class Aligned(NamedTuple):
     """The alignment of one piece: sizes, regular A ids, irregular pairs and groups in writing."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "regular", "pairs", "groups")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, regular: bytes, pairs: bytes, groups: str):
-        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, n_links
-        self.regular, self.pairs, self.groups = regular, pairs, groups
-
-    def __add__(self, after: Aligned) -> Aligned:
-        return Aligned(
-            self.n_a + after.n_a, self.n_b + after.n_b, self.n_groups + after.n_groups, self.n_links + after.n_links,
-            self.regular + after.regular, self.pairs + after.pairs, f"{self.groups};{after.groups}",
-        )
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    regular: bytes
+    pairs: bytes
+    groups: str
 
 
 class Aligner:
@@ -91,92 +95,115 @@ class Aligner:
         # Cutting before blanks and line feeds needs a B vocabulary that never joins them to what precedes.
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError(f"{path_b} has pieces that go on over a blank or line feed")
-        self.parted = not any(re.search(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,!?;:#*%$&]", p) for p in pieces)
+        # No token of A spans the end of a word; where B has none either, marks behind words stand apart.
+        self.cut = _PIECE if any(re.search(_LETTER + _MARK, p) for p in pieces) else _PARTED
         same: dict[bytes, int] = {}
         for i, raw in enumerate(self.bytes_b):
             if raw and not (raw in same and self.b.is_byte(i)):
                 same[raw] = i if raw not in same or self.b.is_byte(same[raw]) else same[raw]
         self.identity = np.array([same.get(raw, -1) if raw else -1 for raw in self.bytes_a], dtype=np.int32)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.decimal = list(map(str, range(max(len(pieces), len(self.bytes_a)))))
+        self.written = [f"{i}|{b}" for i, b in enumerate(self.identity.tolist())]
         self.known: dict[str, Aligned | None] = {}
+        self.before: dict[str, Aligned | None] = {}
+        self.word = self._word_encoder(path_a)
 
-    def align(self, a: list[int], b: list[int], text: str) -> Aligned | None:
-        """None if the tokens' bytes are not those of ``text``."""
-        raw_a, raw_b, same = self.bytes_a, self.bytes_b, self.identity
-        raw = text.encode("utf-8", "surrogatepass")
-        if not a or not b or b"".join([raw_a[x] for x in a]) != raw or b"".join([raw_b[x] for x in b]) != raw:
+    def _word_encoder(self, path_a: str):
+        """tiktoken's encoder for pieces that are one run of letters: several times as fast, and equal where the
+        file's merges stand in the order of their ids, one for each."""
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if made != list(range(256, 256 + len(made))) or sorted(map(len, self.bytes_a[:256])) != [1] * 256:
             return None
-        regular, pairs, groups = [], [], []
-        i = j = first_a = first_b = n_links = 0
-        end_a, end_b = len(raw_a[a[0]]), len(raw_b[b[0]])
-        held: list[int] = []
-        while True:
-            held.append(a[i] << 16 | b[j])  # each step is one overlap
-            if end_a == end_b:
-                n_links += len(held)
-                if i == first_a and j == first_b and same[a[i]] == b[j]:
-                    regular.append(a[i])
-                    groups.append(f"{a[i]}|{b[j]}")
-                else:
-                    pairs += held
-                    groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j + 1]))}")
-                held = []
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a += len(raw_a[a[i]])
-                end_b += len(raw_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(raw_a[a[i]])
-            else:
-                j += 1
-                end_b += len(raw_b[b[j]])
-        return Aligned(
-            len(a), len(b), len(groups), n_links, np.array(regular, "<u2").tobytes(), np.array(pairs, "<u4").tobytes(), ";".join(groups)
+        ranks = {raw: i for i, raw in enumerate(self.bytes_a) if raw}
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def align(self, pieces: list[str], many_a: list[list[int]], many_b: list[list[int]]) -> list[Aligned | None]:
+        """Alignments of pieces from their tokens; None where the tokens' bytes are not those of the piece."""
+        flat_a, flat_b = list(chain.from_iterable(many_a)), list(chain.from_iterable(many_b))
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        whole, ends = b"".join(raw), np.cumsum(list(map(len, raw)))
+        a, b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        fits = b"".join(map(self.bytes_a.__getitem__, flat_a)) == whole == b"".join(map(self.bytes_b.__getitem__, flat_b)) and all(
+            np.array_equal(np.concatenate(([0], e))[np.cumsum(list(map(len, many)))], ends) for e, many in ((ends_a, many_a), (ends_b, many_b))
         )
+        if not fits and len(pieces) > 1:
+            return [self.align([p], [x], [y])[0] for p, x, y in zip(pieces, many_a, many_b)]
+        if not fits or not whole:
+            return [None] * len(pieces)
+        # Between neighbouring ends lies one overlap.
+        points = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, points), np.searchsorted(ends_b, points)
+        link_a, link_b = a[at_a], b[at_b]
+        last = np.flatnonzero((ends_a[at_a] == points) & (ends_b[at_b] == points))  # of each group
+        single = (np.diff(last, prepend=-1) == 1) & (self.identity[link_a[last]] == link_b[last])
+        regular = np.zeros(len(points), dtype=bool)
+        regular[last[single]] = True
+        regular_ids = link_a[regular].astype("<u2").tobytes()
+        pairs = (link_a << 16 | link_b)[~regular].astype("<u4").tobytes()
+        groups = list(map(self.written.__getitem__, link_a[last].tolist()))
+        odd = np.flatnonzero(~single)
+        end_a, end_b = at_a[last] + 1, at_b[last] + 1
+        text_a, text_b = (list(map(self.decimal.__getitem__, x)) for x in (flat_a, flat_b))
+        start_a, start_b = np.concatenate(([0], end_a[:-1])), np.concatenate(([0], end_b[:-1]))
+        for g, i, j, k, m in zip(*(x.tolist() for x in (odd, start_a[odd], end_a[odd], start_b[odd], end_b[odd]))):
+            groups[g] = ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
+        links = np.searchsorted(points, ends, "right")
+        regulars = np.concatenate(([0], np.cumsum(regular)))[links]
+        out, g, n, r, q = [], 0, 0, 0, 0
+        for x, y, to_g, to_n, to_r in zip(many_a, many_b, np.searchsorted(last, links).tolist(), links.tolist(), regulars.tolist()):
+            to_q = to_n - to_r
+            out.append(Aligned(len(x), len(y), to_g - g, to_n - n, regular_ids[2 * r : 2 * to_r], pairs[4 * q : 4 * to_q], ";".join(groups[g:to_g])))
+            g, n, r, q = to_g, to_n, to_r, to_q
+        return out
 
     def encode(self, pieces: list[str]) -> list[Aligned | None]:
         """Alignments of pieces as they stand inside a text."""
-        many_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
+        words = [self.word is not None and _WORD.fullmatch(p) is not None for p in pieces]
+        other = iter(self.a.encode_batch_fast([p for p, w in zip(pieces, words) if not w], add_special_tokens=False))
+        many_a = [self.word(p) if w else next(other).ids for p, w in zip(pieces, words)]
         # B adds a blank itself; that and a line feed behind it are tokens of their own.
         many_b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
-        return [self.align(a.ids, b if p[0] == " " else b[2:], p) for p, a, b in zip(pieces, many_a, many_b)]
+        return self.align(pieces, many_a, [b if p[0] == " " else b[2:] for p, b in zip(pieces, many_b)])
 
     def learn(self, pieces: set[str]) -> dict[str, Aligned | None]:
-        """Alignments of new pieces; short ones are kept.  Where B allows it, the marks behind a word are
-        aligned apart from it."""
-        parts = {p: m.groups() for p in pieces if (m := _WORD.fullmatch(p))} if self.parted else {}
-        known = self.known
-        new = list((pieces - parts.keys()) | {x for two in parts.values() for x in two if x not in known})
-        fresh = dict(zip(new, self.encode(new)))
-        for p, (word, marks) in parts.items():
-            one, two = (fresh[x] if x in fresh else known[x] for x in (word, marks))
-            fresh[p] = one and two and one + two
-        if len(known) + len(fresh) > PIECES:
-            self.known = {}
+        """Alignments of pieces that ``known`` lacks.  A worker keeps those it met lately, in two generations."""
+        fresh = {p: self.before[p] for p in pieces if p in self.before}
+        new = list(pieces - fresh.keys())
+        fresh.update(zip(new, self.encode(new)))
+        if len(self.known) + len(fresh) > PIECES:
+            self.before, self.known = self.known, {}
         self.known.update((p, f) for p, f in fresh.items() if len(p) <= LONGEST)
         return fresh
 
-    def text(self, text: str | None) -> list[Aligned] | None:
-        """Alignments of a text's pieces in order; None if it has no tokens."""
-        if not text:
-            return None
-        text = " " + text
+    def pieces(self, text: str) -> list[str]:
         if _OTHER_SPACE.search(text):
-            found = self.encode([text])
-        else:
-            body = text.rstrip(" \n")
-            pieces = _PIECE.findall(body) or [""]
-            pieces[-1] += text[len(body) :]
+            return [text]
+        body = text.rstrip(" \n")
+        found = self.cut.findall(body) or [""]
+        found[-1] += text[len(body) :]
+        return found
+
+    def texts(self, texts: list[str | None]) -> Iterator[list[Aligned] | None]:
+        """For each text the alignments of its pieces in order; None if it has no tokens."""
+        for part in chunks([t or "" for t in texts], STEP):
+            cut = [self.pieces(" " + t) if t else [] for t in part]
             get = self.known.get
-            found = [get(p, 0) for p in pieces]
-            if 0 in found:
-                fresh = self.learn({p for p, f in zip(pieces, found) if f == 0})
-                found = [fresh[p] if f == 0 else f for p, f in zip(pieces, found)]
-            if None in found:
-                found = self.encode([text])
-        return None if None in found else found
+            found = [[get(p, 0) for p in pieces] for pieces in cut]
+            missed = {p for pieces, f in zip(cut, found) if 0 in f for p, x in zip(pieces, f) if x == 0}
+            fresh = self.learn(missed) if missed else {}
+            for t, pieces, f in zip(part, cut, found):
+                if 0 in f:
+                    f = [fresh[p] if x == 0 else x for p, x in zip(pieces, f)]
+                if None in f:
+                    f = self.encode([" " + t])
+                yield None if not f or None in f else f
 
 
 @lru_cache(maxsize=2)
@@ -206,7 +233,7 @@ def _align_texts(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for batch in batches:
-            columns = list(zip(*(one(both.text(t.as_py())) for t in batch.column(2)))) or [()] * 8
+            columns = list(zip(*map(one, both.texts(batch.column(2).to_pylist())))) or [()] * 8
             arrays = [pa.array(c, kind) for c, kind in zip(columns, _KINDS[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], [f.split()[0] for f in _ALIGNED.split(", ")])
 
