@@ -4,8 +4,8 @@ Both encoders split a text at places that no pre-token can span (after a run of
 characters; between a letter and a following mark other than an apostrophe), keep the ids of each
 distinct piece, and let the ``tokenizers`` library encode the pieces they have not met.  Most words
 of a corpus repeat, so the merges run once per word and worker instead of once per occurrence; the
-ids are those of the whole text.  A worker holds at most ``PIECES`` pieces (the word encoder three times
-as many) and starts afresh beyond.
+ids are those of the whole text.  A worker holds at most ``PIECES`` pieces (the word encoder 400,000), in
+two generations, and drops the older one beyond.
 """
 
 from __future__ import annotations
@@ -69,13 +69,17 @@ class _Pieces:
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; short ones are kept."""
-        if len(self.known) + len(pieces) > self.most:
-            self.known = {}
+        """Ids of new pieces; short ones are kept, in two generations: what is met again moves to the newer."""
+        if len(self.known) + len(pieces) > self.most // 2:
+            self.before, self.known = self.known, {}
         fresh, rest = {}, []
         for p in pieces:
+            if p in self.before:
+                fresh[p] = self.before[p]
+                continue
             word = self.word(p)
             if word is None:
                 rest.append(p)
@@ -154,7 +158,7 @@ class WordBPE(_Pieces):
     """BPE with word ends from a tokenizer file that lower-cases and drops white space."""
 
     dtype = "<u2"
-    most = 3 * PIECES  # its pieces are short
+    most = 400_000  # its pieces are short
 
     def __init__(self, path: str):
         super().__init__()
