@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +34,19 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def release_memory() -> None:
+    """Hands back what earlier tasks left in this worker process: Spark reuses workers, and one that has encoded
+    still holds vocabularies and pieces that a task of another operator does not need."""
+    tokens = sys.modules.get("wardline.llm.tokens")
+    if tokens:
+        tokens.byte_bpe.cache_clear()
+        tokens.word_bpe.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_udf(make: Callable[[], Callable[[list], pa.Array]], returns) -> Callable[[Column], Column]:
     """Arrow UDF over one column: ``make`` runs once per task and returns a function that maps a
     list of Python values (None for NULL) to an Arrow array of the same length."""

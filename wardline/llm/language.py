@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import fold, text_udf
+from wardline.llm.common import fold, release_memory, text_udf
 
 BITS = 15
 UNKNOWN = "und"
@@ -148,6 +148,8 @@ def predictor(model: Model | None):
     """Column function: text -> struct(lang_pred string, score double)."""
 
     def make():
+        release_memory()
+
         def fn(texts):
             rows = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

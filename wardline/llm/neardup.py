@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
+from wardline.llm.common import release_memory
 from wardline.llm.components import components
 from wardline.session import landed
 
@@ -143,6 +144,7 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         shingler, orders = Shingler(words), _orders()
         for batch in batches:
             n, kind, regs = [], [], []
@@ -163,6 +165,7 @@ def _sets(words: int):
     """id and set of the rows whose set has the digest of their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         shingler = Shingler(words)
         for batch in batches:
             ids, sets = [], []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import fold, text_udf
+from wardline.llm.common import fold, release_memory, text_udf
 from wardline.session import landed
 
 FEATURES = 18
@@ -64,6 +64,8 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def _features():
+    release_memory()
+
     def fn(texts):
         return pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
 
@@ -153,6 +155,8 @@ def scorer(model: Model, of_features: bool = False):
     """Column function: text (or its statistics) -> score."""
 
     def make():
+        release_memory()
+
         def fn(values):
             x = np.array([v if of_features else statistics(v) for v in values]).reshape(-1, FEATURES)
             return pa.array(model.scores(x), pa.float64())
