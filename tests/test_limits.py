@@ -1,5 +1,7 @@
 """Inputs that used to be dropped, refused or cut short."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,22 @@ def test_thousands_of_short_phrases(spark):
     assert got == {(i, j) for i, t in texts for j, x in phrases if t and x and x in t}
 
 
+@pytest.mark.parametrize("chars", [inspect.AUTOMATON_CHARS, 500_000])
+def test_a_hundred_thousand_phrases(spark, monkeypatch, chars):
+    """One automaton, and a list dealt over several."""
+    monkeypatch.setattr(inspect, "AUTOMATON_CHARS", chars)
+    rng = random.Random(6)
+    phrases = [(f"p{i}", f"{rng.choice('abcdefgh')}{rng.randrange(10**6)} x{i % 50_000}") for i in range(100_000)]
+    phrases += [("same", phrases[7][1]), ("long", "y" * 60_000), ("null", None)]
+    picked = rng.sample(range(100_000), 40)
+    texts = [(i, f"before {phrases[k][1]} after {phrases[-2 if i == 3 else (k + 1) % 100_000][1]}") for i, k in enumerate(picked)]
+    texts += [(100, None), (100, phrases[7][1]), (100, phrases[7][1])]
+    d = spark.createDataFrame(texts, "doc long, text string").repartition(4)
+    got = inspect.blocklist_hits(d, "doc", "text", spark.createDataFrame(phrases, "pid string, phrase string"), "pid", "phrase")
+    by_phrase = sorted((i, j) for i, t in texts if t for j, p in phrases if p and p[:9] in t and p in t)
+    assert sorted(map(tuple, got.collect())) == by_phrase
+
+
 def test_burst_over_a_window_edge(spark):
     ddl = "event_id long, user string, us long, action string, severity string, rule string, prompt_preview string"
     at = [T0 + 90 * MICROS, T0 + 150 * MICROS, T0 + 205 * MICROS]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,39 +152,62 @@ def blocklist_rules(phrases: DataFrame, id_col: str, phrase_col: str) -> DataFra
     )
 
 
-SHINGLE = 3
-#: Longest run of characters by which very short phrases meet texts.
-GRAM = 4
-
-
-def _pieces(c: Column) -> Column:
-    return F.split(c, " ")
-
-
-def _shingles(parts: Column) -> Column:
-    """Every run of three neighbouring pieces, as text."""
-    n = F.size(parts)
-    joined = F.zip_with(
-        F.zip_with(
-            F.slice(parts, 1, F.greatest(n - 2, F.lit(0))),
-            F.slice(parts, 2, F.greatest(n - 2, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-        F.slice(parts, 3, F.greatest(n - 2, F.lit(0))),
-        lambda ab, x: F.concat(ab, F.lit(" "), x),
-    )
-    return F.array_distinct(joined)
-
-
-def _grams(c: Column) -> Column:
-    """Hashes of the distinct runs of one to ``GRAM`` characters."""
-    runs = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: x)
-    found = []
-    for n in range(1, GRAM + 1):
-        found.append(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(F.lit(n), x))))
-        longer = F.slice(F.split(c, ""), n + 1, F.greatest(F.size(F.split(c, "")) - n, F.lit(0)))
-        runs = F.filter(F.zip_with(runs, longer, lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
-    return F.concat(*found)
+#: Characters of the phrases that one automaton holds; about 40 bytes of a worker's memory each.
+AUTOMATON_CHARS = 4_000_000
+#: Longer phrases stand in it by so many first characters and are compared whole where those are found.
+HEAD = 500
+
+_automata: dict = {}
+
+
+def _automaton(number: str, phrases: list[str]):
+    """Aho-Corasick automaton over the heads of ``phrases``, each with the numbers of its phrases; a worker keeps
+    the one it used last."""
+    if number not in _automata:
+        import ahocorasick
+
+        heads: dict[str, list[int]] = {}
+        for i, phrase in enumerate(phrases):
+            heads.setdefault(phrase[:HEAD], []).append(i)
+        made = ahocorasick.Automaton()
+        for head, places in heads.items():
+            made.add_word(head, tuple(places))
+        made.make_automaton()
+        _automata.clear()
+        _automata[number] = made
+    return _automata[number]
+
+
+def _found(machine, phrases: list[str], text: str) -> list[int]:
+    """Numbers of the phrases in ``text``."""
+    hits: set[int] = set()
+    for end, places in machine.iter(text):
+        for i in places:
+            if i not in hits and (len(phrases[i]) <= HEAD or text.startswith(phrases[i], end + 1 - HEAD)):
+                hits.add(i)
+    return sorted(hits)
+
+
+def _scan(docs: DataFrame, doc_id: str, col: str, part: DataFrame, id_col: str, phrase_col: str) -> DataFrame:
+    """Hits of one part of the phrases: each text is read once, and only its hits become rows."""
+    rows = part.toArrow()  # about AUTOMATON_CHARS characters
+    number = uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast((rows.column(phrase_col).to_pylist(), rows.column(id_col).combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, ids = sent.value
+        machine = _automaton(number, phrases) if phrases else None
+        for batch in batches:
+            row, hit = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if machine is not None else []):
+                if text:
+                    found = _found(machine, phrases, text)
+                    hit += found
+                    row += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), ids.take(pa.array(hit, pa.int64()))], [doc_id, id_col])
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((docs, doc_id), (part, id_col))}
+    return docs.select(doc_id, col).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
 
 
 def blocklist_hits(
@@ -187,35 +215,16 @@ def blocklist_hits(
 ) -> DataFrame:
     """(doc, phrase) pairs where the text contains the phrase literally; any number of phrases.
 
-    A phrase of at least five blank-separated pieces has three inner pieces that must stand in
-    the text exactly, so both sides meet by equi-join on the hash of such a run and only the
-    pairs that meet are verified.  Shorter phrases meet texts by their first ``GRAM`` characters
-    (all of them, if they are fewer).
+    The phrases become an Aho-Corasick automaton, so a text is read once however many there are; nothing is
+    exploded or shuffled.  The size of the list is counted first: beyond ``AUTOMATON_CHARS`` it is dealt by
+    hash into parts of about that size, and the texts are read once for each.  Empty and NULL phrases are in
+    no text; ids that share a phrase, and repeated texts, each give their rows.
     """
-    size = F.size(_pieces(F.col(phrase_col)))
-    long_ones = phrases.filter((size >= SHINGLE + 2) & (F.length(phrase_col) > 0))
-    short_ones = phrases.filter((size < SHINGLE + 2) & (F.length(phrase_col) > 0))
-
-    anchor = long_ones.select(
-        F.col(id_col),
-        F.col(phrase_col),
-        F.xxhash64(F.array_join(F.slice(_pieces(F.col(phrase_col)), 2, SHINGLE), " ")).alias("_k"),
-    )
-    keys = docs.select(
-        F.col(doc_id),
-        F.explode(F.array_distinct(F.transform(_shingles(_pieces(F.col(col))), lambda x: F.xxhash64(x)))).alias("_k"),
-    )
-    start = F.substring(F.col(phrase_col), 1, GRAM)
-    short_anchor = short_ones.select(F.col(id_col), F.xxhash64(F.length(start), start).alias("_k"))
-    short_keys = docs.select(F.col(doc_id), F.explode(_grams(F.col(col))).alias("_k"))
-    # Keys first, texts later: only documents that met an anchor carry their text over the wire.
-    met = (
-        keys.join(anchor.select("_k", id_col), "_k").select(doc_id, id_col)
-        .unionByName(short_keys.join(short_anchor, "_k").select(doc_id, id_col)).distinct()
-    )
-    return (
-        met.join(docs.select(doc_id, col), doc_id)
-        .join(phrases.select(id_col, phrase_col), id_col)
-        .filter(F.col(col).contains(F.col(phrase_col)))
-        .select(doc_id, id_col)
-    )
+    wanted = phrases.where(F.length(phrase_col) > 0).select(id_col, phrase_col)
+    chars = wanted.agg(F.sum(F.length(phrase_col))).first()[0] or 0
+    parts = -(-chars // AUTOMATON_CHARS) or 1
+    hits = [
+        _scan(docs, doc_id, col, wanted.where(F.pmod(F.xxhash64(phrase_col), F.lit(parts)) == i), id_col, phrase_col)
+        for i in range(parts)
+    ]
+    return reduce(DataFrame.unionByName, hits)
