@@ -1,12 +1,16 @@
 """Inputs that used to be dropped, refused or cut short."""
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from wardline import session
-from wardline.operators import gateway, inspect, searches
+from wardline import vocab as V
+from wardline.operators import gateway, inspect, ruletree, searches
 from wardline.operators.timeline import MICROS
 from wardline.sources import chat, rules
 
@@ -152,3 +156,29 @@ def test_translator_gets_a_batch(spark):
     assert got == ["2:a", "2:b", "c", None]
     spoiled = spark.createDataFrame([("bad", "mixed"), ("b", "mixed")], "t string, lang string").coalesce(1)
     assert [r[0] for r in spoiled.select(translate_non_latin(F.col("t"), F.col("lang"), translator)).collect()] == ["bad", "1:b"]
+
+
+def test_flood_of_one_user_is_counted_in_seconds(spark):
+    """100,000 events of one user within ten minutes, against prefix counts in numpy."""
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.integers(0, 600 * 10, 100_000)) * 100_000 + T0  # tenths of a second: many equal instants
+    rule = rng.integers(0, 5, len(t))
+    frame = pd.DataFrame({
+        "event_id": range(len(t)), "user": "u", "us": t, "action": "dlp_block", "severity": "high", "rule": [f"r{r}" for r in rule],
+        "layer": "L2_DLP_Regex", "source": "ai-gateway", "prompt_preview": "p", "casb_action": "dlp_block",
+    })
+    df = spark.createDataFrame(frame)
+    start = time.time()
+    fired = {(r["event_id"], r["rule_id"]): r["matches"] for r in ruletree.frequency_rules(df).collect()}
+    rolled = {r["end_us"]: r for r in searches.behavioral_risk(df).collect()}
+    assert time.time() - start < 60
+    for rid, _, times, span, parent, *_ in V.FREQUENCY_RULES:
+        n = np.searchsorted(t, t, "right") - np.searchsorted(t, t - span * MICROS, "left")
+        got = {i: m for (i, r), m in fired.items() if r == rid}
+        assert not got or got == {i: m for i, m in enumerate(n.tolist()) if m >= times}
+    assert len({r for _, r in fired}) >= 1
+    last = {u: i for i, u in enumerate(t.tolist())}
+    for u, i in list(last.items())[::37]:
+        first = np.searchsorted(t, u - 120 * MICROS, "right")
+        assert rolled[u]["high_count"] == i - first + 1
+        assert rolled[u]["triggered_rules"] == "|".join(f"r{r}" for r in sorted(set(rule[first : i + 1].tolist())))

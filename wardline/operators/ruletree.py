@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
-from wardline.operators.timeline import HOUR, MICROS, with_lookback
+from wardline.operators.timeline import HOUR, MICROS, sliding_counts
 from wardline.sources.gateway import SOURCE
 
 PRODUCT = "Gateway"
@@ -153,8 +153,8 @@ def frequency_rules(
 ) -> DataFrame:
     """Rules that fire when a user's matches of a parent rule reach a count within a time span.
 
-    The current event counts.  Rows are cut into hours plus the longest span, so one user's
-    burst is spread over tasks and each count reads at most that span.
+    The current event counts, and so do all others of its instant.  Counts are a sweep over quarter hours
+    (:func:`timeline.sliding_counts`), so a burst costs as much as it has events.
     """
     user_events = events.filter(F.col("user").isNotNull())
     parents = sorted({r[4] for r in V.FREQUENCY_RULES})
@@ -162,14 +162,8 @@ def frequency_rules(
                       lambda m: m["rule_id"])
     wanted = F.array_intersect(ids, F.array(*[F.lit(p) for p in parents]))
     narrow = user_events.select("event_id", "user", "us", F.explode(wanted).alias("parent"))
-    longest = max(r[3] for r in V.FREQUENCY_RULES) * MICROS
-    src = with_lookback(narrow, "us", longest, HOUR)
-    w = Window.partitionBy("user", "parent", "_slot").orderBy("us")
     spans = sorted({r[3] for r in V.FREQUENCY_RULES})
-    counted = src.select(
-        "event_id", "user", "us", "parent", "_home",
-        *[F.count("*").over(w.rangeBetween(-s * MICROS, 0)).alias(f"_n{s}") for s in spans],
-    ).filter("_home")
+    counted = sliding_counts(narrow, ["user", "parent"], "us", {f"_n{s}": s * MICROS for s in spans})
     fired = F.array_compact(
         F.array(
             *[

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,12 +149,43 @@ def _with_status(g: DataFrame) -> DataFrame:
     return g.withColumns({"risk_score": score, "risk_status": status}).filter("risk_status <> 'NOMINAL'")
 
 
+def _rolled(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """Instants sorted by user, slot and time: counts and rules of the last ``span``.  Every instant enters once and
+    leaves once; what is held are the instants of one span."""
+    names = list(_BEHAVIOR_COUNTS.values())
+    key, held, totals, latest, rules = None, deque(), [0] * len(names), {}, ""
+    for pdf in batches:
+        out = []
+        for user, slot, t, home, prompt, now, *counts in zip(*(pdf[c] for c in ("user", "_slot", "us", "_home", "last_prompt", "_rules", *names))):
+            if (user, slot) != key:
+                key, held, totals, latest, rules = (user, slot), deque(), [0] * len(names), {}, ""
+            changed = False
+            while held and held[0][0] <= t - span:
+                gone, its_rules, its_counts = held.popleft()
+                totals = [a - b for a, b in zip(totals, its_counts)]
+                for r in its_rules:
+                    if latest[r] == gone:
+                        del latest[r]
+                        changed = True
+            held.append((t, now, counts))
+            totals = [a + b for a, b in zip(totals, counts)]
+            for r in now:
+                changed |= r not in latest
+                latest[r] = t
+            if changed:
+                rules = "|".join(sorted(latest))
+            if home:
+                out.append((user, t, prompt, rules, *totals))
+        yield pd.DataFrame(out, columns=["user", "us", "last_prompt", "triggered_rules", *names])
+
+
 def behavioral_risk(events: DataFrame, seconds: int = 120) -> DataFrame:
     """Weighted severity counts of the ``seconds`` up to and including each event of a user; the first
     threshold met names the status.
 
-    The window rolls with the events, so a burst is seen wherever it lies.  Rows are cut into hours plus
-    the look-back, so one user's flood is spread over tasks.  Equal instants count together and give one row.
+    The window rolls with the events, so a burst is seen wherever it lies.  A user's time is cut into slots
+    plus the look-back, which spreads a flood over tasks; each slot is walked once.  Equal instants count
+    together and give one row.
     """
     span = seconds * MICROS
     src = events.filter(F.col("user").isNotNull() & F.col("action").isin(*V.BEHAVIOR_ACTIONS))
@@ -163,13 +195,12 @@ def behavioral_risk(events: DataFrame, seconds: int = 120) -> DataFrame:
         F.max(F.struct("event_id", "prompt_preview"))["prompt_preview"].alias("last_prompt"),
         F.collect_set("rule").alias("_rules"),
     )
-    cut = with_lookback(instants, "us", span, max(HOUR, span))
-    w = Window.partitionBy("user", "_slot").orderBy("us").rangeBetween(-span + 1, 0)
-    rolled = cut.select(
-        "user", "us", "last_prompt", "_home",
-        *[F.sum(n).over(w).alias(n) for n in _BEHAVIOR_COUNTS.values()],
-        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("_rules").over(w)))), "|").alias("triggered_rules"),
-    ).filter("_home")
+    cut = with_lookback(instants, "us", span, max(HOUR // 12, span))
+    counts = ", ".join(f"{n} bigint" for n in _BEHAVIOR_COUNTS.values())
+    rolled = (
+        cut.repartition("user", "_slot").sortWithinPartitions("user", "_slot", "us")
+        .mapInPandas(lambda batches: _rolled(batches, span), f"user string, us bigint, last_prompt string, triggered_rules string, {counts}")
+    )
     return _with_status(rolled).select(
         (F.col("us") - span + 1).alias("start_us"), F.col("us").alias("end_us"), "user",
         "risk_status", "risk_score", *_BEHAVIOR_COUNTS.values(), "triggered_rules", "last_prompt",

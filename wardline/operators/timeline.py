@@ -33,8 +33,10 @@ def running(
     maxes: dict[str, Column] | None = None,
     slot_us: int = HOUR // 4,
     inclusive: bool = True,
+    peers: bool = False,
 ) -> DataFrame:
-    """Running sums and maxima per key, as a two-level prefix; without the row itself if not inclusive.
+    """Running sums and maxima per key, as a two-level prefix; without the row itself if not inclusive, with
+    all rows of its instant if ``peers`` (``order`` is then the instant alone).
 
     Level one runs inside (keys, slot).  Level two runs over one pre-aggregated row per
     (keys, slot) and carries the value of all earlier slots in.  ``order`` must sort ties;
@@ -46,9 +48,11 @@ def running(
     src = df.withColumn("_slot", slot_of(us, slot_us))
     src = src.withColumns({f"_v_{n}": c for n, c in {**sums, **maxes}.items()})
 
-    inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
+    inside = Window.partitionBy(*cells).orderBy(*order)
+    if peers:
+        inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
 
     totals = src.groupBy(*cells).agg(
@@ -82,6 +86,22 @@ def _later(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | (b > a), b).otherwise(a)
 
 
+def sliding_counts(df: DataFrame, keys: Sequence[str], us: str, spans: dict[str, int]) -> DataFrame:
+    """Add, per name in ``spans``, how many rows of the key lie in the last so many microseconds, both ends
+    and all rows of the current instant included.
+
+    A sweep: a row enters every count at its instant and leaves each just after its span; a count is the
+    running sum of both.  Work grows with the rows, not with how many share a look-back.
+    """
+    moments = [F.struct(F.col(us).alias("at"), F.lit(-1).alias("leaves"))]
+    moments += [F.struct((F.col(us) + span + 1).alias("at"), F.lit(i).alias("leaves")) for i, span in enumerate(spans.values())]
+    swept = df.select(*df.columns, F.explode(F.array(*moments)).alias("_m")).select(*df.columns, F.col("_m.at").alias("_at"), F.col("_m.leaves").alias("_leaves"))
+    steps = {
+        name: F.when(F.col("_leaves") == -1, 1).when(F.col("_leaves") == i, -1).otherwise(0) for i, name in enumerate(spans)
+    }
+    return running(swept, keys, "_at", ["_at"], steps, peers=True).where("_leaves = -1").drop("_at", "_leaves")
+
+
 def with_lookback(df: DataFrame, us: str, lookback_us: int, slot_us: int = HOUR) -> DataFrame:
     """Add ``_slot`` and ``_home``; rows needed by the next slot's look-back appear there too.
 
