@@ -1,120 +1,114 @@
-"""Decoding steps Spark has no expression for: NFKC, percent, base64 and hex runs.
+"""Decoding steps: NFKC, percent, base64 and hex runs.
 
-One Arrow UDF does all four, so a text crosses to Python once; texts that none of the steps
-can change are passed as NULL and never cross at all.
+A text is cut at the runs a step may decode, the runs are decoded as arrays of bytes, and the pieces are joined
+again, all in built-in expressions.  Only NFKC has none: texts that hold a character it may change cross to
+Python in one Arrow UDF, the others never do.
 """
 
 from __future__ import annotations
 
-import base64
-import re
 import unicodedata
-from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StringType
 
 from wardline import vocab as V
-
-DECODED = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("unicode", T.BooleanType()),
-        T.StructField("url", T.BooleanType()),
-        T.StructField("base64", T.BooleanType()),
-        T.StructField("hex", T.BooleanType()),
-    ]
+from wardline.functions.text import fold_confusables, let
+
+#: Java reads these as the rules were written: only ``\n`` ends a line, white space is Unicode's.
+_LINES = "(?d)"
+_BASE64 = _LINES + V.BASE64_SEGMENT.replace(r"\s", V.SPACE_CLASS)
+#: Possessive, so that a run of any length needs no stack; pairs and separators cannot be told apart in two ways.
+_HEX = V.HEX_SEGMENT.replace(r"[:\s]?", f"[:{V.SPACE_CLASS}]?+").replace("{7,}", "{7,}+")
+_PERCENT = "(?:%[0-9A-Fa-f]{2})++"
+#: Characters that NFKC leaves alone, alone or next to each other.
+_STABLE = "\x00-\x7f¡§«»¿-ÿЀ-҂Ҋ-ӿ"
+#: One UTF-8 character in hex digits; any other byte alone.
+_TAIL = "[89AB][0-9A-F]"
+VALID = (
+    "[0-7][0-9A-F]"
+    f"|(?:C[2-9A-F]|D[0-9A-F]){_TAIL}"
+    f"|E0[AB][0-9A-F]{_TAIL}|E[1-9ABCEF]{_TAIL}{_TAIL}|ED[89][0-9A-F]{_TAIL}"
+    f"|F0[9AB][0-9A-F]{_TAIL}{_TAIL}|F[1-3]{_TAIL}{_TAIL}{_TAIL}|F48[0-9A-F]{_TAIL}{_TAIL}"
 )
+#: What a readable text may hold: letters, marks, numbers, punctuation, symbols and white space.  Emoji that the
+#: running Java does not know yet are readable too.
+_UNREADABLE = "[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}\\p{Z}\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x85\\x{1F000}-\\x{1FBFF}]"
 
-_FOLD = str.maketrans(V.CONFUSABLE_FROM, V.CONFUSABLE_TO)
-_B64 = re.compile(V.BASE64_SEGMENT)
-_HEX = re.compile(V.HEX_SEGMENT)
-
-
-def _readable(raw: bytes) -> str | None:
-    text = raw.decode("utf-8", errors="ignore")
-    ok = text and not any(not (ch.isprintable() or ch.isspace()) for ch in text)
-    return f" {text} " if ok else None
-
+STEPS = ("unicode", "url", "base64", "hex")
 
-def _swap(pattern: re.Pattern, to_bytes, text: str) -> str:
-    def one(m: re.Match) -> str:
-        try:
-            return _readable(to_bytes(m[1])) or m[0]
-        except ValueError:  # bad padding, odd separators: leave the run alone
-            return m[0]
 
-    return pattern.sub(one, text)
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-def fold_unicode(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).translate(_FOLD)
+def compatible(c: Column) -> Column:
+    """NFKC."""
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{_STABLE}]"), c)), c)
 
 
-def decode_base64_runs(text: str) -> str:
-    return _swap(_B64, base64.b64decode, text)
-
+def nfkc(c: Column) -> Column:
+    """NFKC, then lookalike letters."""
+    return fold_confusables(compatible(c))
 
-def decode_hex_runs(text: str) -> str:
-    return _swap(_HEX, lambda run: bytes.fromhex(re.sub("[: ]", "", run)), text)
 
+def _runs_replaced(c: Column, pattern: str, decode) -> Column:
+    """``c`` with every run that ``pattern`` finds replaced by ``decode(run)``, which keeps it by NULL."""
 
-STEPS = {
-    "unicode": fold_unicode,
-    "url": unquote,
-    "base64": decode_base64_runs,
-    "hex": decode_hex_runs,
-}
+    def joined(v: Column) -> Column:
+        new = F.transform(v["runs"], lambda run: F.coalesce(decode(run), run))
+        return F.array_join(F.zip_with(v["gaps"], new, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
 
+    cut = F.struct(F.split(c, pattern, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("runs"))
+    return F.when(c.rlike(pattern), let(cut, joined)).otherwise(c)
 
-def _decode_series(texts: pd.Series, steps: list[str]) -> pd.DataFrame:
-    flags = {name: [] for name in STEPS}
-    out = []
-    for text in texts:
-        now = text
-        for name in STEPS:
-            before = now
-            if now is not None and name in steps:
-                now = STEPS[name](now)
-            flags[name].append(now != before)
-        out.append(now)
-    return pd.DataFrame({"text": out, **flags})
 
+def _readable(digits: Column) -> Column:
+    """The text of bytes in hex digits, bytes that are no UTF-8 left out; NULL unless it reads as text."""
+    characters = F.filter(F.regexp_extract_all(F.upper(digits), F.lit(f"{VALID}|.."), F.lit(0)), lambda x: (F.length(x) > 2) | (x < "80"))
+    text = F.unhex(F.array_join(characters, "")).cast("string")
+    return let(text, lambda t: F.when((t != "") & ~t.rlike(_UNREADABLE), F.concat(F.lit(" "), t, F.lit(" "))))
 
-def needs_decoding(c: Column) -> Column:
-    """True when at least one of the four steps may change the text."""
-    return (
-        ~c.rlike(r"^\p{ASCII}*$")
-        | c.rlike("%[0-9A-Fa-f]{2}")
-        | c.rlike("[A-Za-z0-9+/]{20}")
-        | c.rlike("[0-9a-fA-F]{2}([:\\s]?[0-9a-fA-F]{2}){7}")
-    )
 
+def percent_decode(c: Column) -> Column:
+    """Percent runs as UTF-8; broken characters become U+FFFD."""
+    return _runs_replaced(c, _PERCENT, lambda run: F.make_valid_utf8(F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string")))
 
-def decoded(c: Column, steps: list[str] | None = None) -> Column:
-    """struct(text, unicode, url, base64, hex); NULL when nothing needed decoding."""
-    wanted = list(steps or STEPS)
 
-    @F.pandas_udf(DECODED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return _decode_series(texts, wanted)
+def decode_base64_segments(c: Column) -> Column:
+    """Base64 runs that read as text; runs of a wrong length or padding stay."""
 
-    return run(F.when(needs_decoding(c), c))
+    def one(run: Column) -> Column:
+        data, pads = F.regexp_extract(run, "[A-Za-z0-9+/]{20,}", 0), F.regexp_extract(run, "[A-Za-z0-9+/]{20,}(=*)", 1)
+        over = F.length(data) % 4
+        sound = (over == 0) | ((over == 2) & (F.length(pads) == 2)) | ((over == 3) & (F.length(pads) >= 1))
+        full = F.concat(data, F.when(over == 2, "==").when(over == 3, "=").otherwise(""))
+        return F.when(sound, _readable(F.hex(F.unbase64(full))))
 
+    return _runs_replaced(c, _BASE64, one)
 
-def nfkc(c: Column) -> Column:
-    return F.coalesce(decoded(c, ["unicode"])["text"], c)
 
+def decode_hex_segments(c: Column) -> Column:
+    """Hex runs that read as text, with colons or ASCII blanks between the pairs."""
 
-def percent_decode(c: Column) -> Column:
-    return F.coalesce(decoded(c, ["url"])["text"], c)
+    def one(run: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(run, r"^(?:0x|\\x)", ""), r"[: \t\n\x0B\f\r]", "")
+        return F.when(digits.rlike("^[0-9a-fA-F]+$"), _readable(digits))
 
+    return _runs_replaced(c, _HEX, one)
 
-def decode_base64_segments(c: Column) -> Column:
-    return F.coalesce(decoded(c, ["base64"])["text"], c)
 
+def decoded(df: DataFrame, col: str, keep: list, out: str = "_d") -> DataFrame:
+    """``keep`` and ``out``: struct(text, unicode, url, base64, hex) of ``col``.
 
-def decode_hex_segments(c: Column) -> Column:
-    return F.coalesce(decoded(c, ["hex"])["text"], c)
+    Each step is a projection of its own that names the one before, so no text step is evaluated twice."""
+    cur = df.withColumn("_s0", nfkc(F.col(col)))
+    for i, step in enumerate((percent_decode, decode_base64_segments, decode_hex_segments)):
+        cur = cur.withColumn(f"_s{i + 1}", step(F.col(f"_s{i}")))
+    changed = [F.col("_s0") != F.col(col), *[F.col(f"_s{i + 1}") != F.col(f"_s{i}") for i in range(3)]]
+    # explode over one element keeps the steps from being spelled out once per mention further up
+    made = F.struct(F.col("_s3").alias("text"), *[F.coalesce(on, F.lit(False)).alias(name) for on, name in zip(changed, STEPS)])
+    return cur.select(*keep, F.explode(F.array(made)).alias(out))

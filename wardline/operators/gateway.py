@@ -9,7 +9,7 @@ from wardline.functions.entropy import entropy_violation
 from wardline.operators.classify import ScorerFactory, score_injection
 from wardline.operators.inspect import canary_hit, first_match, redact
 from wardline.operators.normalize import normalize_prompts
-from wardline.sources.chat import reassemble_sse
+from wardline.sources.chat import extract_user_request, last_user_message, reassemble_sse
 
 EVENT = "struct<action:string,severity:string,rule:string,layer:string>"
 
@@ -33,7 +33,6 @@ def inspect_ingress(
     rules: list[dict],
     col: str = "text",
     mode: str = "forward",
-    native_only: bool = False,
     compat: bool = True,
     inspect_original: bool = False,
     scorer: ScorerFactory | None = None,
@@ -49,7 +48,7 @@ def inspect_ingress(
     hide an address or a card number from them.
     """
     if mode == "forward":
-        n = normalize_prompts(df, col, compat=compat, native_only=native_only)
+        n = normalize_prompts(df, col, compat=compat)
         n = n.withColumn("_e", entropy_violation(F.col("norm.text")))
         m = first_match(F.col("norm.text"), rules)
         if inspect_original:
@@ -101,6 +100,25 @@ def inspect_ingress(
     )
 
 
+def decide_requests(df: DataFrame, rules: list[dict], body: str = "body", max_chars: int | None = None, **how) -> DataFrame:
+    """From request body to decision: the user's last message, what was typed inside it, then :func:`inspect_ingress`
+    (``how`` goes there).  Adds its columns and ``request``, the text that was inspected.
+
+    ``max_chars`` turns oversized bodies away first (``decision`` block, ``blocked_by`` size).  Bodies without
+    a message of at least two characters are passed on uninspected and do not appear."""
+    size = F.length(body) if max_chars is not None else F.lit(0)
+    fits = df.filter(size <= (max_chars or 0)) if max_chars is not None else df
+    typed = last_user_message(fits, body, "request").withColumn("request", extract_user_request(F.col("request")))
+    decided = inspect_ingress(typed, rules, col="request", **how)
+    if max_chars is None:
+        return decided
+    given = {
+        "request": F.substring(body, 1, 200), "decision": F.lit("block"), "blocked_by": F.lit("size"), "rule": F.lit(""),
+        "high_entropy": F.lit(False), "events": F.array().cast(f"array<{EVENT}>"),
+    }
+    return decided.unionByName(df.filter(size > max_chars).withColumns(given), allowMissingColumns=True)
+
+
 def inspect_egress(
     df: DataFrame, rules: list[dict], canary: str, col: str = "body", mode: str = "forward"
 ) -> DataFrame:

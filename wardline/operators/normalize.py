@@ -47,14 +47,12 @@ def normalize_prompts(
     col: str = "text",
     translator: Translator | None = None,
     compat: bool = True,
-    native_only: bool = False,
 ) -> DataFrame:
     """Add ``norm``: struct(text, original_length, normalized_length, edit_distance_ratio,
     language, evasion_detected, evasion_techniques).
 
     ``compat`` reports any irregular white space as leetspeak (the word pass re-joins words by
-    single blanks); otherwise only changed words count.  ``native_only`` leaves out the four
-    steps that need Python (NFKC beyond the lookalike table, percent, base64, hex).
+    single blanks); otherwise only changed words count.
     """
     raw = F.col(col)
     rest = [F.col(f"`{n}`") for n in df.columns]
@@ -63,21 +61,8 @@ def normalize_prompts(
     # Each stage is its own projection and refers to the one before by name, so Catalyst
     # keeps them apart and no text step is evaluated twice.
     a = df.select(*rest, text.strip_invisible(raw).alias("_clean"))
-    if native_only:
-        b = a.withColumn("_folded", text.fold_confusables(F.col("_clean")))
-        b = b.withColumn(
-            "_d",
-            F.struct(
-                F.col("_folded").alias("text"),
-                (F.col("_folded") != F.col("_clean")).alias("unicode"),
-                F.lit(False).alias("url"),
-                F.lit(False).alias("base64"),
-                F.lit(False).alias("hex"),
-            ),
-        )
-    else:
-        b = a.withColumn("_d", decode.decoded(F.col("_clean")))
-    b = b.withColumn("_plain", F.coalesce(F.col("_d.text"), F.col("_clean")))
+    b = decode.decoded(a, "_clean", [*rest, "_clean"])
+    b = b.withColumn("_plain", F.col("_d.text"))
     c = b.withColumn("_turned", text.rot13_if_keyword(F.col("_plain")))
     d = c.withColumn("_letters", text.reverse_leet(F.col("_turned")))
     e = d.withColumn("_lang", text.dominant_script(F.col("_letters")))

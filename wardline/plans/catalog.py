@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
-from wardline.functions import entropy, text
+from wardline.functions import decode, entropy, text
 from wardline.operators import (
     cases, classify, conversation, endpoint, gateway, governance, inspect, normalize, replay, respond, risk,
     ruletree, searches, token_bucket,
@@ -205,31 +205,66 @@ def edit_ratio(s, d):
     return p.select("prompt_id", text.edit_ratio(F.col("text"), F.col("clean")).alias("ratio"))
 
 
-@query("normalize_prompts")
-def normalize_prompts(s, d):
-    n = normalize.normalize_prompts(X.prompts(s, d))
-    return n.select(
-        "prompt_id", "norm.text", "norm.original_length", "norm.normalized_length", "norm.edit_distance_ratio",
-        "norm.language", "norm.evasion_detected",
-        F.array_join("norm.evasion_techniques", ", ").alias("techniques"),
-    )
+# Decoding in SQL: the runs a step may decode are cut out, read as bytes in hex digits and put back.
+
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))  # the compatibility characters that stand in the tables
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def unicode_sql(c: str) -> str:
+    return f"translate(translate({c}, {q_(_WIDE)}, {q_(_NARROW)}), {q_(V.CONFUSABLE_FROM)}, {q_(V.CONFUSABLE_TO)})"
+
+
+def readable_sql(digits: str) -> str:
+    """The text of hex digits between blanks; NULL unless letters, marks, numbers, signs and white space."""
+    text_of = f"""try(decode(unhex(array_to_string(list_filter(regexp_extract_all({digits}, {q_(decode.VALID + '|..')}),
+        lambda y: length(y) > 2 OR y < '80'), ''))))"""
+    return f"""list_transform([{text_of}], lambda t: CASE WHEN t <> '' AND regexp_matches(t,
+        '^[\\pL\\pM\\pN\\pP\\pS\\pZ\\t\\n\\v\\f\\r\\x1c-\\x1f\\x85]*$') THEN ' ' || t || ' ' END)[1]"""
+
+
+def runs_sql(c: str, pattern: str, decoded_run: str) -> str:
+    """``c`` with every run replaced by ``decoded_run`` (of ``run``).  A blank goes in front, so that a run at the
+    start needs no anchor, and comes off again where it was not part of a run that was decoded."""
+    runs = f"list_transform(regexp_extract_all(' ' || {c}, {q_(pattern)}), lambda run: [run, {decoded_run}])"
+    return f"""list_transform([{{'gaps': string_split_regex(' ' || {c}, {q_(pattern)}), 'runs': {runs}}}], lambda v:
+        substr(array_to_string(list_transform(list_zip(v.gaps, v.runs), lambda z: z[1] || coalesce(z[2][2], z[2][1], '')), ''),
+          CASE WHEN v.gaps[1] = '' AND v.runs[1][2] IS NOT NULL THEN 1 ELSE 2 END))[1]"""
 
 
-@query("decode_segments")
+_DATA, _PADS = "regexp_extract(run, '[A-Za-z0-9+/]{20,}')", "length(regexp_extract(run, '[A-Za-z0-9+/]{20,}(=*)', 1))"
+BASE64_RUN_SQL = f"""CASE WHEN length({_DATA}) % 4 = 0 OR (length({_DATA}) % 4 = 2 AND {_PADS} = 2) OR (length({_DATA}) % 4 = 3 AND {_PADS} >= 1)
+    THEN {readable_sql(f"hex(from_base64({_DATA} || repeat('=', (4 - length({_DATA}) % 4) % 4)))")} END"""
+_DIGITS = r"regexp_replace(regexp_replace(run, '^(?:0x|\\x)', ''), '[: \t\n\v\f\r]', '', 'g')"
+HEX_RUN_SQL = f"CASE WHEN regexp_full_match({_DIGITS}, '[0-9a-fA-F]+') THEN {readable_sql(f'upper({_DIGITS})')} END"
+_BLANK = f"[{V.SPACE_CLASS}"
+BASE64_SQL_PATTERN = V.BASE64_SEGMENT.replace(r"(?:^|[\s", f"(?:{_BLANK}").replace(r"[\s", _BLANK)
+HEX_SQL_PATTERN = V.HEX_SEGMENT.replace(r"[:\s]", f"[:{V.SPACE_CLASS}]")
+
+
+def decoded_sql(src: str, c: str) -> str:
+    """``src`` with u, p, b, h: ``c`` after NFKC and lookalikes, percent, base64 and hex decoding."""
+    return f"""
+    SELECT *, {runs_sql('b', HEX_SQL_PATTERN, HEX_RUN_SQL)} AS h
+    FROM (SELECT *, {runs_sql('p', BASE64_SQL_PATTERN, BASE64_RUN_SQL)} AS b
+    FROM (SELECT *, url_decode(u) AS p
+    FROM (SELECT *, {unicode_sql(c)} AS u FROM ({src}))))"""
+
+
+@query("decode_segments", f"""
+    SELECT page_id, h AS text, u <> html AS by_unicode, p <> u AS by_url, b <> p AS by_base64, h <> b AS by_hex
+    FROM ({decoded_sql('SELECT page_id, html FROM pages', 'html')})""")
 def decode_segments(s, d):
     """Percent, base64, hex and NFKC decoding of page sources."""
-    from wardline.functions import decode
-
-    p = X.table(s, d, "pages").withColumn("_d", decode.decoded(F.col("html")))
-    return p.select(
-        "page_id", F.coalesce("_d.text", "html").alias("text"),
-        *[F.coalesce(F.col(f"_d.{k}"), F.lit(False)).alias(f"by_{k}") for k in decode.STEPS],
-    )
+    p = decode.decoded(X.table(s, d, "pages"), "html", ["page_id"])
+    return p.select("page_id", "_d.text", *[F.col(f"_d.{k}").alias(f"by_{k}") for k in decode.STEPS])
 
 
-# Layer 0 without the Python steps, stage by stage.
-NATIVE_NORM_SQL = f"""
-    SELECT prompt_id, user, original, clean, folded, turned, letters,
+# Layer 0, stage by stage.
+def norm_sql(src: str) -> str:
+    """All stages of the texts of ``src`` (prompt_id, user, text)."""
+    return f"""
+    SELECT prompt_id, user, original, clean, u, p, b, h, turned, letters,
       CASE WHEN {' + '.join(n for n, _ in V.SCRIPT_RANGES)} = 0 THEN 'latin'
         WHEN greatest({', '.join(n for n, _ in V.SCRIPT_RANGES)}) < 0.7 * ({' + '.join(n for n, _ in V.SCRIPT_RANGES)}) THEN 'mixed'
         {' '.join(f"WHEN {n} = greatest({', '.join(m for m, _ in V.SCRIPT_RANGES)}) THEN '{n}'" for n, _ in V.SCRIPT_RANGES)} END AS lang
@@ -238,26 +273,44 @@ NATIVE_NORM_SQL = f"""
         list_filter(regexp_split_to_array(turned, {SPACE_SQL}), lambda w: w <> ''),
         lambda w: CASE WHEN regexp_matches(w, '[{V.LEET_FROM}]') AND regexp_matches(w, '\\p{{L}}') AND length(w) > 3
           THEN {LEET_SQL} ELSE w END), ' ') AS letters
-    FROM (SELECT *, CASE WHEN {rot_hit('folded')} THEN {rot_sql('folded')} ELSE folded END AS turned
-    FROM (SELECT *, lower(folded) AS folded_low, lower({rot_sql('folded')}) AS folded_rot
-    FROM (SELECT *, translate(clean, {q_(V.CONFUSABLE_FROM)}, {q_(V.CONFUSABLE_TO)}) AS folded
-    FROM (SELECT prompt_id, user, text AS original, regexp_replace(text, {INVIS_SQL}, '', 'g') AS clean FROM ({X.PROMPTS_SQL})))))))
-"""
+    FROM (SELECT *, CASE WHEN {rot_hit('h')} THEN {rot_sql('h')} ELSE h END AS turned
+    FROM (SELECT *, lower(h) AS h_low, lower({rot_sql('h')}) AS h_rot
+    FROM ({decoded_sql(f"SELECT prompt_id, user, text AS original, regexp_replace(text, {INVIS_SQL}, '', 'g') AS clean FROM ({src})", 'clean')})))))"""
+
+
+NORM_SQL = norm_sql(X.PROMPTS_SQL)
 TECH_SQL = """array_to_string(list_filter([
       CASE WHEN length(clean) <> length(original) THEN 'invisible_chars' END,
-      CASE WHEN folded <> clean THEN 'unicode_confusables' END,
-      CASE WHEN turned <> folded THEN 'rot13' END,
+      CASE WHEN u <> clean THEN 'unicode_confusables' END,
+      CASE WHEN p <> u THEN 'url_encoding' END,
+      CASE WHEN b <> p THEN 'base64_encoding' END,
+      CASE WHEN h <> b THEN 'hex_encoding' END,
+      CASE WHEN turned <> h THEN 'rot13' END,
       CASE WHEN letters <> turned THEN 'leetspeak' END,
       CASE WHEN lang NOT IN ('latin', 'other') THEN 'non_latin_script:' || lang END], lambda x: x IS NOT NULL), ', ')"""
+RATIO_SQL = """list_transform([{'a': string_split(replace(lower(original), ' ', ''), ''), 'b': string_split(replace(lower(letters), ' ', ''), '')}],
+      lambda v: round(1 - len(list_filter(generate_series(1, least(len(v.a), len(v.b))), lambda i: v.a[i] = v.b[i])) / greatest(len(v.a), len(v.b)), 4))[1]"""
+
+
+@query("normalize_prompts", f"""
+    SELECT prompt_id, letters AS text, length(original) AS original_length, length(letters) AS normalized_length,
+      {RATIO_SQL} AS edit_distance_ratio, lang AS language, tech <> '' AS evasion_detected, tech AS techniques
+    FROM (SELECT *, {TECH_SQL} AS tech FROM ({NORM_SQL}))""")
+def normalize_prompts(s, d):
+    n = normalize.normalize_prompts(X.prompts(s, d))
+    return n.select(
+        "prompt_id", "norm.text", "norm.original_length", "norm.normalized_length", "norm.edit_distance_ratio",
+        "norm.language", "norm.evasion_detected",
+        F.array_join("norm.evasion_techniques", ", ").alias("techniques"),
+    )
 
 
 @query("evasion_events", f"""
     SELECT prompt_id, user, 'evasion_attempt' AS action, 'high' AS severity, tech AS evasion_techniques, lang AS language,
-      left(original, 200) AS original_preview, left(letters, 200) AS normalized_preview
-    FROM (SELECT *, {TECH_SQL} AS tech FROM ({NATIVE_NORM_SQL})) WHERE tech <> ''""")
+      {RATIO_SQL} AS edit_distance_ratio, left(original, 200) AS original_preview, left(letters, 200) AS normalized_preview
+    FROM (SELECT *, {TECH_SQL} AS tech FROM ({NORM_SQL})) WHERE tech <> ''""")
 def evasion_events(s, d):
-    n = normalize.normalize_prompts(X.prompts(s, d), native_only=True)
-    return normalize.evasion_events(n).drop("edit_distance_ratio")
+    return normalize.evasion_events(normalize.normalize_prompts(X.prompts(s, d)))
 
 
 # ======================================================================= inspection
@@ -386,14 +439,17 @@ def mask_pii(s, d):
 _LEX = " + ".join(f"CAST(contains(lower(w), '{k}') AS INT)" for k in V.ROT13_KEYWORDS)
 
 
-@query("score_injection", f"""
+INJECTION_SQL = f"""
     WITH p AS (SELECT prompt_id, length(text) AS n, text FROM ({X.PROMPTS_SQL})),
     s AS (SELECT prompt_id, max(1 - pow(0.5, {_LEX})) AS sc FROM (
       SELECT prompt_id, substring(text, CAST(i AS INT) + 1, 512) AS w FROM (
         SELECT prompt_id, text, unnest(range(0, n, 448)) AS i FROM p WHERE n > 10)) GROUP BY prompt_id)
     SELECT prompt_id, CASE WHEN sc IS NULL THEN 'safe' WHEN sc >= 0.85 THEN 'INJECTION' ELSE 'SAFE' END AS label,
       coalesce(round(sc, 4), 0) AS injection_score, coalesce(round(1 - sc, 4), 1) AS safe_score, coalesce(sc >= 0.85, false) AS blocked
-    FROM p LEFT JOIN s USING (prompt_id)""")
+    FROM p LEFT JOIN s USING (prompt_id)"""
+
+
+@query("score_injection", INJECTION_SQL)
 def score_injection(s, d):
     return classify.score_injection(X.prompts(s, d).select("prompt_id", "text")).drop("text")
 
@@ -440,44 +496,126 @@ def _flat_events(df: DataFrame, of: str = "events") -> DataFrame:
     return df.withColumn(of, F.array_join(F.transform(of, lambda e: F.concat_ws(":", e["action"], e["severity"])), "|"))
 
 
+def dense_sql(src: str) -> str:
+    """prompt_id of the texts of ``src`` (prompt_id, text) in which a long word or a window is dense."""
+    return f"""
+    SELECT DISTINCT prompt_id FROM (
+      SELECT prompt_id, kind, pos, sum(-n / len * log2(n / len)) AS h FROM (
+        SELECT prompt_id, kind, pos, any_value(length(c)) AS len, ch, count(*) AS n FROM (
+          SELECT *, unnest(string_split(c, '')) AS ch FROM (
+            SELECT prompt_id, 0 AS kind, i AS pos, w[i] AS c FROM (
+              SELECT prompt_id, w, unnest(generate_series(1, len(w))) AS i FROM (
+                SELECT prompt_id, list_filter(regexp_split_to_array(text, {SPACE_SQL}), lambda x: x <> '') AS w FROM ({src})))
+            WHERE length(w[i]) >= 50
+            UNION ALL
+            SELECT prompt_id, 1, i, substring(text, CAST(i AS INT) + 1, 80) FROM (
+              SELECT prompt_id, text, unnest(range(0, length(text) - 60, 40)) AS i FROM ({src}) WHERE length(text) >= 50)))
+        GROUP BY prompt_id, kind, pos, ch)
+      GROUP BY prompt_id, kind, pos) WHERE h >= 4.8"""
+
+
+def ingress_sql(original: bool, src: str = X.PROMPTS_SQL) -> str:
+    """Forward mode: prompt_id, user, rule, its severity, techniques and entropy flag."""
+    pick = lambda what: _first_sql("ingress", what, "letters") if not original else (
+        f"coalesce({_first_sql('ingress', what, 'original')}, {_first_sql('ingress', what, 'letters')})"
+    )
+    return f"""
+    WITH n AS MATERIALIZED (SELECT * FROM ({norm_sql(src)})), dense AS ({dense_sql('SELECT prompt_id, letters AS text FROM n')})
+    SELECT prompt_id, user, {pick(1)} AS rule, {pick(3)} AS rule_severity, {TECH_SQL} AS tech,
+      prompt_id IN (SELECT prompt_id FROM dense) AS high_entropy FROM n"""
+
+
 @query("inspect_ingress", f"""
     SELECT prompt_id, CASE WHEN rule IS NULL THEN 'allow' ELSE 'block' END AS decision, coalesce(rule, '') AS rule,
-      CASE WHEN tech <> '' THEN 'Evasion: ' || tech ELSE '' END AS evasion
-    FROM (SELECT *, {TECH_SQL} AS tech, {_first_sql('ingress', 1, 'letters')} AS rule FROM ({NATIVE_NORM_SQL}))""")
+      CASE WHEN tech <> '' THEN 'Evasion: ' || tech ELSE '' END AS evasion FROM ({ingress_sql(False)})""")
 def inspect_ingress(s, d):
-    r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"), native_only=True)
+    r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"))
     ev = F.get(F.filter("events", lambda e: e["action"] == "evasion_attempt"), F.lit(0))
     return r.select("prompt_id", "decision", "rule", F.coalesce(ev["rule"], F.lit("")).alias("evasion"))
 
 
-@query("inspect_ingress_full")
+@query("inspect_ingress_full", f"""
+    SELECT prompt_id, CASE WHEN rule IS NULL THEN 'allow' ELSE 'block' END AS decision, coalesce(rule, '') AS rule, high_entropy,
+      concat_ws('|', CASE WHEN tech <> '' THEN 'evasion_attempt:high' END, CASE WHEN high_entropy THEN 'dlp_flagged:high' END,
+        CASE WHEN rule IS NULL THEN 'ai_inference:none' ELSE 'dlp_block:' || rule_severity END) AS events
+    FROM ({ingress_sql(True)})""")
 def inspect_ingress_full(s, d):
     r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"), inspect_original=True)
     return _flat_events(r).select("prompt_id", "decision", "rule", "high_entropy", "events")
 
 
-@query("inspect_ingress_message")
+@query("inspect_ingress_message", f"""
+    WITH t AS MATERIALIZED ({X.PROMPTS_SQL}), dense AS ({dense_sql('SELECT prompt_id, text FROM t')}),
+    i AS (SELECT prompt_id, blocked FROM ({INJECTION_SQL}))
+    SELECT prompt_id, CASE WHEN blocker = '' THEN 'allow' ELSE 'block' END AS decision, blocker AS blocked_by, coalesce(rule, '') AS rule,
+      CASE blocker WHEN 'entropy' THEN 'ingress_block:high' WHEN 'injection' THEN 'ingress_block:critical'
+        WHEN 'rule' THEN 'ingress_block:' || rule_severity ELSE 'ai_inference:none' END AS events
+    FROM (SELECT *, CASE WHEN prompt_id IN (SELECT prompt_id FROM dense) THEN 'entropy' WHEN blocked THEN 'injection'
+        WHEN rule IS NOT NULL THEN 'rule' ELSE '' END AS blocker
+      FROM (SELECT prompt_id, blocked, {_first_sql('ingress', 1)} AS rule, {_first_sql('ingress', 3)} AS rule_severity
+        FROM t JOIN i USING (prompt_id)))""")
 def inspect_ingress_message(s, d):
     r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"), mode="message")
     return _flat_events(r).select("prompt_id", "decision", "blocked_by", "rule", "events")
 
 
-@query("ingress_events")
+@query("inspect_ingress_reverse", f"""
+    WITH t AS MATERIALIZED ({X.PROMPTS_SQL}), dense AS ({dense_sql('SELECT prompt_id, text FROM t')})
+    SELECT prompt_id, CASE WHEN blocker = '' THEN 'allow' ELSE 'block' END AS decision, blocker AS blocked_by, coalesce(rule, '') AS rule,
+      CASE blocker WHEN 'entropy' THEN 'ingress_block:high' WHEN 'rule' THEN 'ingress_block:' || rule_severity ELSE 'ai_inference:none' END AS events
+    FROM (SELECT *, CASE WHEN prompt_id IN (SELECT prompt_id FROM dense) THEN 'entropy' WHEN rule IS NOT NULL THEN 'rule' ELSE '' END AS blocker
+      FROM (SELECT prompt_id, {_first_sql('ingress', 1)} AS rule, {_first_sql('ingress', 3)} AS rule_severity FROM t))""")
+def inspect_ingress_reverse(s, d):
+    r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"), mode="reverse")
+    return _flat_events(r).select("prompt_id", "decision", "blocked_by", "rule", "events")
+
+
+@query("ingress_events", f"""
+    SELECT prompt_id, user, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY nth) - 1 AS INT) AS step, action, severity, rule, layer
+    FROM (
+      SELECT prompt_id, user, 0 AS nth, 'evasion_attempt' AS action, 'high' AS severity, 'Evasion: ' || tech AS rule, 'L0_Normalizer' AS layer
+      FROM r WHERE tech <> ''
+      UNION ALL SELECT prompt_id, user, 1, 'dlp_flagged', 'high', 'High Entropy (Log Only)', 'L1_Entropy_Analysis' FROM r WHERE high_entropy
+      UNION ALL SELECT prompt_id, user, 2, 'dlp_block', rule_severity, rule, 'L2_DLP_Regex_Ingress' FROM r WHERE rule IS NOT NULL
+      UNION ALL SELECT prompt_id, user, 3, 'ai_inference', 'none', '', '' FROM r WHERE rule IS NULL)""".replace(
+    "SELECT prompt_id, user, CAST", f"WITH r AS MATERIALIZED ({ingress_sql(False)}) SELECT prompt_id, user, CAST", 1))
 def ingress_events(s, d):
     """The recorded events of every inspected prompt, one row each."""
     r = gateway.inspect_ingress(X.prompts(s, d), compiled(s, "ingress"))
     return gateway.emitted_events(r, ["prompt_id", "user"])
 
 
+REQUESTS_SQL = f"""
+    SELECT request_id AS prompt_id, CAST(request_id % 50 AS VARCHAR) AS user, CASE WHEN contains(message, '<userRequest>') THEN
+        trim(split_part(split_part(message, '<userRequest>', 2), '</userRequest>', 1), ' ' || chr(9) || chr(10) || chr(13))
+      ELSE message END AS text
+    FROM ({X.LAST_MESSAGE_SQL}) WHERE length(trim(message)) >= 2"""
+
+
+@query("decide_requests", f"""
+    SELECT prompt_id AS request_id, user, CASE WHEN rule IS NULL THEN 'allow' ELSE 'block' END AS decision, coalesce(rule, '') AS rule,
+      high_entropy, tech AS techniques FROM ({ingress_sql(False, REQUESTS_SQL)})""")
+def decide_requests(s, d):
+    """From request bodies to decisions: last user message, typed request, layers 0 to 2."""
+    r = gateway.decide_requests(X.chat_requests(s, d), compiled(s, "ingress"))
+    return r.select("request_id", "user", "decision", "rule", "high_entropy", F.array_join("norm.evasion_techniques", ", ").alias("techniques"))
+
+
 @query("inspect_egress", f"""
     SELECT flow_id, CASE WHEN leak THEN 'block' WHEN rule IS NOT NULL THEN 'redact' ELSE 'pass' END AS decision,
+      CASE WHEN leak THEN 'Critical: Honeypot exfiltrated. Modifying response.' WHEN rule IS NOT NULL THEN redacted ELSE body END AS delivered,
+      CASE WHEN leak THEN 'Canary Token Exfiltration' WHEN rule IS NOT NULL THEN replace(violated, '|', ', ') ELSE '' END AS rule,
+      NOT leak AND rule IS NOT NULL AND violated = '' AS unredacted,
       CASE WHEN leak THEN 403 ELSE 200 END AS status,
       CASE WHEN leak THEN 'dlp_block:critical' WHEN rule IS NOT NULL THEN 'dlp_redact:high' ELSE '' END AS events,
       CASE WHEN leak THEN 'intrusion_detected:critical' WHEN rule IS NOT NULL THEN 'egress_flagged:high' ELSE '' END AS risk_events
-    FROM (SELECT flow_id, contains(text, {q_(X.CANARY)}) AS leak, {_first_sql('egress', 1)} AS rule FROM ({X.SSE_TEXT_SQL}))""")
+    FROM (SELECT flow_id, contains(text, {q_(X.CANARY)}) AS leak, {_first_sql('egress', 1)} AS rule FROM ({X.SSE_TEXT_SQL}))
+    JOIN ({X.SSE_BODY_SQL}) USING (flow_id) JOIN ({_redact_sql(X.SSE_BODY_SQL, 'flow_id', 'body')}) USING (flow_id)""")
 def inspect_egress(s, d):
     r = gateway.inspect_egress(X.sse_bodies(s, d), compiled(s, "egress"), X.CANARY)
-    return _flat_events(_flat_events(r), "risk_events").select("flow_id", "decision", "status", "events", "risk_events")
+    return _flat_events(_flat_events(r), "risk_events").select(
+        "flow_id", "decision", "delivered", "rule", "unredacted", "status", "events", "risk_events"
+    )
 
 
 @query("inspect_egress_message", f"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wardline import vocab as V
 
-#: Content stays unparsed, so that its JSON type is known: a text may look like an array.
-_MESSAGES = "struct<messages: array<struct<role: string, content: variant>>>"
-_PARTS = "array<struct<text: string>>"
+#: Messages and contents stay unparsed, so that the JSON type of each is known: one odd entry does not spoil the
+#: others, and a text may look like an array.
+_MESSAGES = "struct<messages: array<variant>>"
 _CHUNK = "struct<choices: array<struct<delta: struct<content: string>>>>"
 
 
@@ -36,24 +36,27 @@ def filter_ai_chat(
     )
 
 
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
 def _content_text(content: Column) -> Column:
-    """A message's text: plain, or the text parts of an array joined by a blank."""
-    parts = F.try_variant_get(content, "$", _PARTS)
-    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " ")
-    return F.when(F.schema_of_variant(content).startswith("ARRAY"), joined).otherwise(
-        F.try_variant_get(content, "$", "string")
-    )
+    """A message's text: plain, or the texts of the objects of an array joined by a blank."""
+    parts = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda p: _is(p, "OBJECT"))
+    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), " ")
+    return F.when(_is(content, "ARRAY"), joined).otherwise(F.try_variant_get(content, "$", "string"))
 
 
 def last_user_message(df: DataFrame, body: str = "body", out: str = "message") -> DataFrame:
     """Text of the last ``user`` message; a body that is not JSON counts as the text itself.
 
-    Rows with fewer than two non-blank characters have nothing to inspect and are dropped.
+    Entries of ``messages`` that are no objects are passed over.  Rows with fewer than two non-blank characters
+    have nothing to inspect and are dropped.
     """
     b = F.col(body)
     parsed = F.from_json(b, _MESSAGES)
-    mine = F.filter(parsed["messages"], lambda m: m["role"] == "user")
-    last = F.when(F.size(mine) > 0, F.element_at(mine, -1)["content"])
+    mine = F.filter(parsed["messages"], lambda m: _is(m, "OBJECT") & (F.try_variant_get(m, "$.role", "string") == "user"))
+    last = F.when(F.size(mine) > 0, F.try_variant_get(F.element_at(mine, -1), "$.content", "variant"))
     is_json = parsed.isNotNull() & b.rlike(r"^\s*[\{]") & F.get_json_object(b, "$").isNotNull()
     text = F.when(is_json, _content_text(last)).otherwise(b)
     strip = F.regexp_replace(F.col(out), f"^[{V.SPACE_CLASS}]+|[{V.SPACE_CLASS}]+$", "")
