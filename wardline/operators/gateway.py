@@ -165,6 +165,32 @@ def inspect_egress(
     )
 
 
+def with_user(answers: DataFrame, requests: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """``answers`` (flow_id, ts, ...) with the ``user`` of the request of the same flow that came at most
+    ``within`` before; NULL where there is none.
+
+    The same for tables and streams; streams need a watermark on ``ts`` on both sides, which bounds what either
+    side holds, and answers without a request come out once the watermark has passed them.  A request that is
+    sent again counts once (the first).  Flow ids are spread evenly, so no key is hot.
+    """
+    if requests.isStreaming:
+        first = requests.dropDuplicatesWithinWatermark(["flow_id"]).select("flow_id", "user", "ts")
+    else:
+        first = requests.groupBy("flow_id").agg(F.min_by("user", "ts").alias("user"), F.min("ts").alias("ts"))
+    asked = first.select(F.col("flow_id").alias("_flow"), "user", F.col("ts").alias("_asked"))
+    same = (
+        (F.col("flow_id") == F.col("_flow")) & (F.col("ts") >= F.col("_asked"))
+        & (F.col("ts") <= F.col("_asked") + F.expr(f"INTERVAL {within}"))
+    )
+    return answers.drop("user").join(asked, same, "left").drop("_flow", "_asked")
+
+
+def egress_events(answers: DataFrame, requests: DataFrame, rules: list[dict], canary: str, of: str = "events", **how) -> DataFrame:
+    """The recorded events of every answer with the user who asked: flow_id, ts, user, step and the event."""
+    seen = inspect_egress(with_user(answers, requests, **how), rules, canary)
+    return emitted_events(seen, ["flow_id", "ts", "user"], of)
+
+
 def emitted_events(inspected: DataFrame, keep: list[str], of: str = "events") -> DataFrame:
     """One row per recorded event, in recording order (``step``); ``of``: events or risk_events."""
     return inspected.select(*keep, F.posexplode(of).alias("step", "_ev")).select(

@@ -21,7 +21,7 @@ from wardline.operators.timeline import HOUR, MICROS
 from wardline.plans import fixtures as X
 from wardline.sources import chat, rules as rule_source
 from wardline.sources import gateway as feed
-from wardline.session import landed
+from wardline.session import landed, scratch_dir
 from wardline.streaming import operators as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -618,6 +618,38 @@ def inspect_egress(s, d):
     )
 
 
+def _egress_events_sql(leak_event: str, hit_event: str) -> str:
+    """One event an answer at most; the names of all rules that redacted are its rule."""
+    return f"""
+    SELECT flow_id, us, user, 0 AS step, CASE WHEN leak THEN '{leak_event}' ELSE '{hit_event}' END AS action,
+      CASE WHEN leak THEN 'critical' ELSE 'high' END AS severity,
+      CASE WHEN leak THEN 'Canary Token Exfiltration' ELSE replace(violated, '|', ', ') END AS rule
+    FROM (SELECT flow_id, contains(text, {q_(X.CANARY)}) AS leak, {_first_sql('egress', 1)} AS rule FROM ({X.SSE_TEXT_SQL}))
+    JOIN ({_redact_sql(X.SSE_BODY_SQL, 'flow_id', 'body')}) USING (flow_id) JOIN ({X.FLOW_USER_SQL}) USING (flow_id)
+    WHERE leak OR rule IS NOT NULL"""
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.timestamp_micros("us"))
+
+
+def _user_events(df: DataFrame) -> DataFrame:
+    return df.select("flow_id", F.unix_micros("ts").alias("us"), "user", "step", "action", "severity", "rule")
+
+
+@query("egress_events", _egress_events_sql("dlp_block", "dlp_redact"))
+def egress_events(s, d):
+    """Telemetry of answers with the user who asked."""
+    return _user_events(gateway.egress_events(_timed(X.flow_answers(s, d)), _timed(X.flow_requests(s, d)), compiled(s, "egress"), X.CANARY))
+
+
+@query("egress_risk_events", _egress_events_sql("intrusion_detected", "egress_flagged"))
+def egress_risk_events(s, d):
+    """What answers add to the risk of the user who asked."""
+    return _user_events(gateway.egress_events(
+        _timed(X.flow_answers(s, d)), _timed(X.flow_requests(s, d)), compiled(s, "egress"), X.CANARY, "risk_events"))
+
+
 @query("inspect_egress_message", f"""
     SELECT prompt_id, CASE WHEN leak OR rule IS NOT NULL THEN 'block' ELSE 'pass' END AS decision,
       CASE WHEN leak THEN 'Blocked: Honeypot Exfiltrated.' WHEN rule IS NOT NULL THEN 'Blocked: ' || rule || ' detected in stream.'
@@ -1445,6 +1477,34 @@ def frequency_rules_stream(s, d):
     return streams.run_available(s, streams.frequency_rules_stream(src), "freq")
 
 
+@query("egress_events_stream", _egress_events_sql("dlp_block", "dlp_redact"))
+def egress_events_stream(s, d):
+    """Requests and answers as two streams, joined by flow and time."""
+    answers = streams.as_stream(s, X.with_heartbeat(X.flow_answers(s, d)), "answers", files_per_batch=4)
+    requests = streams.as_stream(s, X.with_heartbeat(X.flow_requests(s, d)), "requests", files_per_batch=4)
+    seen = gateway.egress_events(answers, requests, compiled(s, "egress"), X.CANARY)
+    return streams.run_available(s, _user_events(seen), "egress")
+
+
+@query("inspect_ingress_stream", ORACLES["inspect_ingress_reverse"])
+def inspect_ingress_stream(s, d):
+    """Prompts as a stream, inspected with a rules file that is read again for every micro-batch."""
+    folder = scratch_dir(s, "ingress-stream")
+    fields = ", ".join(f"'{n}', {n}" for n in ("id", "name", "pattern", "detail", "severity", "scope"))
+    shipped = rule_source.shipped_rules(s, X.CANARY).orderBy("pos").coalesce(1)
+    shipped.agg(F.to_json(F.collect_list(F.expr(f"named_struct({fields})"))).alias("value")).write.text(f"{folder}/rules")
+    rules = rule_source.ReloadedRules(s, f"{folder}/rules/part-*", X.CANARY, "ingress")
+    prompts = X.prompts(s, d).withColumn("us", F.col("prompt_id"))
+    stream = streams.as_stream(s, prompts, "prompts", files_per_batch=2)
+
+    def judge(rows, now):
+        r = gateway.inspect_ingress(rows, now, mode="reverse")
+        return _flat_events(r).select("prompt_id", "decision", "blocked_by", "rule", "events")
+
+    streams.inspect_reloading(stream, rules, judge, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{folder}/rows").drop("batch", "rules_version")
+
+
 @query("replay_stream")
 def replay_stream(s, d):
     return streams.run_available(s, streams.replay_stream(streams.as_stream(s, loop_requests(s, d), "loop")), "loop")

@@ -291,6 +291,43 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse_bodies(spark, sf_dir).select("flow_id", F.posexplode(F.split("body", "\n")).alias("seq", "line"))
 
 
+WITHIN_US = 600_000_000
+#: Stands a day after the last row, so that a stream's watermark passes all others.
+HEARTBEAT = -1
+
+
+def _asked(flow: Column) -> Column:
+    return F.lit(BASE_US) + flow * 10_000_000
+
+
+def flow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request of most answers, some sent twice."""
+    flows = sse_bodies(spark, sf_dir).select("flow_id").filter("flow_id % 9 <> 4")
+    rows = flows.select(
+        "flow_id", (F.floor(F.col("flow_id") / 1000) % 50).cast("string").alias("user"), _asked(F.col("flow_id")).alias("us")
+    )
+    again = rows.filter("flow_id % 10 = 3").withColumn("us", F.col("us") + 1_000_000)
+    return rows.unionByName(again)
+
+
+def flow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-stream answers up to twelve minutes after the request."""
+    return sse_bodies(spark, sf_dir).withColumn("us", _asked(F.col("flow_id")) + F.col("flow_id") % 73 * 10_000_000)
+
+
+def with_heartbeat(df: DataFrame) -> DataFrame:
+    last = df.agg(F.max("us").alias("us"))
+    beat = last.select(F.lit(HEARTBEAT).cast("long").alias("flow_id"), (F.col("us") + 86_400_000_000).alias("us"))
+    return df.unionByName(beat, allowMissingColumns=True)
+
+
+FLOW_USER_SQL = f"""
+    SELECT a.flow_id, a.us, CASE WHEN a.flow_id % 9 <> 4 AND a.us - a.asked <= {WITHIN_US} THEN CAST(a.flow_id // 1000 % 50 AS VARCHAR) END AS user
+    FROM (SELECT flow_id, {BASE_US} + flow_id * 10000000 AS asked, {BASE_US} + flow_id * 10000000 + flow_id % 73 * 10000000 AS us
+          FROM ({SSE_TEXT_SQL})) a
+"""
+
+
 # ---------------------------------------------------------------- flows and endpoints
 
 FLOW_HOSTS = [

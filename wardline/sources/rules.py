@@ -67,3 +67,32 @@ def compile_rules(rules: DataFrame, scope: str | None = None) -> list[dict]:
         other = {"ingress": "egress", "egress": "ingress"}[scope]
         keep = keep.filter(F.col("scope") != other)
     return [r.asDict() for r in sorted(keep.collect(), key=lambda r: r["pos"])]
+
+
+class ReloadedRules:
+    """Rules of a file that may change under way: read again whenever its time or size differs.
+
+    A file that cannot be read or holds no rules leaves the last good ones in force."""
+
+    def __init__(self, spark: SparkSession, path: str, canary: str, scope: str | None = None):
+        self.spark, self.path, self.canary, self.scope = spark, path, canary, scope
+        self.stamp, self.version, self.rules = None, "", []
+
+    def _stamp(self) -> tuple:
+        seen = self.spark.read.format("binaryFile").load(self.path).select("modificationTime", "length", F.sha2("content", 256).alias("sha"))
+        return tuple(seen.first())
+
+    def current(self) -> tuple[str, list[dict]]:
+        """Version (start of the file's SHA-256) and rules now in force."""
+        try:
+            stamp = self._stamp()
+            if stamp != self.stamp:
+                rules = compile_rules(load_rules(self.spark, self.path, self.canary), self.scope)
+                if rules:
+                    self.stamp, self.version, self.rules = stamp, stamp[2][:12], rules
+        except Exception:  # noqa: BLE001 - missing, half written or not JSON
+            if not self.rules:
+                raise
+        if not self.rules:
+            raise ValueError(f"no rules in {self.path}")
+        return self.version, self.rules

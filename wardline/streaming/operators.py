@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from wardline import vocab as V
 from wardline.operators import conversation, replay, risk, ruletree, searches
 from wardline.operators.timeline import HOUR, MICROS
 from wardline.session import scratch_dir
 from wardline.sources.gateway import SOURCE
+from wardline.sources.rules import ReloadedRules
 from wardline.streaming.ordered import ordered
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -176,6 +179,25 @@ def replay_stream(stream: DataFrame) -> DataFrame:
     return replay._finish(out)
 
 
+# ------------------------------------------------------------------ inspection under changing rules
+
+def inspect_reloading(
+    stream: DataFrame, rules: ReloadedRules, inspect: Callable[[DataFrame, list[dict]], DataFrame], out: str, checkpoint: str
+) -> StreamingQuery:
+    """Run ``inspect(rows, rules)`` over every micro-batch with the rules then in force.
+
+    Rows land in ``out/batch=N`` with ``rules_version``; a batch that is run again replaces its own folder, so every
+    row is judged once and one batch never mixes two versions."""
+
+    def judge(rows: DataFrame, number: int) -> None:
+        version, now = rules.current()
+        inspect(rows, now).withColumn("rules_version", F.lit(version)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 # ------------------------------------------------------------------ running
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
