@@ -1480,8 +1480,8 @@ def frequency_rules_stream(s, d):
 @query("egress_events_stream", _egress_events_sql("dlp_block", "dlp_redact"))
 def egress_events_stream(s, d):
     """Requests and answers as two streams, joined by flow and time."""
-    answers = streams.as_stream(s, X.with_heartbeat(X.flow_answers(s, d)), "answers", files_per_batch=4)
-    requests = streams.as_stream(s, X.with_heartbeat(X.flow_requests(s, d)), "requests", files_per_batch=4)
+    answers = streams.as_stream(s, X.with_heartbeat(X.flow_answers(s, d)), "answers")
+    requests = streams.as_stream(s, X.with_heartbeat(X.flow_requests(s, d)), "requests")
     seen = gateway.egress_events(answers, requests, compiled(s, "egress"), X.CANARY)
     return streams.run_available(s, _user_events(seen), "egress")
 
@@ -1495,7 +1495,7 @@ def inspect_ingress_stream(s, d):
     shipped.agg(F.to_json(F.collect_list(F.expr(f"named_struct({fields})"))).alias("value")).write.text(f"{folder}/rules")
     rules = rule_source.ReloadedRules(s, f"{folder}/rules/part-*", X.CANARY, "ingress")
     prompts = X.prompts(s, d).withColumn("us", F.col("prompt_id"))
-    stream = streams.as_stream(s, prompts, "prompts", files_per_batch=2)
+    stream = streams.as_stream(s, prompts, "prompts")
 
     def judge(rows, now):
         r = gateway.inspect_ingress(rows, now, mode="reverse")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wardline import vocab as V
 from wardline.operators import conversation, replay, risk, ruletree, searches
 from wardline.operators.timeline import HOUR, MICROS
-from wardline.session import scratch_dir
+from wardline.session import landed, scratch_dir
 from wardline.sources.gateway import SOURCE
 from wardline.sources.rules import ReloadedRules
 from wardline.streaming.ordered import ordered
@@ -200,11 +200,10 @@ def inspect_reloading(
 
 # ------------------------------------------------------------------ running
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything available into a fresh table folder and read it back."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    out = scratch_dir(spark, name)
-    q = (
+def start_available(stream: DataFrame, out: str) -> StreamingQuery:
+    """Start a run over everything available, into ``out/rows`` with its checkpoint beside it."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return (
         stream.writeStream.format("parquet")
         .option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -212,13 +211,43 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
+
+
+def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything available into a fresh table folder and read it back."""
+    out = scratch_dir(spark, name)
+    start_available(stream, out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "10 minutes", files_per_batch: int = 1000) -> DataFrame:
-    """Land ``df`` as time-ordered files in the scratch folder and read them back as a stream."""
+def late_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """batch, operator, late: rows that came behind the watermark, from the query's progress.
+
+    An operator that adds up before its state counts groups; put :func:`deduplicated` first, which sees single
+    rows, and the others get none.  Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches."""
+    rows = [
+        (p.batchId, o.operatorName, o.numRowsDroppedByWatermark)
+        for p in query.recentProgress for o in p.stateOperators if o.numRowsDroppedByWatermark
+    ]
+    return spark.createDataFrame(rows, "batch long, operator string, late long").groupBy("batch", "operator").agg(F.max("late").alias("late"))
+
+
+#: Rows of one file of a replayed table, and the least number of files.
+FILE_ROWS, LEAST_FILES = 1_000_000, 5
+
+
+def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "10 minutes", files_per_batch: int = 1) -> DataFrame:
+    """Replay a table: land ``df`` as files, one after the other in time, and read them as a stream in that order.
+
+    Files hold about ``FILE_ROWS`` rows, so their number grows with the table; at least ``LEAST_FILES`` make
+    a small table run in several micro-batches too."""
+    rows = landed(df, f"{name}-table")
+    files = max(LEAST_FILES, rows.count() // FILE_ROWS)
+    cuts = sorted({int(c) for c in rows.approxQuantile("us", [i / files for i in range(1, files)], 0.25 / files)})
     path = scratch_dir(spark, f"{name}-in")
-    df.repartitionByRange("us").write.parquet(path)
-    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = rows if low is None else rows.where(F.col("us") > low)
+        part = part if high is None else part.where(F.col("us") <= high)
+        part.coalesce(1).write.parquet(f"{path}/{i:06d}")
+    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/*")
     return raw.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
