@@ -120,6 +120,34 @@ def decode_siem_json(s, d):
     return feed.decode_siem_json(lines).select("event.event_id", "event.action", "event.user", "event.rule", "event.severity")
 
 
+GOOD_LINES_SQL = f"""
+    SELECT event_id, user, us, action, severity, rule, layer, risk_score FROM ({G240})
+    WHERE event_id % 50 NOT IN (7, 9) AND event_id % 7 <> 3"""
+_LINE_COLUMNS = ["event_id", "user", "us", "action", "severity", "rule", "layer", "risk_score"]
+
+
+@query("read_gateway_events", GOOD_LINES_SQL)
+def read_gateway_events(s, d):
+    return feed.read_gateway_events(s, X.gateway_lines(s, d, SIEM_FACTOR)).select(*_LINE_COLUMNS)
+
+
+@query("bad_gateway_lines", f"""
+    SELECT CASE WHEN event_id % 50 = 7 THEN {q_(X.BAD_LINE)} || event_id ELSE event_id || ' at soon' END AS line
+    FROM ({G240}) WHERE event_id % 50 IN (7, 9)""")
+def bad_gateway_lines(s, d):
+    """Lines that are no events, in a table of their own."""
+    bad = feed.bad_gateway_lines(s, X.gateway_lines(s, d, SIEM_FACTOR))
+    named = F.concat(F.get_json_object("line", "$.event.event_id"), F.lit(" at "), F.get_json_object("line", "$.event.us"))
+    return bad.select(F.coalesce(named, "line").alias("line"))
+
+
+@query("stream_gateway_events", GOOD_LINES_SQL)
+def stream_gateway_events(s, d):
+    """The same lines as a file stream in several micro-batches."""
+    stream = feed.stream_gateway_events(s, X.gateway_lines(s, d, SIEM_FACTOR), files_per_batch=1)
+    return streams.run_available(s, stream.select(*_LINE_COLUMNS), "gateway-events")
+
+
 # ======================================================================= normaliser
 
 INVIS_SQL = q_("[" + V.INVISIBLE + "]")
@@ -1477,6 +1505,18 @@ def frequency_rules_stream(s, d):
     return streams.run_available(s, streams.frequency_rules_stream(src), "freq")
 
 
+@query("alert_jsonl", BRUTE_SQL)
+def alert_jsonl(s, d):
+    """Alerts through the JSON-lines sink; a batch that is written again replaces its own lines."""
+    alerts = searches.brute_force(ev240(s, d))
+    path = scratch_dir(s, "alerts")
+    sink = feed.alert_sink(path, "brute_force")
+    sink(alerts.limit(0), 1)
+    for _ in range(2):
+        sink(alerts, 0)
+    return s.read.schema(alerts.schema).json(f"{path}/query=brute_force").select(*alerts.columns)
+
+
 @query("egress_events_stream", _egress_events_sql("dlp_block", "dlp_redact"))
 def egress_events_stream(s, d):
     """Requests and answers as two streams, joined by flow and time."""

@@ -96,6 +96,25 @@ def gateway_sql(factor: int) -> str:
     """
 
 
+BAD_LINE = '{"sourcetype": "x", "index": "gateway", "event": {"event_id": '
+
+
+def gateway_lines(spark: SparkSession, sf_dir: str, factor: int) -> str:
+    """A folder of envelope lines: some cut short, some of another index, some with a word for a number."""
+    from wardline.session import scratch_dir
+
+    e = gateway_events(spark, sf_dir, factor)
+    line = F.to_json(F.struct(
+        F.lit("x").alias("sourcetype"), F.when(F.col("event_id") % 7 == 3, "other").otherwise("gateway").alias("index"),
+        F.struct(*e.columns).alias("event"),
+    ))
+    line = F.when(F.col("event_id") % 50 == 7, F.concat(F.lit(BAD_LINE), F.col("event_id").cast("string"))).otherwise(line)
+    line = F.when(F.col("event_id") % 50 == 9, F.regexp_replace(line, '"us":[0-9]+', '"us":"soon"')).otherwise(line)
+    path = scratch_dir(spark, "gateway-lines")
+    e.select(line.alias("value")).repartition(6).write.text(path)
+    return path
+
+
 # Every 17th kind of event becomes a rarer action, so that each alert rule has events.
 SIEM_OVERRIDES = [
     ("intrusion_detected", "L3_Canary_Honeypot", "critical"),
