@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import vocab as V
+from wardline.functions.literals import may_match
 
 #: Java's ``\b \d \s`` are ASCII unless told otherwise; rule authors expect Unicode classes.
 UNICODE = "(?U)"
@@ -19,7 +20,9 @@ CHUNK = 100
 
 
 def found(c: Column, pattern: str) -> Column:
-    return c.rlike(UNICODE + pattern)
+    """Whether ``pattern`` matches somewhere; tried only where a literal that it needs stands."""
+    match, may = c.rlike(UNICODE + pattern), may_match(c, pattern)
+    return match if may is None else may & match
 
 
 def _rule_struct(rule: dict, c: Column, with_match: bool) -> Column:
@@ -66,8 +69,8 @@ def redact(df: DataFrame, col: str, rules: list[dict], out: str = "redacted") ->
         cur = cur.select(
             *keep,
             *[f"_h{j}" for j in hits],
-            t.rlike(pattern).alias(f"_h{i}"),
-            F.when(t.rlike(pattern), F.regexp_replace(t, pattern, label)).otherwise(t).alias(f"_t{i + 1}"),
+            found(t, rule["pattern"]).alias(f"_h{i}"),
+            F.when(found(t, rule["pattern"]), F.regexp_replace(t, pattern, label)).otherwise(t).alias(f"_t{i + 1}"),
         )
         hits.append(i)
     names = F.array_compact(
@@ -81,12 +84,17 @@ def redact(df: DataFrame, col: str, rules: list[dict], out: str = "redacted") ->
 def all_matches(df: DataFrame, col: str, rules: list[dict]) -> DataFrame:
     """One row per (input row, rule) with the number of matches; no join, rows multiply by hits."""
     c = F.col(col)
+
+    def matches(pattern: str) -> Column:
+        n, may = F.regexp_count(c, F.lit(UNICODE + pattern)), may_match(c, pattern)
+        return n if may is None else F.when(~may, 0).otherwise(n)
+
     counted = F.array(
         *[
             F.struct(
                 F.lit(r["id"]).alias("rule_id"),
                 F.lit(r["name"]).alias("rule"),
-                F.regexp_count(c, F.lit(UNICODE + r["pattern"])).alias("matches"),
+                matches(r["pattern"]).alias("matches"),
             )
             for r in rules
         ]
