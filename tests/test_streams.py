@@ -2,10 +2,12 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import gateway, searches
+from wardline.operators import gateway, risk, ruletree, searches
 from wardline.operators.timeline import MICROS
 from wardline.plans import catalog, fixtures
 from wardline.session import scratch_dir
@@ -89,3 +91,23 @@ def test_replayed_tables_run_in_several_batches(spark, sf):
     query.awaitTermination()
     assert len({p.batchId for p in query.recentProgress if p.numInputRows}) >= streams.LEAST_FILES
     assert sum(p.numInputRows for p in query.recentProgress) == fixtures.gateway_events(spark, sf, 240).count()
+
+
+def test_one_user_of_many_rows(spark):
+    """A flood of one user and a quiet one: streams equal the batch operators on all closed rows."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    us = np.concatenate([np.sort(rng.integers(0, 300 * MINUTE // 1000, n)) * 1000, rng.integers(0, 300 * MINUTE, 200)]) + T0
+    frame = pd.DataFrame({
+        "event_id": range(len(us)), "user": ["u"] * n + ["quiet"] * 200, "us": us, "action": rng.choice(["dlp_block", "dlp_flagged", "ai_inference"], len(us)),
+        "severity": rng.choice(["low", "high", "critical"], len(us)), "rule": "r", "layer": "L2_DLP_Regex", "source": "ai-gateway",
+        "prompt_preview": "p", "casb_action": None, "risk_score": "1",
+    })
+    df = spark.createDataFrame(frame, "event_id long, user string, us long, action string, severity string, rule string, layer string, source string, prompt_preview string, casb_action string, risk_score string")
+    closed = int(us.max()) // 1000 * 1000 - 10 * MINUTE
+    got = streams.run_available(spark, streams.risk_stream(streams.as_stream(spark, df.drop("risk_score"), "flood-risk")), "flood-risk")
+    want = risk.risk_asof(df.drop("risk_score")).where(F.col("us") <= closed).select(*got.columns)
+    assert got.count() == want.count() > 15_000 and got.exceptAll(want).isEmpty()
+    got = streams.run_available(spark, streams.frequency_rules_stream(streams.as_stream(spark, df, "flood-rules")), "flood-rules")
+    want = ruletree.frequency_rules(df).where(F.col("us") <= closed).select(*got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()

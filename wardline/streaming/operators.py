@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import heapq
+import json
+from collections import Counter
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +20,7 @@ from wardline.operators.timeline import HOUR, MICROS
 from wardline.session import landed, scratch_dir
 from wardline.sources.gateway import SOURCE
 from wardline.sources.rules import ReloadedRules
-from wardline.streaming.ordered import ordered
+from wardline.streaming.ordered import Fold, ordered
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,26 +43,49 @@ def detections_stream(stream: DataFrame) -> dict[str, DataFrame]:
 # ------------------------------------------------------------------ risk
 
 _RISK_COLS = ["us", "event_id", "p10", "r10"]
-
-
-def _risk_start() -> dict:
-    return {"live": replay.new_risk()}
-
-
-def _risk_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    out, live = [], state["live"]
-    for us, eid, p, r in rows[_RISK_COLS].itertuples(index=False):
-        if p > 0:
-            replay.add_points(live, int(us), int(p), int(r))
-        out.append((eid, us, str(replay.score(live, int(us)))))
-    return pd.DataFrame(out, columns=["event_id", "us", "n"])
+#: Microseconds of one slot of lines that have not run out.
+_LINES = HOUR // 4
+
+
+class _RiskFold(Fold):
+    """The sums over the lines that count now; the lines themselves lie in the slot in which they run out, and
+    are read when time gets there."""
+
+    state_ddl = "height decimal(38,0), rate decimal(38,0)"
+    past_ddl = "end: long, height: decimal(38,0), rate: long"
+
+    def start(self) -> tuple:
+        return Decimal(0), Decimal(0)
+
+    def run(self, state, rows, past):
+        live = {"ends": [], "height": int(state[0]), "rate": int(state[1])}
+        slots, later, out = past.slots(), {}, []
+        for us, eid, p, r in rows[_RISK_COLS].itertuples(index=False):
+            us, now = int(us), int(us) // _LINES
+            while slots and slots[0] <= now:
+                for end, height, rate in past.take(slots.pop(0)):
+                    heapq.heappush(live["ends"], [end, int(height), rate])
+            for slot in [s for s in later if s <= now]:
+                for line in later.pop(slot):
+                    heapq.heappush(live["ends"], line)
+            if p > 0:
+                replay.add_points(live, us, int(p), int(r))
+            out.append((eid, us, str(replay.score(live, us))))
+            while live["ends"] and live["ends"][-1][0] // _LINES > now:  # a heap's last is no smaller than its parents
+                line = live["ends"].pop()
+                later.setdefault(line[0] // _LINES, []).append(line)
+        for line in live["ends"]:
+            later.setdefault(line[0] // _LINES, []).append(line)
+        for slot, lines in later.items():
+            past.add(slot, [(end, Decimal(height), rate) for end, height, rate in lines])
+        return (Decimal(live["height"]), Decimal(live["rate"])), pd.DataFrame(out, columns=["event_id", "us", "n"])
 
 
 def risk_stream(stream: DataFrame) -> DataFrame:
     """Score and level at every event; the state is the user's points of the last day."""
     src = risk.risk_points(stream)
     out = ordered(
-        src, _risk_fold, _risk_start, _RISK_COLS, "us long, event_id long, p10 long, r10 long",
+        src, _RiskFold(), _RISK_COLS, "us long, event_id long, p10 long, r10 long",
         "event_id long, us long, n string", keep_us=replay.DAY,
     )
     n = F.col("n").cast("decimal(38,0)")
@@ -73,20 +100,25 @@ def risk_stream(stream: DataFrame) -> DataFrame:
 
 _TALK_COLS = ["us", "event_id", "user_id", "action", "severity", "rule", "s", "a"]
 _ENTRY = "us:bigint,event_id:bigint,action:string,severity:string,rule:string,s:int,a:int"
+_ENTRY_NAMES = [f.split(":")[0] for f in _ENTRY.split(",")]
 
 
-def _talk_start() -> dict:
-    return {"recent": []}
+class _TalkFold(Fold):
+    """The last messages of a quarter of an hour, at most as many as the tests look at."""
 
+    state_ddl = f"recent array<struct<{_ENTRY}>>"
 
-def _talk_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for us, eid, user, action, severity, rule, s, a in rows[_TALK_COLS].itertuples(index=False):
-        entry = {"us": int(us), "event_id": int(eid), "action": action, "severity": severity, "rule": rule, "s": int(s), "a": int(a)}
-        recent = [h for h in state["recent"] if us - h["us"] < conversation.LOOKBACK]
-        state["recent"] = (recent + [entry])[-V.HISTORY_MESSAGES:]
-        out.append((eid, user, us, action, state["recent"]))
-    return pd.DataFrame(out, columns=["event_id", "user", "us", "action", "recent"])
+    def start(self) -> tuple:
+        return ([],)
+
+    def run(self, state, rows, past):
+        recent, out = [tuple(r) for r in state[0]], []
+        for us, eid, user, action, severity, rule, s, a in rows[_TALK_COLS].itertuples(index=False):
+            entry = (int(us), int(eid), action, severity, rule, int(s), int(a))
+            recent = [h for h in recent if us - h[0] < conversation.LOOKBACK]
+            recent = (recent + [entry])[-V.HISTORY_MESSAGES:]
+            out.append((eid, user, us, action, [dict(zip(_ENTRY_NAMES, h)) for h in recent]))
+        return (recent,), pd.DataFrame(out, columns=["event_id", "user", "us", "action", "recent"])
 
 
 def detect_patterns_stream(stream: DataFrame, at_action: str | None = "ai_inference") -> DataFrame:
@@ -99,7 +131,7 @@ def detect_patterns_stream(stream: DataFrame, at_action: str | None = "ai_infere
         }
     )
     out = ordered(
-        src, _talk_fold, _talk_start, _TALK_COLS,
+        src, _TalkFold(), _TALK_COLS,
         "us long, event_id long, user_id string, action string, severity string, rule string, s int, a int",
         f"event_id long, user string, us long, action string, recent array<struct<{_ENTRY}>>",
         keep_us=conversation.LOOKBACK,
@@ -115,30 +147,46 @@ def detect_patterns_stream(stream: DataFrame, at_action: str | None = "ai_infere
 _FREQ_COLS = ["us", "event_id", "user_id", "parents"]
 
 
-def _freq_start() -> dict:
-    return {"seen": {}}
-
-
-def _freq_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    """Keeps, per parent rule, the instants within the longest span; equal instants count together."""
-    out, seen = [], state["seen"]
-    for us, group in rows.groupby("us", sort=True):
-        for parents in group["parents"]:
-            for p in filter(None, parents.split(",")):
-                seen.setdefault(p, []).append(int(us))
-        for eid, user, parents in group[["event_id", "user_id", "parents"]].itertuples(index=False):
-            have = set(parents.split(","))
-            for rid, level, times, span, parent, *_ in V.FREQUENCY_RULES:
-                if str(parent) in have:
-                    times_ = seen[str(parent)]
-                    n = bisect.bisect_right(times_, us) - bisect.bisect_left(times_, us - span * MICROS)
-                    if n >= times:
+class _FrequencyFold(Fold):
+    """Counts per parent rule and instant within the longest span; equal instants count together."""
+
+    state_ddl = "seen array<struct<parent:string,us:bigint,n:bigint>>"
+
+    def start(self) -> tuple:
+        return ([],)
+
+    def run(self, state, rows, past):
+        out = []
+        times: dict[str, list[int]] = {}
+        upto: dict[str, list[int]] = {}  # events up to and with each instant
+
+        def add(parent: str, us: int, n: int) -> None:
+            t, total = times.setdefault(parent, []), upto.setdefault(parent, [])
+            t.append(us)
+            total.append(n + (total[-1] if total else 0))
+
+        def count(parent: str, low: int, high: int) -> int:
+            t, total = times[parent], upto[parent]
+            i, j = bisect.bisect_left(t, low), bisect.bisect_right(t, high)
+            return (total[j - 1] if j else 0) - (total[i - 1] if i else 0)
+
+        for parent, us, n in sorted((r[0], r[1], r[2]) for r in state[0]):
+            add(parent, us, n)
+        for us, group in rows.groupby("us", sort=True):
+            us = int(us)
+            for parent, n in Counter(p for parents in group["parents"] for p in parents.split(",") if p).items():
+                add(parent, us, n)
+            for eid, user, parents in group[["event_id", "user_id", "parents"]].itertuples(index=False):
+                have = set(parents.split(","))
+                for rid, level, least, span, parent, *_ in V.FREQUENCY_RULES:
+                    if str(parent) in have and (n := count(str(parent), us - span * MICROS, us)) >= least:
                         out.append((eid, user, us, rid, level, n))
-    longest = max(r[3] for r in V.FREQUENCY_RULES) * MICROS
-    last = int(rows["us"].max())
-    for p in seen:
-        del seen[p][: bisect.bisect_left(seen[p], last - longest)]
-    return pd.DataFrame(out, columns=["event_id", "user", "us", "rule_id", "level", "matches"])
+        low = int(rows["us"].max()) - max(r[3] for r in V.FREQUENCY_RULES) * MICROS
+        kept = [
+            (parent, us, total[i] - (total[i - 1] if i else 0))
+            for parent, total in upto.items() for i, us in enumerate(times[parent]) if us >= low
+        ]
+        return (kept,), pd.DataFrame(out, columns=["event_id", "user", "us", "rule_id", "level", "matches"])
 
 
 def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame:
@@ -150,7 +198,7 @@ def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame
     wanted = F.array_join(F.array_intersect(ids, F.array(*[F.lit(str(p)) for p in parents])), ",")
     src = stream.withColumns({"parents": wanted, "user_id": F.col("user")}).filter("parents <> ''")
     return ordered(
-        src, _freq_fold, _freq_start, _FREQ_COLS, "us long, event_id long, user_id string, parents string",
+        src, _FrequencyFold(), _FREQ_COLS, "us long, event_id long, user_id string, parents string",
         "event_id long, user string, us long, rule_id int, level int, matches long",
         keep_us=max(r[3] for r in V.FREQUENCY_RULES) * MICROS,
     )
@@ -161,17 +209,24 @@ def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame
 _LOOP_COLS = ["us", "event_id", "user_id", "evasion", "high_entropy", "rule", "p_rule", "r_rule", "severity"]
 
 
-def _loop_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    got = pd.DataFrame(replay.fold_rows(state, rows), columns=["event_id", "decision", "n", "pattern"])
-    got["n"] = got["n"].astype(str)
-    got["user"], got["us"] = rows["user_id"].to_numpy(), rows["us"].to_numpy()
-    return got[["event_id", "user", "us", "decision", "n", "pattern"]]
+class _LoopFold(Fold):
+    state_ddl = "packed string"
+
+    def start(self) -> tuple:
+        return (json.dumps(replay.new_state()),)
+
+    def run(self, state, rows, past):
+        kept = json.loads(state[0])
+        got = pd.DataFrame(replay.fold_rows(kept, rows), columns=["event_id", "decision", "n", "pattern"])
+        got["n"] = got["n"].astype(str)
+        got["user"], got["us"] = rows["user_id"].to_numpy(), rows["us"].to_numpy()
+        return (json.dumps(kept),), got[["event_id", "user", "us", "decision", "n", "pattern"]]
 
 
 def replay_stream(stream: DataFrame) -> DataFrame:
     """The closed loop over a stream of inspected requests (plus ``ts`` with a watermark)."""
     out = ordered(
-        stream.withColumn("user_id", F.col("user")), _loop_fold, replay.new_state, _LOOP_COLS,
+        stream.withColumn("user_id", F.col("user")), _LoopFold(), _LOOP_COLS,
         "us long, event_id long, user_id string, evasion boolean, high_entropy boolean, rule string, "
         "p_rule long, r_rule long, severity string",
         "event_id long, user string, us long, decision string, n string, pattern string",

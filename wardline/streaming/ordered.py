@@ -4,37 +4,91 @@ Rows of a user are held until the watermark has passed them, then folded in time
 result does not depend on how arrivals were split into micro-batches, and equals the batch
 operator's on everything the watermark has closed.  Rows later than the watermark are dropped by
 Spark before they get here.
+
+What waits, and what a fold remembers of the past, lies in map states keyed by time slot: a new row touches its own
+slot, a closed slot is read, folded and removed before the next one is read, and an old slot goes
+as a whole.  A task holds one slot of one user, however many rows the user has.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: (state, time-ordered rows) -> output rows; the state is a JSON-able dict, changed in place.
-Fold = Callable[[dict, pd.DataFrame], pd.DataFrame]
+from wardline.operators.timeline import MICROS
+
+#: Microseconds of one slot of waiting rows.
+SLOT = 60 * MICROS
+
+
+class Slots:
+    """Rows by slot, in parts: adding to a slot writes one new part and never reads the others."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, row_ddl: str):
+        self.parts = handle.getMapState(f"{name}Parts", "slot long, part long", f"rows array<struct<{row_ddl}>>")
+        self.count = handle.getMapState(f"{name}Count", "slot long", "n long")
+
+    def add(self, slot: int, rows: list[tuple]) -> None:
+        known = self.count.getValue((slot,))
+        n = known[0] if known else 0
+        self.parts.updateValue((slot, n), (rows,))
+        self.count.updateValue((slot,), (n + 1,))
+
+    def take(self, slot: int) -> list[tuple]:
+        """Rows of a slot, which is removed."""
+        found: list[tuple] = []
+        for part in range(self.count.getValue((slot,))[0]):
+            found += [tuple(r) for r in self.parts.getValue((slot, part))[0]]
+            self.parts.removeKey((slot, part))
+        self.count.removeKey((slot,))
+        return found
+
+    def slots(self) -> list[int]:
+        """The slots that hold rows, in order."""
+        return sorted(k[0] for k in self.count.keys())
+
+    def clear(self) -> None:
+        self.parts.clear()
+        self.count.clear()
+
+
+class Fold:
+    """What to do with a user's rows in time order.
+
+    ``state_ddl`` and ``start`` describe a small typed state; ``past_ddl``, if any, rows of the past that are kept
+    by slot.  ``run`` gets both with time-ordered rows and returns the new state and the output rows."""
+
+    state_ddl = ""
+    past_ddl: str | None = None
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def run(self, state: tuple, rows: pd.DataFrame, past: Slots | None) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
 
 
 class OrderedFold(StatefulProcessor):
-    def __init__(self, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str, keep_us: int | None):
-        self.fold, self.start, self.columns, self.row_ddl, self.keep_us = fold, start, columns, row_ddl, keep_us
+    def __init__(self, fold: Fold, columns: list[str], row_ddl: str, keep_us: int | None):
+        self.fold, self.columns, self.row_ddl, self.keep_us = fold, columns, row_ddl, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_ddl)
-        self.state = handle.getValueState("state", "json string, last long")
+        self.waiting = Slots(handle, "waiting", self.row_ddl)
+        self.past = Slots(handle, "past", self.fold.past_ddl) if self.fold.past_ddl else None
+        self.state = handle.getValueState("state", f"{self.fold.state_ddl}, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             if len(pdf):
                 plain = pdf[self.columns].astype(object).where(pdf[self.columns].notna(), None)
-                self.waiting.appendList([tuple(r) for r in plain.itertuples(index=False)])
+                for slot, part in plain.groupby(pdf["us"] // SLOT):
+                    self.waiting.add(int(slot), [tuple(r) for r in part.itertuples(index=False)])
                 low = int(pdf["us"].min())
                 first = low if first is None else min(first, low)
         self._wake_at(first)
@@ -47,45 +101,51 @@ class OrderedFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.columns)
-        if rows.empty:
+        slots = self.waiting.slots()
+        if not slots:
             # Nothing waits: forget a user whose past can no longer matter.
-            if self.keep_us is not None and self.state.exists() and closed >= self.state.get()[1] + self.keep_us:
+            if self.keep_us is not None and self.state.exists() and closed >= self.state.get()[-1] + self.keep_us:
                 self.state.clear()
+                if self.past:
+                    self.past.clear()
             return
-        ready = rows[rows["us"] <= closed].sort_values(["us", "event_id"])
-        rest = rows[rows["us"] > closed]
-        if ready.empty:
-            self._wake_at(int(rest["us"].min()))
-            return
-        state = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        out = self.fold(state, ready)
-        last = int(ready["us"].iloc[-1])
-        self.state.update((json.dumps(state), last))
-        if rest.empty:
-            self.waiting.clear()
-            if self.keep_us is not None:
-                self._wake_at(last + self.keep_us)
+        state, last = None, None
+        for slot in slots:
+            if slot * SLOT > closed:
+                self._wake_at(slot * SLOT)  # no later than its first row
+                break
+            rows = pd.DataFrame(self.waiting.take(slot), columns=self.columns)
+            ready, rest = rows[rows["us"] <= closed], rows[rows["us"] > closed]
+            if len(rest):
+                self.waiting.add(slot, [tuple(r) for r in rest.itertuples(index=False)])
+                self._wake_at(int(rest["us"].min()))
+            if len(ready):
+                if state is None:
+                    state = tuple(self.state.get()[:-1]) if self.state.exists() else self.fold.start()
+                ready = ready.sort_values(["us", "event_id"])
+                state, out = self.fold.run(state, ready, self.past)
+                last = int(ready["us"].iloc[-1])
+                if len(out):
+                    yield out
+            if len(rest):
+                break
         else:
-            self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
-            self._wake_at(int(rest["us"].min()))
-        if len(out):
-            yield out
+            if last is not None and self.keep_us is not None:
+                self._wake_at(last + self.keep_us)
+        if state is not None:
+            self.state.update((*state, last))
 
     def close(self) -> None:
         pass
 
 
-def ordered(
-    stream: DataFrame, fold: Fold, start: Callable[[], dict], columns: list[str], row_ddl: str, out_ddl: str,
-    keep_us: int | None = None,
-) -> DataFrame:
+def ordered(stream: DataFrame, fold: Fold, columns: list[str], row_ddl: str, out_ddl: str, keep_us: int | None = None) -> DataFrame:
     """Apply ``fold`` per user to a stream that has ``user``, ``us``, ``event_id`` and a watermark on ``ts``.
 
     ``keep_us``: a user's state is dropped once the watermark is so far beyond the last row (None: never)."""
     src = stream.filter(F.col("user").isNotNull()).select("user", "ts", *columns)
     return src.groupBy("user").transformWithStateInPandas(
-        statefulProcessor=OrderedFold(fold, start, columns, row_ddl, keep_us),
+        statefulProcessor=OrderedFold(fold, columns, row_ddl, keep_us),
         outputStructType=out_ddl,
         outputMode="Append",
         timeMode="EventTime",
