@@ -9,9 +9,10 @@ TF-IDF vector of its terms, each weighted by its tie to the label (``ties``); it
 the cosine, evened out for the sampling of the classes and drawn to the base rate by a small weight, then
 put through a logistic fitted on leave-one-out votes.
 
-The search is exact: example vectors lie in blocks; for each term the index keeps the postings of each
-block and the largest weight in it, blocks are visited in the order of their upper bounds, and the
-search ends when no bound can reach the nearest found so far.
+The search is exact: example vectors lie in blocks; for each term the index keeps its postings, the largest
+weight in each block and the largest of all.  A text's terms are scored in the order of what they can add, until the
+rest cannot lift a new example to the nearest found so far; the block weights then leave a few examples,
+whose cosines are computed in full.
 
 Defined results: NULL text counts as empty.  A text without terms gets the base rate of examples
 without terms.  Equal example vectors are one entry that votes with its counts; between entries of equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import fold, text_udf
+from wardline.session import landed
 
 PER_CLASS = {0: 6000, 1: 6000}
 #: Documents, dealt as the classes are, that smooth the ratio of a term's shares.
@@ -40,7 +43,9 @@ SURE_Z = 5.0
 STRONG_RATIO = 3.0
 DAMPING = 2.0
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
+#: Terms that are scored first.
+GROUP = 16
 THRESHOLD = 0.5
 #: Weight with which the base rate joins the votes.
 PULL = 0.5
@@ -74,39 +79,70 @@ class Index:
         self.best = np.maximum.reduceat(self.weights, self.first) if len(self.first) else np.zeros(0)
         self.cells = np.searchsorted(terms[self.first], np.arange(n_terms + 1))
         self.first = np.append(self.first, len(self.ids))
+        # The largest weight of each term.
+        self.most = np.zeros(n_terms)
+        has = np.flatnonzero(np.diff(self.begin))
+        if len(has):
+            self.most[has] = np.maximum.reduceat(self.weights, self.begin[has])
+        self._entries = self._query = None
 
     @staticmethod
     def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = end - begin
         return np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
+    def _forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each entry's terms begin, its terms and their weights; made from the postings when first needed."""
+        if self._entries is None:
+            order = np.argsort(self.ids, kind="stable")
+            terms = np.repeat(np.arange(len(self.begin) - 1, dtype=np.int32), np.diff(self.begin))
+            self._entries = np.searchsorted(self.ids[order], np.arange(self.size + 1)), terms[order], self.weights[order]
+        return self._entries
+
+    def _exact(self, entries: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of ``entries`` with the query."""
+        begin, its_terms, its_weights = self._forward()
+        if self._query is None:
+            self._query = np.zeros(len(self.begin) - 1)
+        self._query[terms] = weight
+        part = self._spans(begin[entries], begin[entries + 1])
+        owner = np.repeat(np.arange(len(entries)), begin[entries + 1] - begin[entries])
+        score = np.bincount(owner, its_weights[part] * self._query[its_terms[part]], len(entries))
+        self._query[terms] = 0
+        return score
+
     def nearest(self, query, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, entry) of the k nearest entries with a positive cosine, nearest first; ``skip`` is left out."""
         q = np.asarray(query, dtype=np.float64).reshape(-1, 2)
         terms, weight = q[:, 0].astype(np.int64), q[:, 1]
-        cells = self._spans(self.cells[terms], self.cells[terms + 1])
-        share = np.repeat(weight, self.cells[terms + 1] - self.cells[terms])
-        where = self.cell[cells]
-        bound = np.bincount(where, share * self.best[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score, at, step = np.zeros(self.size), 0, 4
-        least = 0.0
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            # Blocks are opened by fours, then ever more at once.
-            now = np.zeros(self.blocks, dtype=bool)
-            now[order[at : at + step]] = True
-            opened = cells[now[where]]
-            part = self._spans(self.first[opened], self.first[opened + 1])
-            w = np.repeat(share[now[where]], self.first[opened + 1] - self.first[opened])
-            score += np.bincount(self.ids[part], w * self.weights[part], self.size)
-            at, step = at + step, step * 4
+        most = weight * self.most[terms]
+        order = np.argsort(-most, kind="stable")
+        terms, weight = terms[order], weight[order]
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # what the terms from here on can add at most
+        score, least, at, step, touched = np.zeros(self.size), 0.0, 0, GROUP, np.zeros(0, dtype=np.int64)
+        # Heavy terms first: once the others together cannot reach the k-th best, only entries met so far can.
+        while at < len(terms) and rest[at] >= least - 1e-12:
+            begin, end = self.begin[terms[at : at + step]], self.begin[terms[at : at + step] + 1]
+            spans = list(zip(begin.tolist(), end.tolist()))
+            ids = np.concatenate([self.ids[b:e] for b, e in spans])
+            share = np.concatenate([self.weights[b:e] for b, e in spans]) * np.repeat(weight[at : at + step], end - begin)
+            score += np.bincount(ids, share, self.size)
             if skip >= 0:
                 score[skip] = 0
-            if self.size > k:
-                least = np.partition(score, -k)[-k]
-        found = np.flatnonzero(score > max(0.0, least - 1e-11))
-        return sorted(((float(score[i]), int(i)) for i in found), key=lambda x: (-round(x[0], 12), x[1]))[:k]
+            touched = np.flatnonzero(score)
+            if len(touched) >= k:
+                least = np.partition(score[touched], -k)[-k]
+            at, step = at + step, step * 3
+        at = min(at, len(terms))
+        found = touched[score[touched] + rest[at] >= least - 1e-11]
+        if rest[at] > 0 and len(found) > k:
+            # The largest weights in an entry's block bound what the other terms can add to it.
+            cells = self._spans(self.cells[terms[at:]], self.cells[terms[at:] + 1])
+            more = np.repeat(weight[at:], self.cells[terms[at:] + 1] - self.cells[terms[at:]]) * self.best[cells]
+            bound = np.bincount(self.cell[cells], more, self.blocks)
+            found = found[score[found] + bound[found // self.block] >= least - 1e-11]
+        exact = self._exact(found, terms, weight) if rest[at] > 0 and len(found) else score[found]
+        return sorted(((float(s), int(i)) for s, i in zip(exact, found) if s > 0), key=lambda x: (-round(x[0], 12), x[1]))[:k]
 
 
 def ties(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -220,35 +256,51 @@ def _counted(terms: dict[str, int]):
     return make
 
 
-def _profile(terms: dict[str, int]):
-    """Per text: the distinct numbers of its terms behind a -1, and a key that near copies mostly share."""
+def _copy_keys():
+    """Per text a key that near copies mostly share: the smallest hash of its three-word runs."""
 
-    def make():
-        def fn(texts):
-            out = []
-            for t in texts:
-                w = words(t)
-                runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
-                found = {terms[x] for x in set(w) if x in terms}
-                out.append({"t": [-1, *found], "copy": min(map(xxhash.xxh64_intdigest, runs)) >> 2})
-            return pa.array(out, pa.struct([("t", pa.list_(pa.int32())), ("copy", pa.int64())]))
+    def fn(texts):
+        out = []
+        for t in texts:
+            w = words(t)
+            runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+            out.append(min(map(xxhash.xxh64_intdigest, runs)) >> 2)
+        return pa.array(out, pa.int64())
 
-        return fn
+    return fn
 
-    return make
+
+def _count_terms(terms: dict[str, int]):
+    """t, a, b: toxic and clean documents of this task that hold each term; their number under -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, len(terms) + 1), dtype=np.int64)
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[y, -1] += 1
+                counts[y, [terms[w] for w in set(words(text)) if w in terms]] += 1
+        at = np.flatnonzero(counts.any(0))
+        t = np.where(at == len(terms), -1, at)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(counts[1, at]), pa.array(counts[0, at])], ["t", "a", "b"])
+
+    return run
 
 
 def frequencies(docs: DataFrame, labels: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Of each term, the toxic and the clean documents that hold it, and the documents of each class: over all
-    labelled rows, near copies counted once."""
-    profile = text_udf(_profile(terms), "struct<t: array<int>, copy: bigint>")
+    labelled rows, near copies counted once.
+
+    Only ids and keys are shuffled to choose one document of each group of copies; terms are added up inside a
+    task, so a task hands on one row per term."""
+    labelled = landed(
+        docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+        .withColumn("copy", text_udf(_copy_keys, "bigint")(F.col("text"))).withColumn("row", F.monotonically_increasing_id()),
+        "toxic-labelled",
+    )
+    one = labelled.groupBy("copy", "y").agg(F.min("row").alias("row")).select("row")
     counted = (
-        docs.select("doc_id", "text").join(labels, "doc_id")
-        .select("y", profile(F.coalesce("text", F.lit(""))).alias("p"))
-        .select(F.explode("p.t").alias("t"), (F.col("p.copy") * 2 + F.col("y")).alias("copy")).distinct()
-        .groupBy("t").agg(F.count_if(F.col("copy") % 2 != 0).alias("a"),
-                          F.count_if(F.col("copy") % 2 == 0).alias("b"))
-        .toArrow()
+        labelled.join(one, "row", "left_semi").select("y", "text").mapInArrow(_count_terms(terms), "t int, a bigint, b bigint")
+        .groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     )
     t, a, b = (counted.column(c).to_numpy() for c in ("t", "a", "b"))
     out = np.zeros((2, len(terms) + 1))
@@ -349,10 +401,11 @@ def scorer(model: Model | None, evidence: bool = False):
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; learns from labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted, evidence (doc_id and cosine of the nearest examples, nearest first) of every
+    row; learns from labels outside the held-out fold."""
     model = fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("y")))
     return docs.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
-        scorer(model)(F.col("text")).alias("score"),
-    ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        scorer(model, evidence=True)(F.col("text")).alias("_s"),
+    ).select("doc_id", "held_out", "_s.score", (F.col("_s.score") >= THRESHOLD).cast("int").alias("predicted"), "_s.evidence")
