@@ -44,6 +44,8 @@ STRONG_RATIO = 3.0
 DAMPING = 2.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Bits of the map of labelled ids (1 MB).
+BITMAP = 1 << 23
 #: Terms that are scored first.
 GROUP = 16
 THRESHOLD = 0.5
@@ -256,50 +258,79 @@ def _counted(terms: dict[str, int]):
     return make
 
 
-def _copy_keys():
-    """Per text a key that near copies mostly share: the smallest hash of its three-word runs."""
+def _profile(terms: dict[str, int]):
+    """Per text a key that near copies mostly share (the smallest hash of its three-word runs) and the numbers of
+    its terms."""
 
-    def fn(texts):
-        out = []
-        for t in texts:
-            w = words(t)
-            runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
-            out.append(min(map(xxhash.xxh64_intdigest, runs)) >> 2)
-        return pa.array(out, pa.int64())
+    def make():
+        def fn(texts):
+            out = []
+            for t in texts:
+                w = words(t)
+                runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+                found = np.array([terms[x] for x in set(w) if x in terms], dtype="<i4")
+                out.append({"copy": min(map(xxhash.xxh64_intdigest, runs)) >> 2, "terms": found.tobytes()})
+            return pa.array(out, pa.struct([("copy", pa.int64()), ("terms", pa.binary())]))
 
-    return fn
+        return fn
+
+    return make
 
 
-def _count_terms(terms: dict[str, int]):
+def _count_terms(size: int):
     """t, a, b: toxic and clean documents of this task that hold each term; their number under -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, len(terms) + 1), dtype=np.int64)
+        counts = np.zeros((2, size + 1), dtype=np.int64)
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[y, -1] += 1
-                counts[y, [terms[w] for w in set(words(text)) if w in terms]] += 1
+                counts[y, np.frombuffer(terms, "<i4")] += 1
         at = np.flatnonzero(counts.any(0))
-        t = np.where(at == len(terms), -1, at)
+        t = np.where(at == size, -1, at)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(counts[1, at]), pa.array(counts[0, at])], ["t", "a", "b"])
 
     return run
 
 
+def likely(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that have no label, so that their texts need not be shuffled to find out.
+
+    Ids are hashed into a bitmap of ``BITMAP`` bits, however many labels there are; a row whose bit is not set has
+    no label.  The more labels, the more others pass too: the join that follows decides."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1
+    rows = (
+        labels.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    )
+    found = np.zeros((BITMAP >> 15, 1 << 12), dtype=np.uint8)  # a bucket has 32,768 bits and the first number 1
+    for r in rows:
+        found[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
+    found = found.ravel()
+
+    @F.arrow_udf("boolean")
+    def labelled(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        return pa.array((found[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return docs.where("doc_id is not null").where(labelled(bit))
+
+
 def frequencies(docs: DataFrame, labels: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Of each term, the toxic and the clean documents that hold it, and the documents of each class: over all
     labelled rows, near copies counted once.
 
     Only ids and keys are shuffled to choose one document of each group of copies; terms are added up inside a
     task, so a task hands on one row per term."""
+    profile = text_udf(_profile(terms), "struct<copy: bigint, terms: binary>")
     labelled = landed(
-        docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("copy", text_udf(_copy_keys, "bigint")(F.col("text"))).withColumn("row", F.monotonically_increasing_id()),
+        likely(docs.select("doc_id", "text"), labels).join(labels, "doc_id").select("y", profile(F.coalesce("text", F.lit(""))).alias("p"))
+        .select("y", "p.*", F.monotonically_increasing_id().alias("row")),
         "toxic-labelled",
     )
     one = labelled.groupBy("copy", "y").agg(F.min("row").alias("row")).select("row")
     counted = (
-        labelled.join(one, "row", "left_semi").select("y", "text").mapInArrow(_count_terms(terms), "t int, a bigint, b bigint")
+        labelled.join(one, "row", "left_semi").select("y", "terms").mapInArrow(_count_terms(len(terms)), "t int, a bigint, b bigint")
         .groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     )
     t, a, b = (counted.column(c).to_numpy() for c in ("t", "a", "b"))
