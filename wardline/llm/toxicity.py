@@ -366,33 +366,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         # No other word can meet an example.
         names = sample.select(F.explode(text_udf(_vocabulary, "array<string>")(F.col("text"))).alias("w")).distinct().toArrow()
         names = sorted(names.column("w").to_pylist())
-        terms = {w: i for i, w in enumerate(names)}
-        weights = ties(*frequencies(docs, labels, terms))
+        weights = ties(*frequencies(docs, labels, {w: i for i, w in enumerate(names)}))
+        # Words without a weight meet nothing.
+        names = [w for w, v in zip(names, weights) if v > 0]
+        terms, weights = {w: i for i, w in enumerate(names)}, weights[weights > 0]
         rows = (
             sample.select("doc_id", "y", text_udf(_counted(terms), "struct<t: binary, n: binary>")(F.col("text")).alias("p"))
-            .select("doc_id", "y", "p.t", "p.n").collect()
+            .select("doc_id", "y", "p.t", "p.n").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
         )
         weight = {c: total.get(c, 0) / size[c] for c in (0, 1)}
         scale = min(weight.values())
         weight = {c: w / scale for c, w in weight.items()}
-        entries: dict[tuple, list] = {}
+        entries: dict[bytes, list] = {}
         seen = {0: 0, 1: 0}
-        for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"])):
-            v = unit(np.frombuffer(r["t"], "<i4"), np.frombuffer(r["n"], "<i4"), weights)
+        for doc_id, y, t, n in zip(*rows.columns):
+            v = unit(np.frombuffer(t.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4"), weights)
             if not len(v):
                 continue
-            e = entries.setdefault(v.tobytes(), [v, 0, 0, r["doc_id"]])
-            e[1 if r["y"] else 2] += 1
-            seen[r["y"]] += 1
+            y = y.as_py()
+            e = entries.setdefault(xxhash.xxh3_128_digest(v.tobytes()), [v, 0, 0, doc_id.as_py()])
+            e[1 if y else 2] += 1
+            seen[y] += 1
+        del rows
         none = {c: (size[c] - seen[c]) * weight[c] for c in (0, 1)}
         empty = none[1] / (none[0] + none[1]) if none[0] + none[1] else base
-        # Words without a weight meet nothing.
-        used = np.flatnonzero(weights > 0)
-        at = np.zeros(len(weights))
-        at[used] = np.arange(len(used))
-        for e in entries.values():
-            e[0][:, 0] = at[e[0][:, 0].astype(np.int64)]
-        return Model([names[i] for i in used], weights[used], list(entries.values()), base, empty, weight)
+        return Model(names, weights, list(entries.values()), base, empty, weight)
     finally:
         sample.unpersist()
 
