@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import fold, text_udf
+from wardline.llm.common import fold, release_memory, text_udf
 from wardline.session import landed
 
 PER_CLASS = {0: 6000, 1: 6000}
@@ -240,6 +241,8 @@ def term_counts(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np
 
 
 def _vocabulary():
+    release_memory()
+
     def fn(texts):
         return pa.array([sorted(set(words(t))) for t in texts], pa.list_(pa.string()))
 
@@ -248,6 +251,8 @@ def _vocabulary():
 
 def _counted(terms: dict[str, int]):
     def make():
+        release_memory()
+
         def fn(texts):
             found = [term_counts(t, terms) for t in texts]
             return pa.array([{"t": t.astype("<i4").tobytes(), "n": n.astype("<i4").tobytes()} for t, n in found],
@@ -263,6 +268,8 @@ def _profile(terms: dict[str, int]):
     its terms."""
 
     def make():
+        release_memory()
+
         def fn(texts):
             out = []
             for t in texts:
@@ -400,25 +407,27 @@ def scorer(model: Model | None, evidence: bool = False):
     nearest examples."""
 
     def make():
+        release_memory()
         remembered: dict[bytes, tuple] = {}
 
         def one(text):
             if model is None:
-                return 0.0, []
+                return 0.0, (), ()
             key = xxhash.xxh3_128_digest(text or "")
             got = remembered.get(key)
             if got is None:
                 if len(remembered) >= REMEMBERED:
                     remembered.clear()
-                got = remembered[key] = model.score(text)
+                score, near = model.score(text)
+                got = remembered[key] = score, array("d", [c for c, _ in near]), array("i", [e for _, e in near])
             return got
 
         def fn(texts):
             found = [one(t) for t in texts]
-            score = pa.array([s for s, _ in found], pa.float64())
+            score = pa.array([s for s, *_ in found], pa.float64())
             if not evidence:
                 return score
-            near = [[{"doc_id": model.example[e], "cosine": c} for c, e in n] for _, n in found]
+            near = [[{"doc_id": model.example[e], "cosine": c} for c, e in zip(cosines, entries)] for _, cosines, entries in found]
             return pa.StructArray.from_arrays(
                 [score, pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))],
                 ["score", "evidence"],
