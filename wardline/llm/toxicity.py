@@ -348,6 +348,7 @@ def frequencies(docs: DataFrame, labels: DataFrame, terms: dict[str, int]) -> tu
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """``docs``: doc_id, text.  ``labels``: doc_id, y (0 or 1)."""
+    release_memory()
     labels = labels.where("y in (0, 1) and doc_id is not null").select("doc_id", F.col("y").cast("int").alias("y"))
     total = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
     if not total:
@@ -374,6 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         names = sample.select(F.explode(text_udf(_vocabulary, "array<string>")(F.col("text"))).alias("w")).distinct().toArrow()
         names = sorted(names.column("w").to_pylist())
         weights = ties(*frequencies(docs, labels, {w: i for i, w in enumerate(names)}))
+        release_memory()
         # Words without a weight meet nothing.
         names = [w for w, v in zip(names, weights) if v > 0]
         terms, weights = {w: i for i, w in enumerate(names)}, weights[weights > 0]
@@ -397,7 +399,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         del rows
         none = {c: (size[c] - seen[c]) * weight[c] for c in (0, 1)}
         empty = none[1] / (none[0] + none[1]) if none[0] + none[1] else base
-        return Model(names, weights, list(entries.values()), base, empty, weight)
+        model = Model(names, weights, list(entries.values()), base, empty, weight)
+        del entries, terms
+        release_memory()
+        return model
     finally:
         sample.unpersist()
 
