@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import json
 from collections import Counter
 from collections.abc import Callable
@@ -42,51 +43,50 @@ def detections_stream(stream: DataFrame) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------------ risk
 
-_RISK_COLS = ["us", "event_id", "p10", "r10"]
-#: Microseconds of one slot of lines that have not run out.
-_LINES = HOUR // 4
+def _risk_start() -> dict:
+    """No lines that count, none to run out."""
+    return replay.new_risk()
+
+
+def _risk_fold(live: dict, rows: pd.DataFrame) -> list[tuple]:
+    """(event_id, us, score) at every row; ``live`` takes in the lines of the rows and loses what ran out."""
+    out = []
+    for eid, us, p, r in zip(*(rows[c].tolist() for c in ("event_id", "us", "p10", "r10"))):
+        replay.score(live, us)
+        if p > 0:
+            replay.add_points(live, us, p, r)
+        out.append((eid, us, str(replay.score(live, us))))
+    return out
 
 
 class _RiskFold(Fold):
-    """The sums over the lines that count now; the lines themselves lie in the slot in which they run out, and
-    are read when time gets there."""
+    """The sums over the lines that count now; a line itself waits as a row until it runs out."""
 
-    state_ddl = "height decimal(38,0), rate decimal(38,0)"
-    past_ddl = "end: long, height: decimal(38,0), rate: long"
+    state_ddl = "height:decimal(38,0),rate:decimal(38,0)"
 
     def start(self) -> tuple:
         return Decimal(0), Decimal(0)
 
-    def run(self, state, rows, past):
-        live = {"ends": [], "height": int(state[0]), "rate": int(state[1])}
-        slots, later, out = past.slots(), {}, []
-        for us, eid, p, r in rows[_RISK_COLS].itertuples(index=False):
-            us, now = int(us), int(us) // _LINES
-            while slots and slots[0] <= now:
-                for end, height, rate in past.take(slots.pop(0)):
-                    heapq.heappush(live["ends"], [end, int(height), rate])
-            for slot in [s for s in later if s <= now]:
-                for line in later.pop(slot):
-                    heapq.heappush(live["ends"], line)
-            if p > 0:
-                replay.add_points(live, us, int(p), int(r))
-            out.append((eid, us, str(replay.score(live, us))))
-            while live["ends"] and live["ends"][-1][0] // _LINES > now:  # a heap's last is no smaller than its parents
-                line = live["ends"].pop()
-                later.setdefault(line[0] // _LINES, []).append(line)
-        for line in live["ends"]:
-            later.setdefault(line[0] // _LINES, []).append(line)
-        for slot, lines in later.items():
-            past.add(slot, [(end, Decimal(height), rate) for end, height, rate in lines])
-        return (Decimal(live["height"]), Decimal(live["rate"])), pd.DataFrame(out, columns=["event_id", "us", "n"])
+    def run(self, state, rows, until):
+        live = _risk_start() | {"height": int(state[0]), "rate": int(state[1])}
+        user = rows[0][1]
+        for us, _, _, a, b, line in rows:
+            if line:
+                heapq.heappush(live["ends"], [us, a, b])
+        events = [(eid, us, a, b) for us, _, eid, a, b, line in rows if not line]
+        out = _risk_fold(live, pd.DataFrame(events, columns=["event_id", "us", "p10", "r10"])) if events else []
+        replay.score(live, until - 1)
+        again = [(end, user, None, height, rate, True) for end, height, rate in live["ends"]]
+        kept = (Decimal(live["height"]), Decimal(live["rate"])) if live["height"] or live["rate"] else None
+        return kept, out, again
 
 
 def risk_stream(stream: DataFrame) -> DataFrame:
     """Score and level at every event; the state is the user's points of the last day."""
-    src = risk.risk_points(stream)
+    src = risk.risk_points(stream).withColumns({"a": F.col("p10"), "b": F.col("r10"), "line": F.lit(False)})
     out = ordered(
-        src, _RiskFold(), _RISK_COLS, "us long, event_id long, p10 long, r10 long",
-        "event_id long, us long, n string", keep_us=replay.DAY,
+        src, _RiskFold(), "us long, user string, event_id long, a long, b long, line boolean",
+        "event_id long, us long, n string",
     )
     n = F.col("n").cast("decimal(38,0)")
     hundredths = F.floor((n * 20 + HOUR).cast("decimal(38,0)") / F.lit(2 * HOUR))
@@ -98,7 +98,6 @@ def risk_stream(stream: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ conversation patterns
 
-_TALK_COLS = ["us", "event_id", "user_id", "action", "severity", "rule", "s", "a"]
 _ENTRY = "us:bigint,event_id:bigint,action:string,severity:string,rule:string,s:int,a:int"
 _ENTRY_NAMES = [f.split(":")[0] for f in _ENTRY.split(",")]
 
@@ -106,56 +105,54 @@ _ENTRY_NAMES = [f.split(":")[0] for f in _ENTRY.split(",")]
 class _TalkFold(Fold):
     """The last messages of a quarter of an hour, at most as many as the tests look at."""
 
-    state_ddl = f"recent array<struct<{_ENTRY}>>"
+    state_ddl = f"recent:array<struct<{_ENTRY}>>"
+
+    def __init__(self, at_action: str | None):
+        self.at_action = at_action
 
     def start(self) -> tuple:
         return ([],)
 
-    def run(self, state, rows, past):
+    def run(self, state, rows, until):
         recent, out = [tuple(r) for r in state[0]], []
-        for us, eid, user, action, severity, rule, s, a in rows[_TALK_COLS].itertuples(index=False):
-            entry = (int(us), int(eid), action, severity, rule, int(s), int(a))
+        for us, user, eid, action, severity, rule, s, a in rows:
             recent = [h for h in recent if us - h[0] < conversation.LOOKBACK]
-            recent = (recent + [entry])[-V.HISTORY_MESSAGES:]
-            out.append((eid, user, us, action, [dict(zip(_ENTRY_NAMES, h)) for h in recent]))
-        return (recent,), pd.DataFrame(out, columns=["event_id", "user", "us", "action", "recent"])
+            recent = (recent + [(us, eid, action, severity, rule, s, a)])[-V.HISTORY_MESSAGES:]
+            # only what a test will find something in is handed on
+            if self.at_action in (None, action) and replay.find_pattern([(h[0], h[2], h[3], h[4] or "unknown") for h in recent]):
+                out.append((eid, user, us, [dict(zip(_ENTRY_NAMES, h)) for h in recent]))
+        return (recent,), out, []
 
 
 def detect_patterns_stream(stream: DataFrame, at_action: str | None = "ai_inference") -> DataFrame:
     """State is at most 20 messages of 15 minutes; the pattern tests are the batch expressions."""
     src = stream.withColumns(
         {
-            "user_id": F.col("user"),
             "s": conversation._rank(F.col("severity"), V.SEVERITY_RANK),
             "a": conversation._rank(F.col("action"), V.ACTION_RANK),
         }
     )
     out = ordered(
-        src, _TalkFold(), _TALK_COLS,
-        "us long, event_id long, user_id string, action string, severity string, rule string, s int, a int",
-        f"event_id long, user string, us long, action string, recent array<struct<{_ENTRY}>>",
+        src, _TalkFold(at_action),
+        "us long, user string, event_id long, action string, severity string, rule string, s int, a int",
+        f"event_id long, user string, us long, recent array<struct<{_ENTRY}>>",
         keep_us=conversation.LOOKBACK,
     )
-    if at_action:
-        out = out.filter(F.col("action") == at_action)
     p = conversation.pattern_column(F.col("recent"), F.col("user"))
     return out.withColumn("_p", p).filter("_p is not null").select("event_id", "user", "us", "_p.*")
 
 
 # ------------------------------------------------------------------ frequency rules
 
-_FREQ_COLS = ["us", "event_id", "user_id", "parents"]
-
-
 class _FrequencyFold(Fold):
     """Counts per parent rule and instant within the longest span; equal instants count together."""
 
-    state_ddl = "seen array<struct<parent:string,us:bigint,n:bigint>>"
+    state_ddl = "seen:array<struct<parent:string,us:bigint,n:bigint>>"
 
     def start(self) -> tuple:
         return ([],)
 
-    def run(self, state, rows, past):
+    def run(self, state, rows, until):
         out = []
         times: dict[str, list[int]] = {}
         upto: dict[str, list[int]] = {}  # events up to and with each instant
@@ -170,23 +167,22 @@ class _FrequencyFold(Fold):
             i, j = bisect.bisect_left(t, low), bisect.bisect_right(t, high)
             return (total[j - 1] if j else 0) - (total[i - 1] if i else 0)
 
-        for parent, us, n in sorted((r[0], r[1], r[2]) for r in state[0]):
+        for parent, us, n in sorted(tuple(r) for r in state[0]):
             add(parent, us, n)
-        for us, group in rows.groupby("us", sort=True):
-            us = int(us)
-            for parent, n in Counter(p for parents in group["parents"] for p in parents.split(",") if p).items():
+        for us, group in itertools.groupby(rows, key=lambda r: r[0]):
+            found = [(user, eid, parents.split(",")) for _, user, eid, parents in group]
+            for parent, n in Counter(p for _, _, parents in found for p in parents if p).items():
                 add(parent, us, n)
-            for eid, user, parents in group[["event_id", "user_id", "parents"]].itertuples(index=False):
-                have = set(parents.split(","))
+            for user, eid, parents in found:
                 for rid, level, least, span, parent, *_ in V.FREQUENCY_RULES:
-                    if str(parent) in have and (n := count(str(parent), us - span * MICROS, us)) >= least:
+                    if str(parent) in parents and (n := count(str(parent), us - span * MICROS, us)) >= least:
                         out.append((eid, user, us, rid, level, n))
-        low = int(rows["us"].max()) - max(r[3] for r in V.FREQUENCY_RULES) * MICROS
+        low = rows[-1][0] - max(r[3] for r in V.FREQUENCY_RULES) * MICROS
         kept = [
             (parent, us, total[i] - (total[i - 1] if i else 0))
             for parent, total in upto.items() for i, us in enumerate(times[parent]) if us >= low
         ]
-        return (kept,), pd.DataFrame(out, columns=["event_id", "user", "us", "rule_id", "level", "matches"])
+        return (kept,), out, []
 
 
 def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame:
@@ -196,9 +192,9 @@ def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame
         lambda m: m["rule_id"].cast("string"),
     )
     wanted = F.array_join(F.array_intersect(ids, F.array(*[F.lit(str(p)) for p in parents])), ",")
-    src = stream.withColumns({"parents": wanted, "user_id": F.col("user")}).filter("parents <> ''")
     return ordered(
-        src, _FrequencyFold(), _FREQ_COLS, "us long, event_id long, user_id string, parents string",
+        stream.withColumn("parents", wanted).filter("parents <> ''"), _FrequencyFold(),
+        "us long, user string, event_id long, parents string",
         "event_id long, user string, us long, rule_id int, level int, matches long",
         keep_us=max(r[3] for r in V.FREQUENCY_RULES) * MICROS,
     )
@@ -206,28 +202,26 @@ def frequency_rules_stream(stream: DataFrame, source: str = SOURCE) -> DataFrame
 
 # ------------------------------------------------------------------ closed loop
 
-_LOOP_COLS = ["us", "event_id", "user_id", "evasion", "high_entropy", "rule", "p_rule", "r_rule", "severity"]
-
-
 class _LoopFold(Fold):
-    state_ddl = "packed string"
+    state_ddl = "packed:string"
 
     def start(self) -> tuple:
         return (json.dumps(replay.new_state()),)
 
-    def run(self, state, rows, past):
+    def run(self, state, rows, until):
         kept = json.loads(state[0])
-        got = pd.DataFrame(replay.fold_rows(kept, rows), columns=["event_id", "decision", "n", "pattern"])
-        got["n"] = got["n"].astype(str)
-        got["user"], got["us"] = rows["user_id"].to_numpy(), rows["us"].to_numpy()
-        return (json.dumps(kept),), got[["event_id", "user", "us", "decision", "n", "pattern"]]
+        out = []
+        for us, user, eid, evasion, entropy, rule, p, r, severity in rows:
+            decision, n, pattern = replay.step(kept, us, bool(evasion), bool(entropy), rule, int(p), int(r), severity)
+            out.append((eid, user, us, decision, str(n), pattern))
+        return (json.dumps(kept),), out, []
 
 
 def replay_stream(stream: DataFrame) -> DataFrame:
     """The closed loop over a stream of inspected requests (plus ``ts`` with a watermark)."""
     out = ordered(
-        stream.withColumn("user_id", F.col("user")), _LoopFold(), _LOOP_COLS,
-        "us long, event_id long, user_id string, evasion boolean, high_entropy boolean, rule string, "
+        stream, _LoopFold(),
+        "us long, user string, event_id long, evasion boolean, high_entropy boolean, rule string, "
         "p_rule long, r_rule long, severity string",
         "event_id long, user string, us long, decision string, n string, pattern string",
     )
@@ -295,13 +289,15 @@ def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "1
     """Replay a table: land ``df`` as files, one after the other in time, and read them as a stream in that order.
 
     Files hold about ``FILE_ROWS`` rows, so their number grows with the table; at least ``LEAST_FILES`` make
-    a small table run in several micro-batches too."""
+    a small table run in several micro-batches too.  The table is dealt by time first, so that a file is cut out of
+    the few parts that overlap it and not out of the whole."""
     rows = landed(df, f"{name}-table")
     files = max(LEAST_FILES, rows.count() // FILE_ROWS)
     cuts = sorted({int(c) for c in rows.approxQuantile("us", [i / files for i in range(1, files)], 0.25 / files)})
+    dealt = landed(rows.repartitionByRange(4 * files, "us"), f"{name}-dealt")
     path = scratch_dir(spark, f"{name}-in")
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
-        part = rows if low is None else rows.where(F.col("us") > low)
+        part = dealt if low is None else dealt.where(F.col("us") > low)
         part = part if high is None else part.where(F.col("us") <= high)
         part.coalesce(1).write.parquet(f"{path}/{i:06d}")
     raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/*")
