@@ -1,8 +1,9 @@
 """Decoding steps: NFKC, percent, base64 and hex runs.
 
 A text is cut at the runs a step may decode, the runs are decoded as arrays of bytes, and the pieces are joined
-again, all in built-in expressions.  Only NFKC has none: texts that hold a character it may change cross to
-Python in one Arrow UDF, the others never do.
+again, all in built-in expressions.  Only NFKC has none: texts that hold a character beyond ASCII cross
+to Python in one Arrow UDF, the others never do; a pattern that tells which of them may change costs more than the
+crossing.
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wardline import vocab as V
-from wardline.functions.text import fold_confusables, let
+from wardline.functions.text import fold_confusables, is_wide, let, runs_replaced, spans
 
 #: Java reads these as the rules were written: only ``\n`` ends a line, white space is Unicode's.
 _LINES = "(?d)"
-_BASE64 = _LINES + V.BASE64_SEGMENT.replace(r"\s", V.SPACE_CLASS)
+_BASE64 = _LINES + V.BASE64_SEGMENT.replace(r"\s", spans(V.SPACE_CLASS))
 #: Possessive, so that a run of any length needs no stack; pairs and separators cannot be told apart in two ways.
-_HEX = V.HEX_SEGMENT.replace(r"[:\s]?", f"[:{V.SPACE_CLASS}]?+").replace("{7,}", "{7,}+")
+_HEX = V.HEX_SEGMENT.replace(r"[:\s]?", f"[:{spans(V.SPACE_CLASS)}]?+").replace("{7,}", "{7,}+")
+#: What every such run holds, tried first: neither looks at what may stand around a run.
+_MAYBE_BASE64 = "[A-Za-z0-9+/]{20}"
+_MAYBE_HEX = f"[0-9a-fA-F]{{2}}(?:[:{spans(V.SPACE_CLASS)}]?[0-9a-fA-F]{{2}}){{7}}"
 _PERCENT = "(?:%[0-9A-Fa-f]{2})++"
-#: Characters that NFKC leaves alone, alone or next to each other.
-_STABLE = "\x00-\x7f¡§«»¿-ÿЀ-҂Ҋ-ӿ"
 #: One UTF-8 character in hex digits; any other byte alone.
 _TAIL = "[89AB][0-9A-F]"
 VALID = (
@@ -42,12 +44,14 @@ STEPS = ("unicode", "url", "base64", "hex")
 
 @F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    """NFKC of the texts that it changes, else NULL."""
+    kept = lambda t: t is None or unicodedata.is_normalized("NFKC", t)
+    return pa.array([None if kept(t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def compatible(c: Column) -> Column:
     """NFKC."""
-    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{_STABLE}]"), c)), c)
+    return F.coalesce(_nfkc(F.when(is_wide(c), c)), c)
 
 
 def nfkc(c: Column) -> Column:
@@ -55,17 +59,6 @@ def nfkc(c: Column) -> Column:
     return fold_confusables(compatible(c))
 
 
-def _runs_replaced(c: Column, pattern: str, decode) -> Column:
-    """``c`` with every run that ``pattern`` finds replaced by ``decode(run)``, which keeps it by NULL."""
-
-    def joined(v: Column) -> Column:
-        new = F.transform(v["runs"], lambda run: F.coalesce(decode(run), run))
-        return F.array_join(F.zip_with(v["gaps"], new, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
-
-    cut = F.struct(F.split(c, pattern, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("runs"))
-    return F.when(c.rlike(pattern), let(cut, joined)).otherwise(c)
-
-
 def _readable(digits: Column) -> Column:
     """The text of bytes in hex digits, bytes that are no UTF-8 left out; NULL unless it reads as text."""
     characters = F.filter(F.regexp_extract_all(F.upper(digits), F.lit(f"{VALID}|.."), F.lit(0)), lambda x: (F.length(x) > 2) | (x < "80"))
@@ -75,7 +68,7 @@ def _readable(digits: Column) -> Column:
 
 def percent_decode(c: Column) -> Column:
     """Percent runs as UTF-8; broken characters become U+FFFD."""
-    return _runs_replaced(c, _PERCENT, lambda run: F.make_valid_utf8(F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string")))
+    return runs_replaced(c, _PERCENT, lambda run: F.make_valid_utf8(F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string")))
 
 
 def decode_base64_segments(c: Column) -> Column:
@@ -88,7 +81,7 @@ def decode_base64_segments(c: Column) -> Column:
         full = F.concat(data, F.when(over == 2, "==").when(over == 3, "=").otherwise(""))
         return F.when(sound, _readable(F.hex(F.unbase64(full))))
 
-    return _runs_replaced(c, _BASE64, one)
+    return runs_replaced(c, _BASE64, one, c.rlike(_MAYBE_BASE64))
 
 
 def decode_hex_segments(c: Column) -> Column:
@@ -98,7 +91,7 @@ def decode_hex_segments(c: Column) -> Column:
         digits = F.regexp_replace(F.regexp_replace(run, r"^(?:0x|\\x)", ""), r"[: \t\n\x0B\f\r]", "")
         return F.when(digits.rlike("^[0-9a-fA-F]+$"), _readable(digits))
 
-    return _runs_replaced(c, _HEX, one)
+    return runs_replaced(c, _HEX, one, c.rlike(_MAYBE_HEX))
 
 
 def decoded(df: DataFrame, col: str, keep: list, out: str = "_d") -> DataFrame:

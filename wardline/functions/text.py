@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spans(chars: str) -> str:
+    """A regular expression's class of ``chars``, neighbours as a range: every member of a class is tested in turn."""
+    out, codes = [], sorted({ord(x) for x in chars})
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{low:x}}}" + (f"-\\x{{{high:x}}}" if high > low else "") for low, high in out)
+
+
+def is_wide(c: Column) -> Column:
+    """Whether ``c`` holds a character beyond ASCII; lengths are compared, no pattern is tried."""
+    return F.octet_length(c) != F.length(c)
+
+
+_INVISIBLE = f"[{spans(V.INVISIBLE)}]"
+_CONFUSABLE = f"[{spans(V.CONFUSABLE_FROM)}]"
+
+
 def strip_invisible(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{V.INVISIBLE}]", "")
+    return F.when(is_wide(c), F.regexp_replace(c, _INVISIBLE, "")).otherwise(c)
 
 
 def fold_confusables(c: Column) -> Column:
-    return F.translate(c, V.CONFUSABLE_FROM, V.CONFUSABLE_TO)
+    folded = F.translate(c, V.CONFUSABLE_FROM, V.CONFUSABLE_TO)
+    there = c.rlike(_CONFUSABLE)
+    return F.when(there if V.CONFUSABLE_FROM[:1] < "\x80" else is_wide(c) & there, folded).otherwise(c)
 
 
 def rot13(c: Column) -> Column:
@@ -29,7 +53,16 @@ def rot13(c: Column) -> Column:
 
 
 def rot13_if_keyword(c: Column) -> Column:
-    """The rotated text when rotation makes a tell-tale word appear that was not there before."""
+    """The rotated text when rotation makes a tell-tale word appear that was not there before.
+
+    Only a text that holds such a word rotated is rotated as a whole; letters beyond ASCII that become ASCII in lower
+    case do not rotate, so texts with them always are."""
+
+    def may_turn(low: Column) -> Column:
+        hit = is_wide(c) & c.rlike("[\u0130\u212a]")
+        for word in V.ROT13_KEYWORDS:
+            hit = hit | low.contains(codecs.encode(word, "rot13"))
+        return hit
 
     def pick(v: Column) -> Column:
         def choose(low: Column) -> Column:
@@ -41,30 +74,55 @@ def rot13_if_keyword(c: Column) -> Column:
         lowered = F.struct(F.lower(v["text"]).alias("plain"), F.lower(v["turned"]).alias("turned"))
         return let(lowered, choose)
 
-    return let(F.struct(c.alias("text"), rot13(c).alias("turned")), pick)
+    return F.when(let(F.lower(c), may_turn), let(F.struct(c.alias("text"), rot13(c).alias("turned")), pick)).otherwise(c)
+
+
+_SPACES = spans(V.SPACE_CLASS)
+_ASCII_SPACES = spans("".join(x for x in V.SPACE_CLASS if x < "\x80"))
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, f"[{V.SPACE_CLASS}]+"), lambda w: w != "")
+    def cut(space: str) -> Column:
+        return F.split(c, f"[{space}]+")
+
+    return F.filter(F.when(is_wide(c), cut(_SPACES)).otherwise(cut(_ASCII_SPACES)), lambda w: w != "")
 
 
 def collapse_spaces(c: Column) -> Column:
-    one = F.regexp_replace(c, f"[{V.SPACE_CLASS}]+", " ")
-    return F.trim(one)
+    """Every run of white space as one blank; single blanks are left as they stand."""
+
+    def one(space: str) -> Column:
+        return F.regexp_replace(c, f" [{space}]++|[{space}&&[^ ]][{space}]*+", " ")
+
+    return F.trim(F.when(is_wide(c), one(_SPACES)).otherwise(one(_ASCII_SPACES)))
+
+
+def runs_replaced(c: Column, pattern: str, decode, may: Column | None = None) -> Column:
+    """``c`` with every run that ``pattern`` finds replaced by ``decode(run)``, which keeps it by NULL.
+
+    ``may``: a cheaper test that holds wherever ``pattern`` is found."""
+
+    def joined(v: Column) -> Column:
+        new = F.transform(v["runs"], lambda run: F.coalesce(decode(run), run))
+        return F.array_join(F.zip_with(v["gaps"], new, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
+
+    cut = F.struct(F.split(c, pattern, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("runs"))
+    there = c.rlike(pattern)
+    return F.when(there if may is None else may & there, let(cut, joined)).otherwise(c)
+
+
+#: A word with a leet character, in a text whose words stand between single blanks.
+_LEET_WORD = f"(?<![^ ])[^ {V.LEET_FROM}]*+[{V.LEET_FROM}][^ ]*+"
 
 
 def reverse_leet(c: Column) -> Column:
     """Leet words back to letters; words end up joined by single spaces."""
-    leet = f"[{V.LEET_FROM}]"
 
     def fix(w: Column) -> Column:
-        suspicious = w.rlike(leet) & w.rlike(r"\p{L}") & (F.length(w) > 3)
-        return F.when(suspicious, F.translate(w, V.LEET_FROM, V.LEET_TO)).otherwise(w)
+        return F.when(w.rlike(r"\p{L}") & (F.length(w) > 3), F.translate(w, V.LEET_FROM, V.LEET_TO))
 
-    # Only texts that hold a leet character pay for the word-by-word pass.
-    return F.when(c.rlike(leet), F.array_join(F.transform(words(c), fix), " ")).otherwise(
-        collapse_spaces(c)
-    )
+    # Only words that hold a leet character are looked at.
+    return let(collapse_spaces(c), lambda v: runs_replaced(v, _LEET_WORD, fix, v.rlike(f"[{V.LEET_FROM}]")))
 
 
 def dominant_script(c: Column) -> Column:
@@ -95,7 +153,7 @@ def dominant_script(c: Column) -> Column:
         )
 
     # Pure ASCII can only be Latin (or letterless): skip five passes over the text.
-    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lit("latin")).otherwise(let(counts, name))
+    return F.when(~is_wide(c), F.lit("latin")).otherwise(let(counts, name))
 
 
 def edit_ratio(original: Column, changed: Column) -> Column:
