@@ -44,3 +44,17 @@ def test_texts_that_no_step_changes_are_not_cut(spark):
     start = time.time()
     assert [r[0] for r in df.select(text.reverse_leet(F.col("t"))).collect()][0] == "ab" * 200_000
     assert time.time() - start < 30
+
+
+def test_inspection_computes_only_what_is_read(spark):
+    """The edit ratio is dear; a reader of decisions does not pay for it, a reader of ``norm`` gets it."""
+    from wardline.operators.gateway import inspect_ingress
+
+    df = spark.createDataFrame([(1, "one\ntwo  h3llo")], "id int, text string")
+    rules = [{"id": "r", "name": "r", "pattern": "two", "severity": "high", "detail": ""}]
+    out = inspect_ingress(df, rules)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan(out) and "edit_distance_ratio" in plan(out)
+    assert "edit_distance_ratio" not in plan(out.select("id", "decision", "events"))
+    row = out.first()
+    assert row["decision"] == "block" and row["norm"]["text"] == "one two hello" and row["norm"]["edit_distance_ratio"] > 0

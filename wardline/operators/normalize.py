@@ -51,6 +51,17 @@ def normalize_prompts(
     """Add ``norm``: struct(text, original_length, normalized_length, edit_distance_ratio,
     language, evasion_detected, evasion_techniques).
 
+    ``compat`` as in :func:`normal_parts`."""
+    stages, parts = normal_parts(df, col, translator, compat)
+    return stages.select(*[F.col(f"`{n}`") for n in df.columns], F.struct(*parts).alias("norm"))
+
+
+def normal_parts(
+    df: DataFrame, col: str = "text", translator: Translator | None = None, compat: bool = True
+) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the stages of the normaliser, and the named parts of ``norm`` over it; those that nobody selects are
+    not computed.
+
     ``compat`` reports any irregular white space as leetspeak (the word pass re-joins words by
     single blanks); otherwise only changed words count.
     """
@@ -95,7 +106,7 @@ def normalize_prompts(
         return F.when(short, short_value).otherwise(value)
 
     nothing = F.lit(None)
-    norm = F.struct(
+    return g, [
         unless_short(raw, final).alias("text"),
         unless_short(nothing, F.length(raw)).alias("original_length"),
         unless_short(nothing, F.length(final)).alias("normalized_length"),
@@ -103,8 +114,7 @@ def normalize_prompts(
         unless_short(F.lit("latin"), F.col("_n.lang")).alias("language"),
         unless_short(F.lit(False), F.size("_n.tech") > 0).alias("evasion_detected"),
         unless_short(F.array().cast("array<string>"), F.col("_n.tech")).alias("evasion_techniques"),
-    )
-    return g.select(*rest, norm.alias("norm"))
+    ]
 
 
 def evasion_events(normalized: DataFrame, col: str = "text") -> DataFrame:
