@@ -40,3 +40,26 @@ def test_no_labelled_row_is_lost(spark):
     assert kept.join(labels, "doc_id").count() == docs.join(labels, "doc_id").count()
     assert kept.count() < 1.05 * docs.join(labels, "doc_id").count()
     assert toxicity.likely(docs, labels.limit(0)).count() == 0
+
+
+def test_texts_are_counted_where_they_are_read(spark, monkeypatch):
+    """No text is shuffled to find its label; copies count once per class, a row with two labels in both."""
+    texts = ["red fox runs far", "red fox runs far", "blue fish swims", None, "green bird sings now", "red fish unlabelled"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "blue fish swims"), (None, "red")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (99, 1)], "doc_id long, y int")
+    plans, land = [], toxicity.landed
+
+    def landed(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return land(df, name)
+
+    monkeypatch.setattr(toxicity, "landed", landed)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms = {w: i for i, w in enumerate(["red", "fish", "bird", "none"])}
+        a, b, n1, n0 = toxicity.frequencies(docs, labels, terms)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert (a.tolist(), b.tolist(), n1, n0) == ([1, 0, 1, 0], [1, 1, 0, 0], 2.0, 3.0)
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]

@@ -45,8 +45,8 @@ STRONG_RATIO = 3.0
 DAMPING = 2.0
 NEIGHBOURS = 15
 BLOCK = 64
-#: Bits of the map of labelled ids (1 MB).
-BITMAP = 1 << 23
+#: Least and most bits of the map of labelled ids (1 and 16 MB).
+BITMAP, MOST_BITS = 1 << 23, 1 << 27
 #: Terms that are scored first.
 GROUP = 16
 THRESHOLD = 0.5
@@ -300,44 +300,43 @@ def _count_terms(size: int):
     return run
 
 
-def likely(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows that have no label, so that their texts need not be shuffled to find out.
+def likely(docs: DataFrame, labels: DataFrame, bits: int = BITMAP) -> DataFrame:
+    """``docs`` without most of the rows that have no label, so that their texts need not be looked at to find out.
 
-    Ids are hashed into a bitmap of ``BITMAP`` bits, however many labels there are; a row whose bit is not set has
-    no label.  The more labels, the more others pass too: the join that follows decides."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1
-    rows = (
-        labels.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    Ids are hashed into a bitmap of ``bits`` bits; a row whose bit is not set has no label.  The more labels, the
+    more others pass too: a join on the ids must decide.  The bitmap is a table of its parts of 32,768 bits."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    marks = (
+        labels.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    )
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        docs.join(F.broadcast(marks), F.bitmap_bucket_number(bit) == F.col("_bucket"))
+        .where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
     )
-    found = np.zeros((BITMAP >> 15, 1 << 12), dtype=np.uint8)  # a bucket has 32,768 bits and the first number 1
-    for r in rows:
-        found[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
-    found = found.ravel()
-
-    @F.arrow_udf("boolean")
-    def labelled(bits: pa.Array) -> pa.Array:
-        at = bits.to_numpy(zero_copy_only=False).astype(np.int64) - 1
-        return pa.array((found[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    return docs.where("doc_id is not null").where(labelled(bit))
 
 
 def frequencies(docs: DataFrame, labels: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Of each term, the toxic and the clean documents that hold it, and the documents of each class: over all
     labelled rows, near copies counted once.
 
-    Only ids and keys are shuffled to choose one document of each group of copies; terms are added up inside a
-    task, so a task hands on one row per term."""
+    Texts are turned into numbers of terms where they are read and are not shuffled.  Only ids and keys are, to find
+    the labels and to choose one document of each group of copies; terms are added up inside a task, so a task hands
+    on one row per term."""
     profile = text_udf(_profile(terms), "struct<copy: bigint, terms: binary>")
-    labelled = landed(
-        likely(docs.select("doc_id", "text"), labels).join(labels, "doc_id").select("y", profile(F.coalesce("text", F.lit(""))).alias("p"))
-        .select("y", "p.*", F.monotonically_increasing_id().alias("row")),
-        "toxic-labelled",
+    # Eight bits a label let few rows without one pass, whatever their number.
+    bits = min(MOST_BITS, max(BITMAP, 1 << (8 * labels.count()).bit_length()))
+    profiles = landed(
+        likely(docs.select("doc_id", "text"), labels, bits).select("doc_id", profile(F.coalesce("text", F.lit(""))).alias("p"))
+        .select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")),
+        "toxic-profiles",
     )
-    one = labelled.groupBy("copy", "y").agg(F.min("row").alias("row")).select("row")
+    one = profiles.select("doc_id", "copy", "row").join(labels, "doc_id").groupBy("copy", "y").agg(F.min("row").alias("row"))
     counted = (
-        labelled.join(one, "row", "left_semi").select("y", "terms").mapInArrow(_count_terms(len(terms)), "t int, a bigint, b bigint")
+        profiles.select("row", "terms").join(one.select("row", "y"), "row").select("y", "terms")
+        .mapInArrow(_count_terms(len(terms)), "t int, a bigint, b bigint")
         .groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     )
     t, a, b = (counted.column(c).to_numpy() for c in ("t", "a", "b"))
