@@ -111,3 +111,25 @@ def test_one_user_of_many_rows(spark):
     got = streams.run_available(spark, streams.frequency_rules_stream(streams.as_stream(spark, df, "flood-rules")), "flood-rules")
     want = ruletree.frequency_rules(df).where(F.col("us") <= closed).select(*got.columns)
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_tasks_share_a_micro_batch(spark):
+    """Each file of a replayed table is one micro-batch and is read by several tasks; no row is lost or doubled."""
+    words = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256) for i in range(32)])
+    df = spark.range(6000).select(F.col("id").alias("us"), words.alias("text"))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16384")
+    seen = []
+
+    def look(rows, number):
+        per_task = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum("us").alias("us")).collect()
+        seen.append([(r["n"], r["us"]) for r in per_task])
+
+    try:
+        stream = streams.as_stream(spark, df, "shared")
+        stream.writeStream.foreachBatch(look).option("checkpointLocation", scratch_dir(spark, "shared")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert len([b for b in seen if b]) == streams.LEAST_FILES
+    assert min(len(b) for b in seen if b) > 1
+    assert (sum(n for b in seen for n, _ in b), sum(us for b in seen for _, us in b)) == (6000, 6000 * 5999 // 2)

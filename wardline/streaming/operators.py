@@ -283,6 +283,8 @@ def late_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 #: Rows of one file of a replayed table, and the least number of files.
 FILE_ROWS, LEAST_FILES = 1_000_000, 5
+#: Bytes of a row group of such a file: a micro-batch is dealt over tasks by row groups.
+ROW_GROUP = 1 << 20
 
 
 def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "10 minutes", files_per_batch: int = 1) -> DataFrame:
@@ -290,7 +292,8 @@ def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "1
 
     Files hold about ``FILE_ROWS`` rows, so their number grows with the table; at least ``LEAST_FILES`` make
     a small table run in several micro-batches too.  The table is dealt by time first, so that a file is cut out of
-    the few parts that overlap it and not out of the whole."""
+    the few parts that overlap it and not out of the whole.  A file stays whole, since files of one time would have to
+    meet in one micro-batch; its row groups are small, so that many tasks share the work on it."""
     rows = landed(df, f"{name}-table")
     files = max(LEAST_FILES, rows.count() // FILE_ROWS)
     cuts = sorted({int(c) for c in rows.approxQuantile("us", [i / files for i in range(1, files)], 0.25 / files)})
@@ -299,6 +302,6 @@ def as_stream(spark: SparkSession, df: DataFrame, name: str, watermark: str = "1
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = dealt if low is None else dealt.where(F.col("us") > low)
         part = part if high is None else part.where(F.col("us") <= high)
-        part.coalesce(1).write.parquet(f"{path}/{i:06d}")
+        part.coalesce(1).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{i:06d}")
     raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/*")
     return raw.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
