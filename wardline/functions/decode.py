@@ -25,7 +25,7 @@ _BASE64 = _LINES + V.BASE64_SEGMENT.replace(r"\s", spans(V.SPACE_CLASS))
 _HEX = V.HEX_SEGMENT.replace(r"[:\s]?", f"[:{spans(V.SPACE_CLASS)}]?+").replace("{7,}", "{7,}+")
 #: What every such run holds, tried first: neither looks at what may stand around a run.
 _MAYBE_BASE64 = "[A-Za-z0-9+/]{20}"
-_MAYBE_HEX = f"[0-9a-fA-F]{{2}}(?:[:{spans(V.SPACE_CLASS)}]?[0-9a-fA-F]{{2}}){{7}}"
+MAYBE_HEX = f"[0-9a-fA-F]{{2}}(?:[:{spans(V.SPACE_CLASS)}]?[0-9a-fA-F]{{2}}){{7}}"
 _PERCENT = "(?:%[0-9A-Fa-f]{2})++"
 #: One UTF-8 character in hex digits; any other byte alone.
 _TAIL = "[89AB][0-9A-F]"
@@ -71,8 +71,10 @@ def percent_decode(c: Column) -> Column:
     return runs_replaced(c, _PERCENT, lambda run: F.make_valid_utf8(F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string")))
 
 
-def decode_base64_segments(c: Column) -> Column:
-    """Base64 runs that read as text; runs of a wrong length or padding stay."""
+def decode_base64_segments(c: Column, may: Column | None = None) -> Column:
+    """Base64 runs that read as text; runs of a wrong length or padding stay.
+
+    ``may``: a test that holds wherever such a run stands."""
 
     def one(run: Column) -> Column:
         data, pads = F.regexp_extract(run, "[A-Za-z0-9+/]{20,}", 0), F.regexp_extract(run, "[A-Za-z0-9+/]{20,}(=*)", 1)
@@ -81,17 +83,17 @@ def decode_base64_segments(c: Column) -> Column:
         full = F.concat(data, F.when(over == 2, "==").when(over == 3, "=").otherwise(""))
         return F.when(sound, _readable(F.hex(F.unbase64(full))))
 
-    return runs_replaced(c, _BASE64, one, c.rlike(_MAYBE_BASE64))
+    return runs_replaced(c, _BASE64, one, c.rlike(_MAYBE_BASE64) if may is None else may)
 
 
-def decode_hex_segments(c: Column) -> Column:
-    """Hex runs that read as text, with colons or ASCII blanks between the pairs."""
+def decode_hex_segments(c: Column, may: Column | None = None) -> Column:
+    """Hex runs that read as text, with colons or ASCII blanks between the pairs; ``may`` as for base64."""
 
     def one(run: Column) -> Column:
         digits = F.regexp_replace(F.regexp_replace(run, r"^(?:0x|\\x)", ""), r"[: \t\n\x0B\f\r]", "")
         return F.when(digits.rlike("^[0-9a-fA-F]+$"), _readable(digits))
 
-    return runs_replaced(c, _HEX, one, c.rlike(_MAYBE_HEX))
+    return runs_replaced(c, _HEX, one, c.rlike(MAYBE_HEX) if may is None else may)
 
 
 def decoded(df: DataFrame, col: str, keep: list, out: str = "_d") -> DataFrame:

@@ -55,16 +55,18 @@ def _first_over(candidates: Column, threshold: float) -> Column:
 
 
 def entropy_violation(
-    c: Column, threshold: float = V.ENTROPY_THRESHOLD, min_length: int = V.ENTROPY_MIN_LENGTH
+    c: Column, threshold: float = V.ENTROPY_THRESHOLD, min_length: int = V.ENTROPY_MIN_LENGTH, may: Column | None = None
 ) -> Column:
-    """struct(flagged, score, snippet): first long word, else first window, over the threshold."""
+    """struct(flagged, score, snippet): first long word, else first window, over the threshold.
+
+    ``may``: a test that holds wherever something is over it."""
     long_words = F.filter(words(c), lambda w: F.length(w) >= min_length)
     hit = F.coalesce(
         _first_over(long_words, threshold),
         F.when(F.length(c) >= min_length, _first_over(windows(c), threshold)),
     )
     return let(
-        hit,
+        hit if may is None else F.when(may, hit),
         lambda h: F.struct(
             h.isNotNull().alias("flagged"),
             F.coalesce(F.round(h["h"], 2), F.lit(0.0)).alias("score"),

@@ -34,9 +34,11 @@ def _rule_struct(rule: dict, c: Column, with_match: bool) -> Column:
     return F.struct(*fields)
 
 
-def first_match(c: Column, rules: list[dict], with_match: bool = False) -> Column:
+def first_match(c: Column, rules: list[dict], with_match: bool = False, may: list[Column | None] | None = None) -> Column:
     """struct of the first rule (file order) found in ``c``, else NULL.
 
+    ``may``: for each rule a test that holds wherever it matches, or None.
+
     A ``case when`` for each ``CHUNK`` rules, the first that hits wins: stops at the first hit, needs
     no join and no shuffle.
     """
@@ -48,8 +50,9 @@ def first_match(c: Column, rules: list[dict], with_match: bool = False) -> Colum
     chains = []
     for i in range(0, len(rules), CHUNK):
         chain = F
-        for rule in rules[i : i + CHUNK]:
-            chain = chain.when(found(c, rule["pattern"]), _rule_struct(rule, c, with_match))
+        for j, rule in enumerate(rules[i : i + CHUNK], i):
+            here = found(c, rule["pattern"]) if not may or may[j] is None else may[j] & c.rlike(UNICODE + rule["pattern"])
+            chain = chain.when(here, _rule_struct(rule, c, with_match))
         chains.append(chain)
     return F.coalesce(*chains) if len(chains) > 1 else chains[0]
 

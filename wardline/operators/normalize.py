@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import decode, text
+from wardline.functions import batches, decode, text
+from wardline.session import small_batches
 
 Translator = Callable[[list[str]], list[str]]
 
@@ -65,26 +66,40 @@ def normal_parts(
     ``compat`` reports any irregular white space as leetspeak (the word pass re-joins words by
     single blanks); otherwise only changed words count.
     """
+    small_batches(df.sparkSession)
     raw = F.col(col)
     rest = [F.col(f"`{n}`") for n in df.columns]
     short = raw.isNull() | (F.length(raw) < 3)
 
     # Each stage is its own projection and refers to the one before by name, so Catalyst
-    # keeps them apart and no text step is evaluated twice.
-    a = df.select(*rest, text.strip_invisible(raw).alias("_clean"))
-    b = decode.decoded(a, "_clean", [*rest, "_clean"])
-    b = b.withColumn("_plain", F.col("_d.text"))
-    c = b.withColumn("_turned", text.rot13_if_keyword(F.col("_plain")))
-    d = c.withColumn("_letters", text.reverse_leet(F.col("_turned")))
-    e = d.withColumn("_lang", text.dominant_script(F.col("_letters")))
-    before_leet = F.col("_turned") if compat else text.collapse_spaces(F.col("_turned"))
+    # keeps them apart and no text step is evaluated twice.  Two passes over Arrow batches do the steps
+    # that are exact there and name the texts that the others may change.
+    a = df.select(*rest, batches.unveiled(raw).alias("_a"))
+    a = a.withColumn("_s1", F.coalesce("_a.text", raw))
+    s1, s2, s3, turned = (F.col(n) for n in ("_s1", "_s2", "_s3", "_turned"))
+    b = a.withColumn("_s2", F.when(F.col("_a.base64"), decode.decode_base64_segments(s1, F.lit(True))).otherwise(s1))
+    # what an earlier step changed is tested again
+    may_hex = F.when(s2 == s1, F.col("_a.hex")).otherwise(s2.rlike(decode.MAYBE_HEX))
+    b = b.withColumn("_s3", F.when(may_hex, decode.decode_hex_segments(s2, F.lit(True))).otherwise(s2))
+    c = b.withColumn("_turned", F.when(F.col("_a.rot13") | (s3 != s1), text.rot13_if_keyword(s3)).otherwise(s3))
+    done = {
+        "turned": turned, "invisible": F.col("_a.invisible"), "unicode": F.col("_a.unicode"), "url": F.col("_a.url"),
+        "base64": s2 != s1, "hex": s3 != s2, "rot13": turned != s3,
+    }
+    # explode over one element keeps the two passes, and the steps between them, apart
+    d = c.select(*rest, F.explode(F.array(F.struct(*[v.alias(k) for k, v in done.items()]))).alias("_d"))
+    turned = F.col("_d.turned")
+    d = d.withColumn("_w", batches.worded(turned))
+    d = d.withColumn("_letters", F.when(F.col("_w.unsure"), text.reverse_leet(turned)).otherwise(F.coalesce("_w.text", turned)))
+    e = d.withColumn("_lang", F.when(F.col("_w.scripts"), text.dominant_script(F.col("_letters"))).otherwise("latin"))
+    before_leet = turned if compat else text.collapse_spaces(turned)
     flags = [
-        (F.length("_clean") != F.length(raw), F.lit("invisible_chars")),
+        (F.col("_d.invisible"), F.lit("invisible_chars")),
         (F.col("_d.unicode"), F.lit("unicode_confusables")),
         (F.col("_d.url"), F.lit("url_encoding")),
         (F.col("_d.base64"), F.lit("base64_encoding")),
         (F.col("_d.hex"), F.lit("hex_encoding")),
-        (F.col("_turned") != F.col("_plain"), F.lit("rot13")),
+        (F.col("_d.rot13"), F.lit("rot13")),
         (F.col("_letters") != before_leet, F.lit("leetspeak")),
         (
             ~F.col("_lang").isin("latin", "other"),

@@ -61,6 +61,17 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch of prompts: a worker holds a batch several times over, and a task has a worker for every pass.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package (once per session); they may start in another folder."""
     if spark.conf.get("spark.wardline.shipped", None):
